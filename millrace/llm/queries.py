@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from millrace.llm import quality_rules
+from millrace.llm import decontaminate, line_dedup, quality_rules, simhash
 
 QUERIES = {
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_line_rules": quality_rules.op5_line_rules,
+    "op8_simhash": simhash.op8_simhash,
+    "op10_site_lines": line_dedup.op10_site_lines,
+}
+ORACLE_SQL = {
+    "op10_site_lines": line_dedup.OP10_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
