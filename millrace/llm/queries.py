@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontaminate, line_dedup, quality_rules, simhash
+from millrace.llm import decontaminate, line_dedup, orc_tokens, packing, quality_rules, simhash
 
 QUERIES = {
+    "op3_orc_tokens": orc_tokens.op3_orc_tokens,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_line_rules": quality_rules.op5_line_rules,
     "op8_simhash": simhash.op8_simhash,
+    "op9_pack": packing.op9_pack,
     "op10_site_lines": line_dedup.op10_site_lines,
 }
 ORACLE_SQL = {
