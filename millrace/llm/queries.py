@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontaminate, line_dedup, orc_tokens, packing, quality_rules, simhash
+from millrace.llm import decontaminate, line_dedup, orc_tokens, packing, pii, quality_model, quality_rules, simhash
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
+    "op2_nbsvm": quality_model.op2_nbsvm,
     "op3_orc_tokens": orc_tokens.op3_orc_tokens,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_line_rules": quality_rules.op5_line_rules,
