@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontaminate, line_dedup, orc_tokens, packing, pii, quality_model, quality_rules, simhash, substring_dedup
+from millrace.llm import decontaminate, html_extract, line_dedup, orc_tokens, packing, pii, quality_model, quality_rules, simhash, substring_dedup
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_line_rules": quality_rules.op5_line_rules,
     "op6_suffix_dedup": substring_dedup.op6_suffix_dedup,
+    "op7_main_text": html_extract.op7_main_text,
     "op8_simhash": simhash.op8_simhash,
     "op9_pack": packing.op9_pack,
     "op10_site_lines": line_dedup.op10_site_lines,
