@@ -181,10 +181,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """docs with the one row of each component that has its least key; of rows that repeat a key, one."""
-    found = near_duplicates(docs, key, text, shingle, max_bits)
-    kept = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
-    return docs.dropDuplicates([key]).join(kept, key, "left_semi").select(docs.columns)
+    """docs with one row of each component: of its rows with the least key (null last) the first.
+
+    docs must be a table, whose rows keep their place from scan to scan.
+    """
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    found = near_duplicates(rows.select("_row", text), "_row", text, shingle, max_bits)
+    keys = rows.select("_row", F.col(key).isNull().alias("_null"), F.col(key).alias("_key"))
+    chosen = found.join(keys, "_row").groupBy("component_id").agg(F.min(F.struct("_null", "_key", "_row")).alias("_first")).select(F.col("_first._row").alias("_row"))
+    return rows.join(chosen, "_row", "left_semi").select(docs.columns)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
