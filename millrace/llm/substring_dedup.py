@@ -46,7 +46,9 @@ from millrace.llm.common import table, written
 from millrace.llm.suffix import common_prefixes, suffix_array
 from millrace.llm.tokens import blocks
 
-WINDOW, GRAM, SLICE, SHARD_BYTES, HOT = 100, 32, 2 << 20, 48 << 20, 4096
+WINDOW, GRAM, SLICE, SHARD_BYTES, HOT = 100, 32, 2 << 20, 16 << 20, 4096
+#: Records that a task holds before it reduces and packs them.
+HELD_RECORDS = 400_000
 _NO_ID = -(1 << 42)
 _RECORD = np.dtype([("anchor", "<u8"), ("whole", "<u8"), ("left", "<u4"), ("right", "<u4"), ("doc", "<i8"), ("lo", "<i8"), ("hi", "<u1"), ("at", "<u1")])
 _TABLE = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(0xD1B54A32D192ED03)
@@ -163,24 +165,34 @@ def _reduced(r: np.ndarray, window: int) -> tuple[np.ndarray, tuple[np.ndarray,
 
 def _record_rows(shards: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
-            for b in blocks(batch, size=SLICE * 2):
-                parts = []
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    part = text_contexts(np.frombuffer(text.as_buffer() if text.is_valid else b"", np.uint8), window)
-                    part["doc"] = doc
-                    parts.append(part)
-                first, gone = _reduced(np.concatenate(parts), window)
-                yield _spans(*gone)
-                numbers, blobs = [], []
-                for number, part in _shards(first, first["anchor"], shards):
-                    numbers.append(number)
-                    blobs.append(_pressed(part))
-                yield _packed(np.array(numbers, np.int32), blobs)
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = text_contexts(np.frombuffer(text.as_buffer() if text.is_valid else b"", np.uint8), window)
+                part["doc"] = doc
+                parts.append(part)
+                held += len(part)
+                if held >= HELD_RECORDS:
+                    yield from _record_batches(parts, shards, window)
+                    parts, held = [], 0
+        if held:
+            yield from _record_batches(parts, shards, window)
 
     return run
 
 
+def _record_batches(parts: list[np.ndarray], shards: int, window: int) -> Iterator[pa.RecordBatch]:
+    """The spans that equal contexts remove right here, and the other records, packed by shard."""
+    first, gone = _reduced(np.concatenate(parts), window)
+    yield _spans(*gone)
+    numbers, blobs = [], []
+    for number, part in _shards(first, first["anchor"], shards):
+        numbers.append(number)
+        blobs.append(_pressed(part))
+    yield _packed(np.array(numbers, np.int32), blobs)
+    pa.default_memory_pool().release_unused()
+
+
 def _pressed(r: np.ndarray) -> bytes:
     """Column by column: ids and offsets press well, hashes not at all."""
     import zstandard
@@ -333,6 +345,7 @@ def _suffix_rows(window: int):
                 datas.append(np.frombuffer(x[end:], np.uint8))
             doc, start = repeated_windows(np.concatenate(cs), np.concatenate(datas), window)
             yield _spans(doc, start, start + window)
+            pa.default_memory_pool().release_unused()
 
     return run
 
