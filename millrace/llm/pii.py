@@ -140,12 +140,14 @@ def shape(kind: str, span: str) -> str:
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, str]]:
     """(kind, start, end, votes, shape) of wide matches that touch no base span or earlier match."""
-    taken, out = [(s, e) for _, s, e in base], []
+    taken, out = bytearray(len(text)), []
+    for _, s, e in base:
+        taken[s:e] = b"\1" * (e - s)
     for kind, wide in _WIDE:
         for m in wide.finditer(text):
             s, e = m.span(1)
-            if not any(s < y and x < e for x, y in taken):
-                taken.append((s, e))
+            if taken.find(1, s, e) < 0:
+                taken[s:e] = b"\1" * (e - s)
                 out.append((KINDS.index(kind), s, e, votes(kind, m[1], text[max(0, s - 48) : s]), shape(kind, m[1])))
     return out
 
