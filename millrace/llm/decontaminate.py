@@ -23,6 +23,7 @@ from millrace.llm.common import let, table, written
 N, MAX_BROADCAST, SHARE = 13, 100_000, 20
 #: Runs of what is in no word, before and after lower-casing (words hold digits, letters, all beyond ASCII).
 BETWEEN = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+RESULT = ("n_words", "n_hit", "items", "spans")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -51,13 +52,14 @@ def windows(bench: DataFrame, item: str = "item_id", text: str = "text", n: int
 
 
 def hits(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", n: int = N, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """docs' other columns with n_words, n_hit, items (array), spans (array of word intervals).
+    """docs' other columns with RESULT: n_words, n_hit, items (array), spans (array of word intervals).
 
     Rows keep their identity by a row number made at the scan, so ids may repeat.
     """
     wins = written(windows(bench, item, "text", n), "windows")
     small = wins.count() <= max_broadcast
-    raw = docs.withColumns({"_row": F.monotonically_increasing_id(), "_raw": _raw_words(text)}).drop(text)
+    others = [c for c in docs.columns if c != text and c not in RESULT]
+    raw = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("doc"), F.monotonically_increasing_id().alias("row"), _raw_words(text).alias("raw"))
     if small:
         anchors = [r[0] for r in wins.select("anchor").distinct().collect()]
         is_anchor = (lambda w: F.lower(w).isin(anchors)) if anchors else (lambda w: F.lit(False))
@@ -71,23 +73,23 @@ def hits(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "ite
         offered = F.transform(places, lambda p: F.struct(p.alias("p"), F.lower(ws[p]).alias("a"), context(p).alias("c"), F.least(p, F.lit(n - 1)).alias("left")))
         return F.struct(F.size(ws).cast("long").alias("n"), F.when(F.size(ws) > 0, offered).alias("offered"))
 
-    rest = [c for c in raw.columns if c != "_raw"]
     # exploding a one-element array keeps the optimizer from computing the words twice
-    seen = raw.select(*rest, F.explode(F.array(let(F.col("_raw"), around))).alias("_x"))
-    offers = seen.select(*rest, F.col("_x.n").alias("n_words"), F.explode_outer("_x.offered").alias("o"))
+    seen = raw.select("doc", "row", F.explode(F.array(let(F.col("raw"), around))).alias("x"))
+    offers = seen.select("doc", "row", F.col("x.n").alias("n_words"), F.explode_outer("x.offered").alias("o"))
     same = F.when(F.col("k") <= F.col("o.left"), F.slice("o.c", F.col("o.left") - F.col("k") + 1, F.size("win")) == F.col("win")).otherwise(False)
     found = offers.join(wins, (F.col("o.a") == F.col("anchor")) & same, "left")
     start = F.col("o.p") - F.col("k")
     span = F.when(F.col("win").isNotNull(), F.struct(start.alias("s"), (start + F.size("win")).alias("e")))
-    by_row = found.groupBy("_row").agg(
-        *[F.first(c).alias(c) for c in rest if c != "_row"],
+    by_row = found.groupBy("row").agg(
+        F.first("doc").alias("doc"),
         F.first("n_words").alias("n_words"),
         F.collect_set(span).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     step = lambda a, x: F.struct((a["n"] + F.greatest(x["e"] - F.greatest(x["s"], a["end"]), F.lit(0))).alias("n"), F.greatest(x["e"], a["end"]).alias("end"))
-    return by_row.withColumn("n_hit", F.aggregate(F.sort_array("spans"), zero, step, lambda a: a["n"]).cast("long"))
+    n_hit = F.aggregate(F.sort_array("spans"), zero, step, lambda a: a["n"]).cast("long")
+    return by_row.select(*[F.col("doc")[c].alias(c) for c in others], "n_words", n_hit.alias("n_hit"), "items", "spans")
 
 
 def is_contaminated(share: int = SHARE) -> Column:
