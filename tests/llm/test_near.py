@@ -149,7 +149,8 @@ def test_dedup_of_planted_passages(spark, how):
 
 
 def test_dedup_of_odd_ids(spark):
-    text = "".join(random.Random(2).choice("abcdef") for _ in range(200))
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcdef") for _ in range(200))
     df = spark.createDataFrame([(1, text, 0), (1, text, 0), (None, text, 0)], "doc_id long, text string, start int")
     got = sorted(((r.doc_id, r.n_removed) for r in substring_dedup.dedup(df).collect()), key=repr)
     assert got == [(1, 200), (1, 200), (None, 0)]
@@ -157,7 +158,7 @@ def test_dedup_of_odd_ids(spark):
 
 
 def test_slices_of_a_long_text(monkeypatch):
-    data = np.frombuffer(("".join(random.Random(4).choice("abcd") for _ in range(5000))).encode(), np.uint8)
+    data = np.random.default_rng(4).integers(97, 101, 5000).astype(np.uint8)
     whole = substring_dedup.text_contexts(data)
     monkeypatch.setattr(substring_dedup, "SLICE", 700)
     parts = substring_dedup.text_contexts(data)
