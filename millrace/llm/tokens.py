@@ -3,10 +3,12 @@
 A tokenizer that first splits its text gives a text the ids of its chunks, one after the other,
 if the chunks are cut only where it always splits:
 
-- "words" (white space only parts words): between runs of ASCII white space;
+- "words" (white space only parts words, case is folded): at ASCII white space, which goes;
+  A-Z are lowered beforehand;
 - "bytes" (byte-level pattern, a word takes the blank before it): before a single blank between
   other characters, and around a single line feed between other characters. A text with
-  white space or separators beyond ASCII is encoded whole.
+  white space or separators beyond ASCII is encoded whole;
+- both: between an ASCII letter and ASCII punctuation, but not after an apostrophe.
 
 Chunks are cut and counted as arrays; a bounded cache keeps the ids of chunks seen before.
 Strings of special tokens in a text count as ordinary text.
@@ -14,6 +16,7 @@ Strings of special tokens in a text count as ordinary text.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from itertools import chain
 
@@ -21,13 +24,21 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE, BLOCK_BYTES = 700_000, 4 << 20
+CACHE, BLOCK_BYTES = 250_000, 2 << 20
 #: White space and separators that the byte-level pattern could join with a blank.
 _RARE = "[\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x1c-\\x1f]"
 
 
+_BYTES = np.arange(256)
+_IS_LETTER = ((_BYTES | 32) >= 97) & ((_BYTES | 32) <= 122) & (_BYTES < 128)
+_IS_APOSTROPHE = _BYTES == 39
+_IS_SIGN = (_BYTES > 32) & (_BYTES < 127) & ~_IS_LETTER & ~((_BYTES >= 48) & (_BYTES <= 57))
+_LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
+
+
 class ChunkEncoder:
     def __init__(self, path: str, kind: str, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task; Spark has the others
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -43,16 +54,33 @@ class ChunkEncoder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_apart(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each chunk)."""
+        lists = self._encode([c.decode() for c in chunks])
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes
+
+    def _encode_joined(self, chunks: list[bytes], run: int = 500) -> tuple[np.ndarray, np.ndarray]:
+        """The same for chunks that white space parts: many to a text, told apart by the tokens' offsets."""
+        words = [c.decode() for c in chunks]
+        runs = [words[i : i + run] for i in range(0, len(words), run)]
+        ids, sizes = [], []
+        for part, e in zip(runs, self.tokenizer.encode_batch([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+            starts = np.fromiter((o[0] for o in e.offsets), np.int64, len(e))
+            ids.append(np.array(e.ids, np.uint32))
+            sizes.append(np.bincount(np.searchsorted(ends, starts, "right"), minlength=len(part)))
+        return np.concatenate(ids), np.concatenate(sizes)
+
     def _learn(self, chunks: list[bytes]) -> None:
         for i in range(0, len(chunks), 20_000):
             part = chunks[i : i + 20_000]
-            lists = self._encode([c.decode() for c in part])
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            flat, sizes = self._encode_apart(part) if self.kind == "bytes" else self._encode_joined(part)
             ends = self.used + np.cumsum(sizes)
             end = int(ends[-1])
             if end > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), end), np.uint32)])
-            self.ids[self.used : end] = np.fromiter(chain.from_iterable(lists), np.uint32, end - self.used)
+            self.ids[self.used : end] = flat
             self.places.update(zip(part, range(len(self.sizes), len(self.sizes) + len(part)), strict=True))
             self.starts = np.concatenate([self.starts, ends - sizes])
             self.sizes = np.concatenate([self.sizes, sizes])
@@ -61,21 +89,23 @@ class ChunkEncoder:
     def _chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(bytes, chunk offsets, chunks before each text and in all)."""
         blank = (data == 32) | ((data >= 9) & (data <= 13))
+        edge = offsets[:-1][offsets[:-1] < offsets[1:]]
+        letter, sign = _IS_LETTER[data], _IS_SIGN[data]
+        first = np.zeros(len(data), bool)
+        first[1:] = (letter[:-1] & sign[1:]) | (sign[:-1] & ~_IS_APOSTROPHE[data[:-1]] & letter[1:])
         if self.kind == "words":
-            first = ~blank
-            first[1:] &= blank[:-1]
-            edge = offsets[:-1][offsets[:-1] < offsets[1:]]
-            first[edge] = ~blank[edge]
-            kept = np.concatenate([[0], np.cumsum(~blank)])
+            first[1:] |= blank[:-1]
+            first[edge] = True
+            first &= ~blank
+            kept = np.concatenate([[0], np.cumsum(~blank, dtype=np.int32)])
             starts = np.flatnonzero(first)
-            return data[~blank], np.append(kept[starts], kept[-1]), np.searchsorted(starts, offsets)
-        first = np.zeros(len(data), bool)
+            return _LOWER[data[~blank]], np.append(kept[starts], kept[-1]), np.searchsorted(starts, offsets)
         alone = blank.copy()
         alone[1:] &= ~blank[:-1]
         alone[:-1] &= ~blank[1:]
         first |= alone & ((data == 32) | (data == 10))
         first[1:] |= (alone & (data == 10))[:-1]
-        first[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+        first[edge] = True
         starts = np.flatnonzero(first)
         return data, np.append(starts, len(data)), np.searchsorted(starts, offsets)
 
