@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Characters without width that split words unseen (fixed values).
 ZERO_WIDTH = "​‌‍⁠﻿"
@@ -24,7 +25,7 @@ def unmasked(text: Column) -> Column:
     return F.translate(canonical(text), *HOMOGLYPHS)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Unicode NFKC; no built-in function does it."""
     import unicodedata

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from millrace.functions.text import canonical
 from millrace.operators.rules import INJECTION, score, with_hits
 
-_BY_TURN = W.partitionBy("conv_id").orderBy("turn")
+def _by_turn():
+    return W.partitionBy("conv_id").orderBy("turn")
 
 
 def change_by_role(turns: DataFrame) -> DataFrame:
@@ -20,21 +21,21 @@ def change_by_role(turns: DataFrame) -> DataFrame:
 
 def running_score(turns: DataFrame) -> DataFrame:
     hit = with_hits(turns, "text")
-    total = F.sum(score()).over(_BY_TURN.rowsBetween(W.unboundedPreceding, 0))
+    total = F.sum(score()).over(_by_turn().rowsBetween(W.unboundedPreceding, 0))
     return hit.select("conv_id", "turn", F.round(score(), 6).alias("turn_score"), F.round(total, 6).alias("running_score"))
 
 
 def split_payload(turns: DataFrame, span: int = 3) -> DataFrame:
     """User turns where rules hit the last `span` user turns together, but not the turn alone."""
     users = turns.where("role = 'user'")
-    joined = F.array_join(F.collect_list("text").over(_BY_TURN.rowsBetween(1 - span, 0)), " ")
+    joined = F.array_join(F.collect_list("text").over(_by_turn().rowsBetween(1 - span, 0)), " ")
     alone = with_hits(users.withColumn("joined", joined), "text", name="alone")
     both = with_hits(alone, "joined", name="together")
     return both.where("size(together) > size(alone)").select("conv_id", "turn", F.size("alone").cast("long").alias("n_alone"), F.size("together").cast("long").alias("n_together"))
 
 
 def order_violations(turns: DataFrame) -> DataFrame:
-    before = F.lag("role").over(_BY_TURN)
+    before = F.lag("role").over(_by_turn())
     marked = turns.withColumn("before", before)
     return marked.where("role = before or (role = 'system' and turn > 0) or (before is null and role = 'assistant')").select("conv_id", "turn", "role", "before")
 
