@@ -100,9 +100,10 @@ def is_contaminated(share: int = SHARE) -> Column:
 def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", n: int = N, share: int = SHARE) -> DataFrame:
     """docs without contaminated documents, and without the hit spans of the others.
 
-    Only the row numbers and spans of documents with hits meet the text again.
+    Only the row numbers and spans of documents with hits meet the text again. Row numbers are
+    written down with the rows: another scan might split its input otherwise.
     """
-    whole = docs.withColumn("_doc_row", F.monotonically_increasing_id())
+    whole = written(docs.withColumn("_doc_row", F.monotonically_increasing_id()), "rows")
     judged = hits(whole.select("_doc_row", text), bench, text, n=n).where("n_hit > 0")
     judged = judged.select(F.col("_doc_row").alias("_hit_row"), "spans", is_contaminated(share).alias("_out"))
     joined = whole.join(written(judged, "contaminated"), F.col("_doc_row") == F.col("_hit_row"), "left")

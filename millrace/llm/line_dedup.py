@@ -64,7 +64,8 @@ def drop_boilerplate(
     if drop.count() <= max_broadcast_lines:
         joined = docs.join(F.broadcast(lists), F.col(site).eqNullSafe(F.col("_s")), "left").drop("_s")
     else:
-        keyed = docs.withColumn("_row", F.monotonically_increasing_id())
+        # row numbers are written down: another scan might split its input otherwise
+        keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
         pairs = keyed.select("_row", F.col(site).alias("_site"), F.explode(_page_keys(text)).alias("_key"))
         hits = pairs.alias("p").join(drop.alias("d"), F.col("p._site").eqNullSafe(F.col("d._site")) & (F.col("p._key") == F.col("d._key")), "left_semi")
         joined = keyed.join(hits.groupBy("_row").agg(F.collect_list("_key").alias("_drop")), "_row", "left").drop("_row")
