@@ -17,6 +17,7 @@ Strings of special tokens in a text count as ordinary text.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -24,11 +25,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE, BLOCK_BYTES = 250_000, 2 << 20
+CACHE, BLOCK_BYTES = 450_000, 2 << 20
 #: White space and separators that the byte-level pattern could join with a blank.
 _RARE = "[\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x1c-\\x1f]"
 
 
+_BLANK_FIRST = re.compile(rb" [^\x09-\x0d\x20]+")
 _BYTES = np.arange(256)
 _IS_LETTER = ((_BYTES | 32) >= 97) & ((_BYTES | 32) <= 122) & (_BYTES < 128)
 _IS_APOSTROPHE = _BYTES == 39
@@ -60,22 +62,34 @@ class ChunkEncoder:
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         return np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes
 
-    def _encode_joined(self, chunks: list[bytes], run: int = 500) -> tuple[np.ndarray, np.ndarray]:
-        """The same for chunks that white space parts: many to a text, told apart by the tokens' offsets."""
+    def _encode_joined(self, chunks: list[bytes], between: str, run: int = 500) -> tuple[np.ndarray, np.ndarray]:
+        """The same for chunks that stay apart with `between` in between: many to a text, told apart by the tokens' offsets."""
         words = [c.decode() for c in chunks]
         runs = [words[i : i + run] for i in range(0, len(words), run)]
-        ids, sizes = [], []
-        for part, e in zip(runs, self.tokenizer.encode_batch([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
-            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for part, e in zip(runs, self.tokenizer.encode_batch([between.join(r) for r in runs], add_special_tokens=False), strict=True):
+            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + len(between))
             starts = np.fromiter((o[0] for o in e.offsets), np.int64, len(e))
             ids.append(np.array(e.ids, np.uint32))
             sizes.append(np.bincount(np.searchsorted(ends, starts, "right"), minlength=len(part)))
         return np.concatenate(ids), np.concatenate(sizes)
 
+    def _encode_bytes(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for byte-level chunks: those of one blank and no further white space are joined."""
+        joined = np.fromiter((_BLANK_FIRST.fullmatch(c) is not None for c in chunks), bool, len(chunks))
+        order = np.argsort(~joined, kind="stable")
+        n = int(joined.sum())
+        a, a_sizes = self._encode_joined([chunks[i] for i in order[:n].tolist()], "")
+        b, b_sizes = self._encode_apart([chunks[i] for i in order[n:].tolist()])
+        flat, grouped = np.concatenate([a, b]), np.concatenate([a_sizes, b_sizes])
+        starts, sizes = np.empty(len(chunks), np.int64), np.empty(len(chunks), np.int64)
+        starts[order], sizes[order] = np.cumsum(grouped) - grouped, grouped
+        return flat[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(flat))], sizes
+
     def _learn(self, chunks: list[bytes]) -> None:
         for i in range(0, len(chunks), 20_000):
             part = chunks[i : i + 20_000]
-            flat, sizes = self._encode_apart(part) if self.kind == "bytes" else self._encode_joined(part)
+            flat, sizes = self._encode_joined(part, " ") if self.kind == "words" else self._encode_bytes(part)
             ends = self.used + np.cumsum(sizes)
             end = int(ends[-1])
             if end > len(self.ids):
