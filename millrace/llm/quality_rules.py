@@ -94,8 +94,6 @@ def clean(docs: DataFrame, text: str = "text", max_loss: float = 0.5) -> DataFra
 
     kept: base rules passed, and failing lines held at most max_loss of the words.
     """
-    whole = F.coalesce(F.col(text), F.lit(""))
-    lines = F.split(whole, "\n")
 
     def by_words(w: Column) -> Column:
         return F.struct(
@@ -104,30 +102,41 @@ def clean(docs: DataFrame, text: str = "text", max_loss: float = 0.5) -> DataFra
             repeat_words(w).cast("long").alias("n_repeat_words"),
         )
 
-    def by_lines(ls: Column) -> Column:
+    def by_lines(t: Column, ls: Column, fails: Column) -> Column:
         full = F.filter(ls, lambda x: x.rlike(WORD))
+        twins = F.when(F.size(ls) < 2, F.lit(0)).otherwise(let(full, lambda f: F.size(f) - F.size(F.array_distinct(f))))
+        failing, passed = F.filter(ls, lambda x, i: fails[i]), F.filter(ls, lambda x, i: ~fails[i])
+        lost = F.size(words(F.array_join(failing, " ")))
         return F.struct(
-            F.when(F.size(ls) < 2, F.lit(0)).otherwise(let(full, lambda f: F.size(f) - F.size(F.array_distinct(f)))).cast("long").alias("n_dup_lines"),
-            F.transform(ls, lambda x: line_fails(x, F.col("_m"))).alias("fails"),
+            twins.cast("long").alias("n_dup_lines"),
+            F.when(F.exists(fails, lambda x: x), lost).otherwise(F.lit(0)).cast("long").alias("lost_words"),
+            F.when(F.exists(fails, lambda x: x), F.array_join(passed, "\n")).otherwise(t).alias("clean_text"),
         )
 
-    taken = docs.withColumn("_m", whole.rlike(MARKS)).withColumns({"_w": let(words(whole), by_words), "_l": let(lines, by_lines)})
-    n, fails = F.col("_w.n_words"), F.col("_l.fails")
-    failing = F.filter(lines, lambda x, i: fails[i])
-    lost = F.when(~F.exists(fails, lambda x: x), F.lit(0)).otherwise(F.size(words(F.array_join(failing, " ")))).cast("long")
-    base = (n < 10) | (100 * F.col("_w.n_repeat_words") > 20 * n)
-    counted = taken.select(
-        *[docs[c] for c in docs.columns if c not in ADDED],
-        F.when(~F.exists(fails, lambda x: x), whole).otherwise(F.array_join(F.filter(lines, lambda x, i: ~fails[i]), "\n")).alias("clean_text"),
+    def judged(x: Column) -> Column:
+        t, marked = x["t"], x["m"]
+        lines = let(F.split(t, "\n"), lambda ls: let(F.transform(ls, lambda line: line_fails(line, marked)), lambda fails: by_lines(t, ls, fails)))
+        symbols = F.when(marked, F.regexp_count(t, F.lit(SYMBOLS))).otherwise(F.lit(0))
+        return F.struct(let(words(t), by_words).alias("w"), lines.alias("l"), symbols.cast("long").alias("n_symbols"))
+
+    whole = F.coalesce(F.col(text), F.lit(""))
+    judgement = let(F.struct(whole.alias("t"), whole.rlike(MARKS).alias("m")), judged)
+    # exploding a one-element array keeps the optimizer from computing any of it twice
+    taken = docs.select(*[c for c in docs.columns if c not in ADDED], F.explode(F.array(judgement)).alias("_judged"))
+    n, lost = F.col("_judged.w.n_words"), F.col("_judged.l.lost_words")
+    base = (n < 10) | (100 * F.col("_judged.w.n_repeat_words") > 20 * n)
+    return taken.select(
+        *[c for c in docs.columns if c not in ADDED],
+        F.col("_judged.l.clean_text").alias("clean_text"),
         n.alias("n_words"),
-        F.col("_w.word_chars").alias("word_chars"),
-        F.when(F.col("_m"), F.regexp_count(whole, F.lit(SYMBOLS))).otherwise(F.lit(0)).cast("long").alias("n_symbols"),
-        F.col("_l.n_dup_lines").alias("n_dup_lines"),
-        F.col("_w.n_repeat_words").alias("n_repeat_words"),
+        F.col("_judged.w.word_chars").alias("word_chars"),
+        F.col("_judged.n_symbols").alias("n_symbols"),
+        F.col("_judged.l.n_dup_lines").alias("n_dup_lines"),
+        F.col("_judged.w.n_repeat_words").alias("n_repeat_words"),
         lost.alias("lost_words"),
         base.alias("base_failed"),
+        (~base & (lost <= max_loss * n)).alias("kept"),
     )
-    return counted.withColumn("kept", ~F.col("base_failed") & (F.col("lost_words") <= max_loss * F.col("n_words")))
 
 
 def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
