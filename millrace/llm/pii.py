@@ -38,7 +38,6 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_ANY = re.compile(r"[0-9@=:]")
 _DIGIT = re.compile(r"[0-9]")
 
 #: Wide patterns for candidates, by kind; group 1 is the span.
@@ -167,10 +166,6 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             base, found = [], []
             for t in b.column(1):
                 t = t.as_py() or ""
-                if not _ANY.search(t):
-                    base.append([])
-                    found.append([])
-                    continue
                 spans = base_spans(t)
                 base.append([dict(zip(names, x, strict=False)) for x in spans])
                 found.append([dict(zip(names, x, strict=True)) for x in candidates(t, spans)])

@@ -59,6 +59,13 @@ def test_votes_find_secrets_and_leave_numbers(spark):
     assert pii.redact("mail a@b.cd now", [{"kind": 0, "start": 5, "end": 11}]) == "mail [EMAIL] now"
 
 
+@pytest.mark.parametrize("text", ["write to jane.doe (at) example (dot) com please", f"use sk_{'abcdefghij' * 2} here", f"key {'QWERTYUIOP' * 2} here", f"sum {'abcdef' * 3} here"])
+def test_candidates_need_no_digit_elsewhere(spark, text):
+    df = spark.createDataFrame([(1, text), (2, f"{text} 5 = 5")], "doc_id long, text string")
+    alone, beside = (r.found for r in pii.scan(df).orderBy("doc_id").collect())
+    assert len(alone) == 1 and alone[0] in beside
+
+
 def test_quality_on_held_out_rows(spark, small):
     got = {r.doc_id: r for r in quality_model.op2_nbsvm(spark, small).collect()}
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for i, r in got.items())
