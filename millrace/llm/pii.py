@@ -9,7 +9,7 @@ classifier on the candidates' shapes is trained with these posteriors and gives
 
 Scale: one pass over the text. Only counts by (kind, votes, shape), whose number is bounded by
 the labelers and shape classes, reach the driver. All patterns take time linear in the text:
-runs are entered at their start only and other repeats are bounded.
+runs are entered at their start only, and repeats that are not possessive runs are bounded.
 
 Defined results: a null text is empty; repeated rows are scanned one by one; an empty table, or
 one without candidates, gives base spans alone; other columns are left out of the result.
@@ -39,18 +39,20 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+#: A secret whose run goes on into a span found before ends there, if so much is left.
+LEAST_LEFT = 20
 
 #: Wide patterns for candidates, by kind; group 1 is the span.
 _WIDE = (
-    ("secret", re.compile(r"(?i)(?<![A-Za-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\x20\"']{0,3}[=:]\s{0,3}[\"']?([^\s\"'<>]{6,200})")),
-    ("secret", re.compile(r"(?<![0-9A-Za-z])([A-Z]{4}[0-9A-Z]{16}|[a-z]{2,4}[_-][A-Za-z0-9]{20,80})(?![0-9A-Za-z])")),
-    ("secret", re.compile(r"(?<![0-9A-Za-z])([0-9a-f]{16,128})(?![0-9A-Za-z])")),
+    ("secret", re.compile(r"(?i)(?<![A-Za-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\x20\"']{0,3}[=:]\s{0,3}[\"']?([^\s\"'<>]{6,}+)")),
+    ("secret", re.compile(r"(?<![0-9A-Za-z])([A-Z]{4}[0-9A-Z]{16}|[a-z]{2,4}[_-][A-Za-z0-9]{20,}+)(?![0-9A-Za-z])")),
+    ("secret", re.compile(r"(?<![0-9A-Za-z])([0-9a-f]{16,}+)(?![0-9A-Za-z])")),
     ("phone", re.compile(r"(?<![0-9.+-])(\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4})(?![0-9])")),
     ("email", re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z0-9-]{1,63}){1,4})")),
     ("national_id", re.compile(r"(?<![0-9-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")),
     # any other token with a digit: mostly no secret, and what EM needs to tell the classes apart
-    ("secret", re.compile(r"(?<![0-9A-Za-z])((?=[A-Za-z_-]{0,40}[0-9])[0-9A-Za-z_-][0-9A-Za-z._/-]{0,80})")),
+    ("secret", re.compile(r"(?<![0-9A-Za-z_-])((?=[A-Za-z_-]*+[0-9])[0-9A-Za-z._/-]++)")),
 )
 
 #: Key names and key prefixes of the gazetteer (fixed values).
@@ -145,9 +147,12 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     for kind, wide in _WIDE:
         for m in wide.finditer(text):
             s, e = m.span(1)
-            if taken.find(1, s, e) < 0:
+            other = taken.find(1, s, e)
+            if kind == "secret" and other - s >= LEAST_LEFT:
+                e, other = other, -1
+            if other < 0:
                 taken[s:e] = b"\1" * (e - s)
-                out.append((KINDS.index(kind), s, e, votes(kind, m[1], text[max(0, s - 48) : s]), shape(kind, m[1])))
+                out.append((KINDS.index(kind), s, e, votes(kind, text[s:e], text[max(0, s - 48) : s]), shape(kind, text[s:e])))
     return out
 
 

@@ -66,6 +66,22 @@ def test_candidates_need_no_digit_elsewhere(spark, text):
     assert len(alone) == 1 and alone[0] in beside
 
 
+@pytest.mark.parametrize("before, secret", [("token=", "eyJ" + "aB3-_" * 80), ("see ", "sk_" + "a1B2" * 30), ("see ", "0a1b" * 50), ("see ", "x" * 50 + "1/" + "y" * 90)])
+def test_long_secrets_are_whole(before, secret):
+    text = f"{before}{secret} and more"
+    assert [(s, e) for _, s, e, *_ in pii.candidates(text, pii.base_spans(text))] == [(len(before), len(before) + len(secret))]
+
+
+def test_a_secret_ends_where_an_address_starts():
+    text = "token=" + "x1" * 150 + "/a@b.cd"
+    assert [(s, e) for _, s, e, *_ in pii.candidates(text, pii.base_spans(text))] == [(6, 307)]
+
+
+def test_unbounded_runs_take_linear_time():
+    for t in ("_-" * 150_000, "a-" * 150_000, "sk_" * 100_000, "token=" * 50_000, "f" * 300_000 + "g", "a/" * 150_000, "a_" * 150_000 + "."):
+        pii.candidates(t, pii.base_spans(t))
+
+
 def test_quality_on_held_out_rows(spark, small):
     got = {r.doc_id: r for r in quality_model.op2_nbsvm(spark, small).collect()}
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for i, r in got.items())
