@@ -14,7 +14,8 @@ a window), so a window meets its equals in one shard and a host may fill any num
 Only marks on blocks of pages without a main zone are joined back.
 
 Defined results: null and empty html give empty text; a null url is a host of its own; rows
-that repeat an id are extracted one by one; unclosed tags end with their container; an empty
+that repeat an id are extracted one by one; unclosed tags end with their container (scripts, styles, titles,
+text areas and frames, whose content is no markup, with the page); svg and math may close themselves; an empty
 table gives an empty result; other columns are left out.
 """
 
@@ -37,14 +38,17 @@ MIN_TOKENS, SHARD_TOKENS = 6, 2_000_000
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|object|textarea|select|head|title|math|canvas|video|audio)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|textarea|title|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(?:svg|math)\b(?:[^>\"'/]|/(?!>)|\"[^\"]*\"|'[^']*')*+/>"
+    r"|<(noscript|template|svg|object|select|head|math|canvas|video|audio)\b[^>]*>[^<]*+(?:<(?!/?\2\b)[^<]*+)*+</\2\s*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|<[a-zA-Z][^<>]*\Z",
     re.DOTALL | re.IGNORECASE,
 )
 _CLOSED = re.compile(r"<head\b[^>]*>(?:(?!</head|<body).)*(?=<body)", re.DOTALL | re.IGNORECASE)
-#: Fixed lists of HTML.
+#: Fixed lists of HTML. What the pattern above leaves open of _SKIPPED has no end tag before the next of its kind.
+_SKIPPED = frozenset("noscript template svg object select head math canvas video audio".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -96,7 +100,7 @@ def page_blocks(page: str) -> list[tuple[str, str]]:
     def flush() -> None:
         if parts:
             text = " ".join(html_module.unescape("".join(parts)).split())
-            if text:
+            if text and zone != "skip":
                 out.append((zone, text))
             parts.clear()
 
@@ -105,9 +109,9 @@ def page_blocks(page: str) -> list[tuple[str, str]]:
         if m.start() > at:
             parts.append(page[at : m.start()])
         at = m.end()
-        tag = m[3]
+        tag = m[4]
         if tag is None:
-            if m[1] and m[1].lower() in ("textarea", "select", "head", "title"):
+            if (m[1] or m[2] or "").lower() in ("textarea", "select", "head", "title"):
                 flush()
             continue
         tag = tag.lower()
@@ -117,7 +121,7 @@ def page_blocks(page: str) -> list[tuple[str, str]]:
         block = tag in _BLOCK
         if block:
             flush()
-        if m[2]:
+        if m[3]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if depth is not None:
                 if not block:
@@ -125,13 +129,18 @@ def page_blocks(page: str) -> list[tuple[str, str]]:
                 del stack[depth:]
                 zone = stack[-1][1] if stack else "open"
             continue
-        if tag in _VOID or m[4].endswith("/"):
+        if tag in _VOID or m[5].endswith("/"):
+            continue
+        if tag in _SKIPPED:
+            flush()
+            stack.append((tag, "skip"))
+            zone = "skip"
             continue
         if block and stack and stack[-1][0] in _SELF_CLOSING and (stack[-1][0] == tag or stack[-1][0] == "p"):
             stack.pop()
             zone = stack[-1][1] if stack else "open"
-        is_main = tag in ("article", "main") or (m[4] and re.search(r"role\s*=\s*[\"']?main", m[4], re.IGNORECASE))
-        side = _is_side(tag, m[4], zone == "main")
+        is_main = tag in ("article", "main") or (m[5] and re.search(r"role\s*=\s*[\"']?main", m[5], re.IGNORECASE))
+        side = _is_side(tag, m[5], zone == "main")
         if side and (block or tag in _INLINE_HOLDERS):
             if not block:
                 flush()

@@ -119,6 +119,12 @@ def test_page_text():
     assert html_extract.main_text("<article><h1>A</h1><p>b &am") == "A\nb &am"
 
 
+@pytest.mark.parametrize("inner", ['<svg class="i" x="a/b>"/>', "<math/>", "<svg/>x<svg><path/></svg>", "<div><svg>x</div>", "<div><select><option>x</div>", "<div><video src=v></div>", "<div><object>x<svg>y</div>", "<svg>x<svg>y</svg>z</svg>", "<div><svg>x</div><svg>y</svg>"])
+def test_skipped_elements_end_with_their_container(inner):
+    got = html_extract.main_text(f"<article><p>a</p>{inner}<p>rest</p></article><footer>f</footer>")
+    assert [x for x in got.split("\n") if x != "x"] == ["a", "rest"]
+
+
 @pytest.mark.parametrize("shard_tokens", [1, 2_000_000])
 def test_host_streams_without_a_main_zone(spark, shard_tokens):
     page = "<body><div><h1>Head {0}</h1><p>Unique text number {0} goes here.<p>Read more on our great site today.</div><div>Home</div></body>"
