@@ -2,7 +2,8 @@
 
 A page is cut into blocks, each in a zone. "main": within <article> or <main> and not within
 menus, forms, adverts, comments and the like there. "side": within such containers. "open":
-neither. A page with a main zone is that zone. Other pages are their open blocks without what
+neither. An <article> within such a container, as teasers are, is "main" only where there is
+nothing main or open. A page with text in a main zone is that zone. Other pages are their open blocks without what
 their host repeats: the token streams of a host's side and open blocks are concatenated, a
 suffix array by induced sorting finds runs of `min_tokens` or more tokens on distinct pages,
 covered tokens go and unique runs stay. Main zones are no part of the streams: an article that a
@@ -68,9 +69,6 @@ _SIDE_WORDS = frozenset(
 _BODY_WORDS = frozenset(["article", "content", "entry", "post", "story"])
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
-#: What may open a main zone, for a quick look without parsing.
-MAIN_MARK = "(?i)<(article|main)\\b|role\\s*=\\s*[\"']?main"
-
 
 def _is_side(tag: str, attributes: str, in_main: bool) -> bool:
     if tag in _SIDE_TAGS or (tag == "header" and not in_main):
@@ -146,7 +144,10 @@ def page_blocks(page: str) -> list[tuple[str, str]]:
                 flush()
             stack.append((tag, "side"))
             zone = "side"
-        elif is_main and (zone != "side" or not seen_main):
+        elif tag == "article" and zone in ("side", "inner") and not seen_main and any(z == "side" and t != "form" for t, z in stack):
+            stack.append((tag, "inner"))
+            zone = "inner"
+        elif is_main and (zone not in ("side", "inner") or not seen_main):
             seen_main = True
             stack.append((tag, "main"))
             zone = "main"
@@ -155,7 +156,9 @@ def page_blocks(page: str) -> list[tuple[str, str]]:
     if at < len(page):
         parts.append(page[at:])
     flush()
-    return out
+    zones = {z for z, _ in out}
+    found = "main" if not zones & {"main", "open"} else "side"
+    return [(found if z == "inner" else z, t) for z, t in out]
 
 
 def main_text(page: str | None) -> str:
@@ -292,24 +295,27 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     kind = pages.schema[key].dataType.simpleString()
     host = F.lower(F.regexp_extract(F.col(url), "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     whole = pages.select(F.col(key), F.col(url), host.alias("_host"), F.monotonically_increasing_id().alias("_page"), F.coalesce(F.col(html), F.lit("")).alias("_html"))
-    with_main = F.col("_html").rlike(MAIN_MARK)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([main_text(x) for x in b.column(2).to_pylist()], pa.string())], names=[key, url, "text"])
+            mains = [[t for z, t in page_blocks(x) if z == "main"] for x in b.column(2).to_pylist()]
+            with_main = b.filter(pa.array([bool(x) for x in mains], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([with_main.column(0), with_main.column(1), pa.array(["\n".join(x) for x in mains if x], pa.string())], names=[key, url, "text"])
 
-    by_structure = whole.where(with_main).select(key, url, "_html").mapInArrow(texts, f"{key} {kind}, {url} string, text string")
+    by_structure = whole.select(key, url, "_html").mapInArrow(texts, f"{key} {kind}, {url} string, text string")
 
     def open_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            blocks = [[t for z, t in page_blocks(x) if z == "open"] for x in b.column(4).to_pylist()]
+            pages = [page_blocks(x) for x in b.column(4).to_pylist()]
+            without = [all(z != "main" for z, _ in x) for x in pages]
+            b = b.filter(pa.array(without, pa.bool_()))
+            blocks = [[t for z, t in x if z == "open"] for x, ok in zip(pages, without, strict=True) if ok]
             hashes = [[_hash(h, t) for t in x] for h, x in zip(b.column(2).to_pylist(), blocks, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:2], b.column(3), pa.array(blocks, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64()))], names=[key, url, "_page", "texts", "hashes"])
 
-    rest = whole.where(~with_main).select(key, url, "_host", "_page", "_html")
-    if rest.isEmpty():
+    left = whole.select(key, url, "_host", "_page", "_html").mapInArrow(open_blocks, f"{key} {kind}, {url} string, _page long, texts array<string>, hashes array<long>")
+    if left.isEmpty():
         return by_structure
-    left = rest.mapInArrow(open_blocks, f"{key} {kind}, {url} string, _page long, texts array<string>, hashes array<long>")
     rows = left.select(key, url, "_page", F.posexplode_outer(F.arrays_zip("texts", "hashes"))).select(key, url, "_page", "pos", F.col("col.texts").alias("_text"), F.col("col.hashes").alias("block"))
     marked = rows.join(written(host_boilerplate(whole, width), "marks"), "block", "left")
     tokens = F.split("_text", " ")

@@ -136,6 +136,19 @@ def test_host_streams_without_a_main_zone(spark, shard_tokens):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("mark", ["<!-- <article> -->", "<script>'<main>'</script>", "<main></main>", '<div class="sidebar"><article>Teaser {0}</article></div>', '<section class="comments"><article>Reply {0}</article></section>'])
+def test_pages_without_main_text_go_to_the_host_stream(spark, mark):
+    page = "<body>" + mark + "<div><h1>Head {0}</h1><p>Unique text number {0} goes here.<p>Read more on our great site today.</div></body>"
+    df = spark.createDataFrame([(i, f"http://a.com/{i}", page.format(i)) for i in range(12)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert got == {i: f"Head {i}\nUnique text number {i} goes here." for i in range(12)}
+
+
+def test_an_article_alone_in_a_side_container_is_the_text():
+    assert html_extract.main_text("<body><div class='overlay'><nav>n</nav><article>x</article></div></body>") == "x"
+    assert html_extract.main_text("<body><form><div>d</div><article>x</article></form></body>") == "x"
+
+
 def test_op7_is_the_article(spark, small):
     import html
 
