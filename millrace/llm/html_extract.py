@@ -5,12 +5,14 @@ menus, forms, adverts, comments and the like there. "side": within such containe
 neither. An <article> within such a container, as teasers are, is "main" only where there is
 nothing main or open. A page with text in a main zone is that zone. Other pages are their open blocks without what
 their host repeats: the token streams of a host's side and open blocks are concatenated, a
-suffix array by induced sorting finds runs of `min_tokens` or more tokens on distinct pages,
-covered tokens go and unique runs stay. Main zones are no part of the streams: an article that a
+suffix array by induced sorting finds runs of `min_tokens` or more tokens, and shorter blocks as
+wholes, on at least MIN_PAGES distinct pages and MIN_SHARE of the host's; covered tokens go and
+other runs stay. Exact copies of a page count as one. Main zones are no part of the streams: an article that a
 site shows twice is no boilerplate.
 
-Scale: a block that pages of a host share enters the streams once, with its first and last
-page. The streams are sharded by the anchors of their token windows (the least-hashed token of
+Scale: a block that pages of a host share enters the streams once, with its number of pages. A
+window's pages are the sum over its blocks; where blocks of one page share a window, the page
+also gives the run with a negative number, so that the sum counts it once. The streams are sharded by the anchors of their token windows (the least-hashed token of
 a window), so a window meets its equals in one shard and a host may fill any number of them.
 Only marks on blocks of pages without a main zone are joined back.
 
@@ -25,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import html as html_module
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +38,9 @@ from pyspark.sql import functions as F
 from millrace.llm.common import table, written
 from millrace.llm.suffix import suffix_array
 
-MIN_TOKENS, SHARD_TOKENS = 6, 2_000_000
+MIN_TOKENS, SHARD_TOKENS = 30, 2_000_000
+#: Host boilerplate is on so many distinct pages of its host at least, and on such a share of them.
+MIN_PAGES, MIN_SHARE = 3, 0.1
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -172,16 +177,41 @@ def _hash(*parts: str | None) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(p if p is not None else "\1" for p in parts).encode(errors="surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _side_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Side and open blocks of pages, each once a page: page, host, block."""
-    for b in batches:
-        pages, hosts, blocks = [], [], []
-        for page, host, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            for block in {t for z, t in page_blocks(text or "") if z != "main"}:
-                pages.append(page)
-                hosts.append(host)
-                blocks.append(block)
-        yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(hosts, pa.string()), pa.array(blocks, pa.string())], names=["page", "host", "block"])
+def _shared_runs(blocks: set[str], width: int) -> Iterator[tuple[str, int]]:
+    """(run, times too many): runs of token windows that several of a page's blocks hold, each window in one run."""
+    lists = [t for t in (b.split(" ") for b in blocks) if len(t) >= width]
+    if len(lists) < 2:
+        return
+    windows = [[tuple(t[i : i + width]) for i in range(len(t) - width + 1)] for t in lists]
+    times = Counter(w for x in windows for w in set(x))
+    done = set()
+    for tokens, own in zip(lists, windows, strict=True):
+        at = 0
+        while at < len(own):
+            n, start = times[own[at]], at
+            while n > 1 and at < len(own) and times[own[at]] == n and own[at] not in done:
+                done.add(own[at])
+                at += 1
+            if at > start:
+                yield " ".join(tokens[start : at - 1 + width]), n - 1
+            else:
+                at += 1
+
+
+def _side_rows(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Side and open blocks of pages, each once a page: host, block, share of a distinct page."""
+        for b in batches:
+            hosts, blocks, pages = [], [], []
+            for host, text, share in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                own = {t for z, t in page_blocks(text) if z != "main"}
+                for block, n in [*((t, 1) for t in own), *((t, -n) for t, n in _shared_runs(own, width))]:
+                    hosts.append(host)
+                    blocks.append(block)
+                    pages.append(n * share)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(blocks, pa.string()), pa.array(pages, pa.float64())], names=["host", "block", "pages"])
+
+    return run
 
 
 def windows_by_anchor(tokens: list[int], width: int) -> Iterator[tuple[int, int, int]]:
@@ -200,22 +230,22 @@ def _context_rows(width: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for host, block, first, last in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for host, block, pages, need in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 tokens = [_hash(t) for t in block.split(" ")]
                 of, host_ = _hash(host, block), _hash(host)
                 if len(tokens) < width:  # shorter than a window: its own window, compared as a whole
-                    out.append((_hash(host, block) % shards, host_, of, 0, first, last, [len(tokens), *tokens]))
+                    out.append((_hash(host, block) % shards, host_, of, 0, pages, need, [len(tokens), *tokens]))
                 for anchor, lo, hi in windows_by_anchor(tokens, width):
-                    out.append(((anchor ^ host_) % shards, host_, of, lo, first, last, tokens[lo : hi + width]))
-            names = ["shard", "host", "block", "start", "first", "last", "tokens"]
-            kinds = [pa.int32(), *[pa.int64()] * 5, pa.list_(pa.int64())]
+                    out.append(((anchor ^ host_) % shards, host_, of, lo, pages, need, tokens[lo : hi + width]))
+            names = ["shard", "host", "block", "start", "pages", "need", "tokens"]
+            kinds = [pa.int32(), *[pa.int64()] * 3, *[pa.float64()] * 2, pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
 
     return run
 
 
-def repeated_runs(host: np.ndarray, block: np.ndarray, start: np.ndarray, first: np.ndarray, last: np.ndarray, lists: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(block, start, end) of token windows that distinct pages of a host share."""
+def repeated_runs(host: np.ndarray, block: np.ndarray, start: np.ndarray, pages: np.ndarray, need_pages: np.ndarray, lists: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(block, start, end) of token windows on so many pages of a host as are needed."""
     sizes = np.array([len(x) for x in lists])
     string = np.zeros(int(sizes.sum()) + len(lists) + 1, np.int64)
     begin = np.cumsum(sizes + 1) - sizes - 1
@@ -244,12 +274,14 @@ def repeated_runs(host: np.ndarray, block: np.ndarray, start: np.ndarray, first:
     for k in range(width):
         ahead = string[np.minimum(place + k, len(string) - 1)]
         same[1:] &= (ahead[1:] == ahead[:-1]) | (k >= length[1:])
-    order = np.lexsort((host[of[place]], np.cumsum(~same)))
+    order = np.lexsort((block[of[place]], host[of[place]], np.cumsum(~same)))
     group, by_host = np.cumsum(~same)[order], host[of[place]][order]
     new = np.concatenate([[True], (group[1:] != group[:-1]) | (by_host[1:] != by_host[:-1])])
     cuts = np.flatnonzero(new)
-    one, other = np.minimum.reduceat(first[of[place]][order], cuts), np.maximum.reduceat(last[of[place]][order], cuts)
-    hit = np.repeat(one != other, np.diff(np.append(cuts, len(place))))
+    by_block = block[of[place]][order]
+    again = np.concatenate([[False], by_block[1:] == by_block[:-1]]) & ~new  # a block counts once
+    on = np.add.reduceat(np.where(again, 0.0, pages[of[place]][order]), cuts)
+    hit = np.repeat(on > need_pages[of[place]][order][cuts] - 1e-6, np.diff(np.append(cuts, len(place))))
     c, where = of[place][order][hit], at[place][order][hit]
     begin_ = start[c] + where
     return block[c], begin_, begin_ + np.where(short[c], sizes[c], width)
@@ -260,7 +292,7 @@ def _mark_rows(width: int):
         def marks(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(rows).combine_chunks()
             lists = [np.asarray(x.values.to_numpy(zero_copy_only=False)) for x in t["tokens"]]
-            columns = [t[c].to_numpy() for c in ("host", "block", "start", "first", "last")]
+            columns = [t[c].to_numpy() for c in ("host", "block", "start", "pages", "need")]
             return pa.RecordBatch.from_arrays([pa.array(x) for x in repeated_runs(*columns, lists, width)], names=["block", "start", "end"])
 
         held: list[pa.RecordBatch] = []
@@ -281,11 +313,16 @@ def _mark_rows(width: int):
 
 def host_boilerplate(pages: DataFrame, width: int = MIN_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """(block, runs): for blocks of (_page, _host, _html), by hash of host and text, the token runs their host repeats."""
-    seen = pages.select("_page", "_host", "_html").mapInArrow(_side_rows, "page long, host string, block string")
-    distinct = written(seen.groupBy("host", "block").agg(F.min("page").alias("first"), F.max("page").alias("last")), "side-blocks")
+    pages = pages.select("_host", "_html", F.xxhash64("_host", "_html").alias("_copy"))
+    copies = written(pages.groupBy("_host", "_copy").agg(F.count("*").alias("n")), "page-copies")
+    hosts = written(copies.groupBy("_host").agg(F.greatest(F.lit(float(MIN_PAGES)), MIN_SHARE * F.count("*")).alias("need")), "hosts")
+    shares = copies.where("n > 1").select("_copy", (1 / F.col("n")).alias("share"))
+    seen = pages.join(shares, "_copy", "left").select("_host", "_html", F.coalesce("share", F.lit(1.0)).alias("share")).mapInArrow(_side_rows(width), "host string, block string, pages double")
+    blocks = seen.groupBy("host", "block").agg(F.sum("pages").alias("pages"))
+    distinct = written(blocks.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).select("host", "block", "pages", "need"), "side-blocks")
     total = distinct.agg(F.sum(F.length("block"))).first()[0] or 0
     shards = max(1, -(-total // (6 * shard_tokens)))
-    rows = distinct.mapInArrow(_context_rows(width, shards), "shard int, host long, block long, start long, first long, last long, tokens array<long>")
+    rows = distinct.mapInArrow(_context_rows(width, shards), "shard int, host long, block long, start long, pages double, need double, tokens array<long>")
     found = rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(_mark_rows(width), "block long, start long, end long")
     return found.groupBy("block").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
 

@@ -149,6 +149,32 @@ def test_an_article_alone_in_a_side_container_is_the_text():
     assert html_extract.main_text("<body><form><div>d</div><article>x</article></form></body>") == "x"
 
 
+@pytest.mark.parametrize("shard_tokens", [1, 2_000_000])
+def test_host_streams_leave_copies_and_shared_passages(spark, monkeypatch, shard_tokens):
+    whole = html_extract.host_boilerplate
+    monkeypatch.setattr(html_extract, "host_boilerplate", lambda pages, width: whole(pages, width, shard_tokens))
+    say = lambda name, n: " ".join(f"{name}{j}" for j in range(n))
+    phrase, quote, notice = "at the end of the day it is", say("quote", 45), say("notice", 40)
+    paragraphs = [f"{say(f'a{i}x', 20)} {phrase if i % 3 else quote if i < 12 else 'none'} {say(f'b{i}x', 20)}" for i in range(60)]
+    paragraphs[59] = paragraphs[58]  # an article twice
+    page = "<body><p>Home of news</p><p>Page {0}</p><div>{1}</div><div>by {0} {2}</div></body>"
+    pages = [page.format(i, p, notice) for i, p in enumerate(paragraphs)]
+    want = [f"Page {i}\n{p}\nby {i}" for i, p in enumerate(paragraphs)]
+    again = say("again", 35)  # twice on each of two pages
+    pages += [f"<body><div>{x} {again}</div><div>{again} {x}</div></body>" for x in ("one", "two")]
+    want += [f"{x} {again}\n{again} {x}" for x in ("one", "two")]
+    pages += ["<body><p>exact copy of a page</p></body>"] * 5
+    want += ["exact copy of a page"] * 5
+    df = spark.createDataFrame([(i, "http://big.com/" if i < 60 else "http://small.com/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert got == dict(enumerate(want))
+
+
+def test_shared_runs_count_a_page_once():
+    assert sorted(html_extract._shared_runs({"a b c d x", "y a b c d", "b c d z", "q"}, 2)) == [("a b", 1), ("b c d", 2)]
+    assert sorted(html_extract._shared_runs({"a b a b", "a b a"}, 2)) == [("a b a", 1)]
+
+
 def test_op7_is_the_article(spark, small):
     import html
 
