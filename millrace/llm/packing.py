@@ -40,7 +40,7 @@ def pieces(docs: DataFrame, tokenizer: str, kind: str = "bytes", end_id: int = 0
         from pyspark import TaskContext
 
         part, seen = TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
-        encoder = ChunkEncoder(tokenizer, kind, end_id)
+        encoder = ChunkEncoder(tokenizer, kind, end_id, special=True)
         for batch in batches:
             for b in blocks(batch):
                 ids, offsets = encoder.encode(b.column(1))

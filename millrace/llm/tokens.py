@@ -11,7 +11,8 @@ if the chunks are cut only where it always splits:
 - both: between an ASCII letter and ASCII punctuation, but not after an apostrophe.
 
 Chunks are cut and counted as arrays; a bounded cache keeps the ids of chunks seen before.
-Strings of special tokens in a text count as ordinary text.
+With `special`, a text that holds the string of a special token is encoded whole, as the library
+does by default: the string becomes that token's id. Without, such strings are ordinary text.
 """
 
 from __future__ import annotations
@@ -39,13 +40,14 @@ _LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(n
 
 
 class ChunkEncoder:
-    def __init__(self, path: str, kind: str, end_id: int):
+    def __init__(self, path: str, kind: str, end_id: int, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task; Spark has the others
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind, self.end_id = kind, end_id
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self._forget()
 
     def _forget(self) -> None:
@@ -56,6 +58,14 @@ class ChunkEncoder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_whole(self, texts: list[str]) -> list[list[int]]:
+        """Special tokens count, if they are to."""
+        self.tokenizer.encode_special_tokens = not self.special
+        try:
+            return self._encode(texts)
+        finally:
+            self.tokenizer.encode_special_tokens = True
+
     def _encode_apart(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each chunk)."""
         lists = self._encode([c.decode() for c in chunks])
@@ -127,6 +137,8 @@ class ChunkEncoder:
         """(ids, offsets): ids of all texts, each with the end id; null counts as empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         whole = pc.match_substring_regex(texts, _RARE).to_numpy(zero_copy_only=False) if self.kind == "bytes" else np.zeros(len(texts), bool)
+        for content in self.special:
+            whole = whole | pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
         fast = pc.if_else(pa.array(whole), pa.scalar("", pa.large_string()), texts) if whole.any() else texts
         fast = fast.cast(pa.large_binary())
         at = np.frombuffer(fast.buffers()[1], np.int64)[fast.offset : fast.offset + len(fast) + 1]
@@ -144,7 +156,7 @@ class ChunkEncoder:
         flat = self.ids[np.repeat(self.starts[place] - before[:-1], size) + np.arange(before[-1])]
         counts = np.diff(before[by_text])
         if whole.any():
-            slow = dict(zip(np.flatnonzero(whole).tolist(), self._encode(texts.filter(pa.array(whole)).to_pylist()), strict=True))
+            slow = dict(zip(np.flatnonzero(whole).tolist(), self._encode_whole(texts.filter(pa.array(whole)).to_pylist()), strict=True))
             parts = np.split(flat, before[by_text][1:-1])
             parts = [np.array(slow[i], np.uint32) if i in slow else p for i, p in enumerate(parts)]
             counts, flat = np.array([len(p) for p in parts], np.int64), np.concatenate(parts)

@@ -40,6 +40,26 @@ def test_chunks_have_the_whole_texts_ids(path, kind):
     check()
 
 
+SPECIAL = ["a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "plain text", None, "<|ENDOFTEXT|> no", "caf\u00e9\u00a0x", "<|endoftext|>"]
+
+
+@pytest.mark.parametrize(("path", "kind"), [(WORDS, "words"), (BYTES, "bytes")])
+def test_special_tokens_as_the_library_has_them(path, kind):
+    ids, offsets = ChunkEncoder(path, kind, 7, special=True).encode(pa.array(SPECIAL, pa.string()))
+    library = Tokenizer.from_file(path)
+    for i, t in enumerate(SPECIAL):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == [*library.encode(t or "", add_special_tokens=False).ids, 7]
+
+
+def test_special_tokens_in_the_operators(spark):
+    df = spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string")
+    path, library = scratch(spark, "special"), Tokenizer.from_file(WORDS)
+    orc_tokens.write_tokens(df, path, WORDS)
+    assert {r.doc_id: r.ids for r in orc_tokens.read_tokens(spark, path).collect()} == {i: [*library.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(SPECIAL)}
+    library = Tokenizer.from_file(BYTES)
+    assert sum(r.length for r in packing.pack(df, BYTES).collect()) == sum(len(library.encode(t or "", add_special_tokens=False).ids) + 1 for t in SPECIAL)
+
+
 def test_a_full_cache_starts_anew(monkeypatch):
     monkeypatch.setattr("millrace.llm.tokens.CACHE", 3)
     encoder, tokenizer = ChunkEncoder(BYTES, "bytes", 0), plain(BYTES)
