@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -23,6 +24,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
@@ -35,6 +38,43 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """names, each with underscores before it until no column of df has it (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def constant(values: list, kind: str) -> Column:
+    """A constant array<kind>, folded to one literal."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+#: Words of a row bitmap that are broadcast: each stands for 64 rows and takes some 50 bytes.
+MAX_BITMAP_WORDS = 1_000_000
+
+
+def with_rows_of(rows: DataFrame, row: str, chosen: DataFrame, wanted: bool = True, max_words: int = MAX_BITMAP_WORDS) -> DataFrame:
+    """The rows whose number is in chosen (one long column, no nulls), or with wanted=False the others.
+
+    The numbers meet the rows as a bitmap by 64 rows, a hundredth of a text's size, which is broadcast up to
+    max_words; the rows themselves are shuffled only beyond that.
+    """
+    word, bits = fresh(rows, "bitmap_word", "bitmap")
+    number = F.col(chosen.columns[0])
+    mask = F.expr(f"shiftleft(1L, cast({chosen.columns[0]} & 63 AS INT))")
+    bitmap = written(chosen.groupBy(F.shiftright(number, 6).alias(word)).agg(F.bit_or(mask).alias(bits)), "bitmap")
+    if bitmap.count() > max_words:
+        return rows.join(chosen.select(number.alias(row)), row, "left_semi" if wanted else "left_anti").select(rows.columns)
+    joined = rows.withColumn(word, F.shiftright(F.col(row), 6)).join(F.broadcast(bitmap), word, "inner" if wanted else "left")
+    has = F.expr(f"getbit({bits}, cast({row} & 63 AS INT)) = 1")
+    return joined.where(has if wanted else F.coalesce(~has, F.lit(True))).select(rows.columns)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, however often body's lambdas use it.
 

@@ -90,16 +90,20 @@ def hits_by_hand(docs, items):
         yield len(w), len(cov), tuple(sorted(found))
 
 
-@pytest.mark.parametrize("max_broadcast", [1000, 0])
-def test_hits(spark, max_broadcast):
+#: The constant table, a broadcast join and a shuffled join.
+WAYS = [{}, {"max_table_bytes": -1}, {"max_table_bytes": -1, "max_broadcast": 0}]
+
+
+@pytest.mark.parametrize("how", WAYS)
+def test_hits(spark, how):
     long = " ".join(f"Word{i}" for i in range(30))
     items = [(1, long), (2, "short item É"), (3, None), (4, ""), (5, "solo"), (6, "SHORT ITEM É")]
     docs = [long, long.lower() + " tail", " ".join(f"word{i}" for i in range(12)), "a short-item.é b", "a short item É b short item É", "solo solo", None, "", "...", long + " x " + long, "Short iteM É"]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.hits(odd(spark, *docs), bench, max_broadcast=max_broadcast)
+    got = decontaminate.hits(odd(spark, *docs), bench, **how)
     assert Counter((r.n_words, r.n_hit, tuple(r["items"])) for r in got.collect()) == Counter(hits_by_hand(docs, items))
-    assert decontaminate.hits(odd(spark, *docs), bench.limit(0)).where("n_hit > 0").isEmpty()
-    assert decontaminate.hits(odd(spark).limit(0) if docs else None, bench).count() == 0
+    assert decontaminate.hits(odd(spark, *docs), bench.limit(0), **how).where("n_hit > 0").isEmpty()
+    assert decontaminate.hits(odd(spark).limit(0), bench, **how).count() == 0
 
 
 def test_op4_digest(spark, small):
@@ -111,10 +115,15 @@ def test_op4_digest(spark, small):
     assert got == want and any(x[4] for x in want.values())
 
 
-def test_spans_are_cut(spark):
+@pytest.mark.parametrize("how", WAYS)
+def test_spans_are_cut(spark, how):
     item = " ".join(f"w{i}" for i in range(13))
-    docs = spark.createDataFrame([(1, "-- " + "filler, " * 300 + item + "! The end."), (2, item), (3, "clean"), (4, None)], "doc_id long, text string")
+    rows = [(1, "-- " + "filler, " * 300 + item + "! The end."), (2, item), (3, "clean"), (4, None)]
+    clash = ["spans", "_out", "judged", "items", "n_hit", "doc_row", "hit_row", "bitmap", "row"]
+    docs = spark.createDataFrame([(*r, *(f"{c}{r[0]}" for c in clash)) for r in rows], "doc_id long, text string, " + ", ".join(f"{c} string" for c in clash))
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
-    left = {r.doc_id: r.text for r in decontaminate.decontaminate(docs, bench).collect()}
-    assert left == {1: "-- " + "filler, " * 300 + "The end.", 3: "clean", 4: None}
-    assert decontaminate.decontaminate(docs, bench).select(F.sum("doc_id")).first()[0] == 8
+    out = decontaminate.decontaminate(docs, bench, **how)
+    assert out.columns == docs.columns
+    assert {r.doc_id: r.text for r in out.collect()} == {1: "-- " + "filler, " * 300 + "The end.", 3: "clean", 4: None}
+    assert all(r[c] == f"{c}{r.doc_id}" for r in out.collect() for c in clash)
+    assert out.select(F.sum("doc_id")).first()[0] == 8
