@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm.common import scratch, table, written
-from millrace.llm.tokens import ChunkEncoder, blocks
+from millrace.llm.tokens import blocks, shared_encoder
 
 STRIPE_BYTES, ROW_STRIDE = 16 << 20, 1_000
 
@@ -31,7 +31,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str = "words"
     """ORC files at path: doc_id, seq (place in the file), ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seq = ChunkEncoder(tokenizer, kind, end_id, special=True), 0
+        encoder, seq = shared_encoder(tokenizer, kind, end_id, special=True), 0
         for batch in batches:
             for b in blocks(batch):
                 ids, offsets = encoder.encode(b.column(1))

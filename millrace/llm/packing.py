@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm.common import table, written
-from millrace.llm.tokens import ChunkEncoder, blocks
+from millrace.llm.tokens import blocks, shared_encoder
 
 WINDOW, STEPS = 1024, 300
 
@@ -40,7 +40,7 @@ def pieces(docs: DataFrame, tokenizer: str, kind: str = "bytes", end_id: int = 0
         from pyspark import TaskContext
 
         part, seen = TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
-        encoder = ChunkEncoder(tokenizer, kind, end_id, special=True)
+        encoder = shared_encoder(tokenizer, kind, end_id, special=True)
         for batch in batches:
             for b in blocks(batch):
                 ids, offsets = encoder.encode(b.column(1))

@@ -10,7 +10,9 @@ if the chunks are cut only where it always splits:
   white space or separators beyond ASCII is encoded whole;
 - both: between an ASCII letter and ASCII punctuation, but not after an apostrophe.
 
-Chunks are cut and counted as arrays; a bounded cache keeps the ids of chunks seen before.
+Chunks are cut and counted as arrays. A cache of two generations keeps the ids of chunks seen
+before: when the younger is full it becomes the older, from which chunks still in use move over.
+Spark runs many tasks in one Python worker, so `shared_encoder` keeps a worker's encoder between them.
 With `special`, a text that holds the string of a special token is encoded whole, as the library
 does by default: the string becomes that token's id. Without, such strings are ordinary text.
 """
@@ -20,13 +22,14 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE, BLOCK_BYTES = 450_000, 2 << 20
+#: Chunks of a cache generation, and bytes of text that are encoded at once.
+CACHE, BLOCK_BYTES = 300_000, 2 << 20
 #: White space and separators that the byte-level pattern could join with a blank.
 _RARE = "[\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x1c-\\x1f]"
 
@@ -39,6 +42,50 @@ _IS_SIGN = (_BYTES > 32) & (_BYTES < 127) & ~_IS_LETTER & ~((_BYTES >= 48) & (_B
 _LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
 
 
+class _Known:
+    """The ids of known chunks, end to end."""
+
+    def __init__(self) -> None:
+        self.places: dict[bytes, int] = {}
+        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.starts = self.sizes = np.zeros(0, np.int64)
+
+    def find(self, chunks: list[bytes]) -> np.ndarray:
+        """Each chunk's place, -1 for an unknown one."""
+        return np.fromiter(map(self.places.get, chunks, repeat(-1)), np.int64, len(chunks))
+
+    def take(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all, number of each)."""
+        size = self.sizes[places]
+        before = np.cumsum(size) - size
+        return self.ids[np.repeat(self.starts[places] - before, size) + np.arange(int(size.sum()))], size
+
+    def add(self, chunks: list[bytes], flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The places of new chunks."""
+        ends = self.used + np.cumsum(sizes)
+        end = int(ends[-1]) if len(ends) else self.used
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), end), np.uint32)])
+        self.ids[self.used : end] = flat
+        places = np.arange(len(self.sizes), len(self.sizes) + len(chunks))
+        self.places.update(zip(chunks, places.tolist(), strict=True))
+        self.starts, self.sizes = np.concatenate([self.starts, ends - sizes]), np.concatenate([self.sizes, sizes])
+        self.used = end
+        return places
+
+
+_ENCODERS: dict[tuple, ChunkEncoder] = {}
+
+
+def shared_encoder(path: str, kind: str, end_id: int, special: bool = False) -> ChunkEncoder:
+    """This process's encoder of these parameters, with what it has learnt; one other is forgotten for a new one."""
+    key = (path, kind, end_id, special)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = ChunkEncoder(*key)
+    return _ENCODERS[key]
+
+
 class ChunkEncoder:
     def __init__(self, path: str, kind: str, end_id: int, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task; Spark has the others
@@ -48,12 +95,7 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True
         self.kind, self.end_id = kind, end_id
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
-        self._forget()
-
-    def _forget(self) -> None:
-        self.places: dict[bytes, int] = {}
-        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.starts = self.sizes = np.zeros(0, np.int64)
+        self.young, self.old = _Known(), _Known()
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -96,19 +138,20 @@ class ChunkEncoder:
         starts[order], sizes[order] = np.cumsum(grouped) - grouped, grouped
         return flat[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(flat))], sizes
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        for i in range(0, len(chunks), 20_000):
-            part = chunks[i : i + 20_000]
-            flat, sizes = self._encode_joined(part, " ") if self.kind == "words" else self._encode_bytes(part)
-            ends = self.used + np.cumsum(sizes)
-            end = int(ends[-1])
-            if end > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), end), np.uint32)])
-            self.ids[self.used : end] = flat
-            self.places.update(zip(part, range(len(self.sizes), len(self.sizes) + len(part)), strict=True))
-            self.starts = np.concatenate([self.starts, ends - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.used = end
+    def _places(self, chunks: list[bytes]) -> np.ndarray:
+        """The places of distinct chunks among the younger known ones, all known afterwards."""
+        if len(self.young.places) + len(chunks) > CACHE:
+            self.young, self.old = _Known(), self.young
+        place = self.young.find(chunks)
+        missing = np.flatnonzero(place < 0)
+        before = self.old.find([chunks[i] for i in missing.tolist()])
+        moved = missing[before >= 0]
+        place[moved] = self.young.add([chunks[i] for i in moved.tolist()], *self.old.take(before[before >= 0]))
+        new = missing[before < 0]
+        for i in range(0, len(new), 20_000):
+            part = [chunks[k] for k in new[i : i + 20_000].tolist()]
+            place[new[i : i + 20_000]] = self.young.add(part, *(self._encode_joined(part, " ") if self.kind == "words" else self._encode_bytes(part)))
+        return place
 
     def _chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(bytes, chunk offsets, chunks before each text and in all)."""
@@ -146,14 +189,9 @@ class ChunkEncoder:
         data, cuts, by_text = self._chunks(data, at - at[0])
         many = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
         coded = many.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.places) + len(distinct) > CACHE:
-            self._forget()
-        self._learn([c for c in distinct if c not in self.places])
-        place = np.fromiter((self.places[c] for c in distinct), np.int64, len(distinct))[coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)]
-        size = self.sizes[place]
+        place = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+        flat, size = self.young.take(place)
         before = np.concatenate([[0], np.cumsum(size)])
-        flat = self.ids[np.repeat(self.starts[place] - before[:-1], size) + np.arange(before[-1])]
         counts = np.diff(before[by_text])
         if whole.any():
             slow = dict(zip(np.flatnonzero(whole).tolist(), self._encode_whole(texts.filter(pa.array(whole)).to_pylist()), strict=True))

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from millrace.llm import orc_tokens, packing
 from millrace.llm.common import scratch, table
-from millrace.llm.tokens import ChunkEncoder
+from millrace.llm.tokens import ChunkEncoder, shared_encoder
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 PIECES = ["a", "The", "don't", "'s", " ", "  ", "\n", "\n\n", "\t", "\r\n", "é", "É", "́", "̸", "=", "-", ".", ",", "1", "$$$", "<|endoftext|>", "日本", " ", "　", "\x1c", "\u0085", "Σ", "😀", "x.y", "O're"]
@@ -60,11 +60,20 @@ def test_special_tokens_in_the_operators(spark):
     assert sum(r.length for r in packing.pack(df, BYTES).collect()) == sum(len(library.encode(t or "", add_special_tokens=False).ids) + 1 for t in SPECIAL)
 
 
-def test_a_full_cache_starts_anew(monkeypatch):
-    monkeypatch.setattr("millrace.llm.tokens.CACHE", 3)
-    encoder, tokenizer = ChunkEncoder(BYTES, "bytes", 0), plain(BYTES)
-    for t in ["one two three", "four five six seven", "one two eight"]:
-        assert encoder.encode(pa.array([t]))[0].tolist() == [*tokenizer.encode(t).ids, 0]
+def test_a_full_cache_keeps_the_ids(monkeypatch):
+    monkeypatch.setattr("millrace.llm.tokens.CACHE", 9)
+    rng = random.Random(4)
+    for path, kind in [(WORDS, "words"), (BYTES, "bytes")]:
+        encoder, tokenizer = ChunkEncoder(path, kind, 0), plain(path)
+        for _ in range(60):
+            t = " ".join(f"word{rng.randint(0, 12)}" for _ in range(rng.randint(0, 7)))
+            assert encoder.encode(pa.array([t]))[0].tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 0]
+            assert len(encoder.old.places) <= 9 + 14
+
+
+def test_one_encoder_a_process():
+    assert shared_encoder(BYTES, "bytes", 0) is shared_encoder(BYTES, "bytes", 0)
+    assert shared_encoder(BYTES, "bytes", 0).end_id == 0 and shared_encoder(BYTES, "bytes", 5).end_id == 5
 
 
 def ids_of(rows, path, end):
