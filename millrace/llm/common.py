@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +30,41 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
+    for made in _open:
+        made.append(path)
+    return path
+
+
+_open: list[list[str]] = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch folder, on whatever file system it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def storing(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], tuple[DataFrame, str]]]:
+    """Gives a function that stores a result, as (table, path). On leaving, other scratch folders made within go."""
+    made: list[str] = []
+    stored: set[str] = set()
+
+    def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+        path = scratch(spark, name)
+        df.write.parquet(path)
+        stored.add(path)
+        return spark.read.schema(df.schema).parquet(path), path
+
+    _open.append(made)
+    try:
+        yield store
+    finally:
+        _open.remove(made)
+        for path in made:
+            if path not in stored:
+                remove(spark, path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

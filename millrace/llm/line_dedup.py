@@ -12,7 +12,8 @@ join keyed by site and line, and only the page ids with matches meet the text.
 
 Defined results: a null text is empty, with one blank line; blank lines are never dropped or
 counted; a null site is a site of its own; repeated rows are pages of their own; an empty
-table gives an empty result; other columns pass through.
+table gives an empty result; other columns pass through, whatever their names, but in
+`drop_boilerplate` n_lines and n_dropped give way to the counts, which `without_boilerplate` does not add.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import table, written
+from millrace.llm.common import fresh, table, written
 
 MAX_RATIO, MIN_COUNT, MAX_BROADCAST_LINES = 0.1, 5, 50_000
 
@@ -50,6 +51,25 @@ def boilerplate(docs: DataFrame, site: str = "source", text: str = "text", max_r
     return found.where(F.col("n_pages") > max_ratio * F.col("site_pages"))
 
 
+def _marked(docs: DataFrame, site: str, text: str, max_ratio: float, min_count: int, max_broadcast_lines: int) -> tuple[DataFrame, str]:
+    """docs with one more column, whose name is returned: the line keys to drop, or null."""
+    name, row, own_site = fresh(docs, "drop_keys", "row_number", "own_site")
+    drop = written(boilerplate(docs, site, text, max_ratio, min_count), "boilerplate")
+    if drop.count() <= max_broadcast_lines:
+        lists = drop.groupBy(F.col("_site").alias(own_site)).agg(F.collect_list("_key").alias(name))
+        return docs.join(F.broadcast(lists), F.col(site).eqNullSafe(F.col(own_site)), "left").select(*docs.columns, name), name
+    # row numbers are written down: another scan might split its input otherwise
+    keyed = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    pairs = keyed.select(F.col(row).alias("_row"), F.col(site).alias("_site"), F.explode(_page_keys(text)).alias("_key"))
+    hits = pairs.alias("p").join(drop.alias("d"), F.col("p._site").eqNullSafe(F.col("d._site")) & (F.col("p._key") == F.col("d._key")), "left_semi")
+    return keyed.join(hits.groupBy(F.col("_row").alias(row)).agg(F.collect_list("_key").alias(name)), row, "left").select(*docs.columns, name), name
+
+
+def _left(text: str, name: str) -> Column:
+    lines = _lines(text)
+    return F.when(F.col(name).isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(name), _key(x))))
+
+
 def drop_boilerplate(
     docs: DataFrame,
     site: str = "source",
@@ -59,20 +79,19 @@ def drop_boilerplate(
     max_broadcast_lines: int = MAX_BROADCAST_LINES,
 ) -> DataFrame:
     """docs with `text` rid of its site's boilerplate, and n_lines, n_dropped."""
-    drop = written(boilerplate(docs, site, text, max_ratio, min_count), "boilerplate")
-    lists = drop.groupBy(F.col("_site").alias("_s")).agg(F.collect_list("_key").alias("_drop"))
-    if drop.count() <= max_broadcast_lines:
-        joined = docs.join(F.broadcast(lists), F.col(site).eqNullSafe(F.col("_s")), "left").drop("_s")
-    else:
-        # row numbers are written down: another scan might split its input otherwise
-        keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-        pairs = keyed.select("_row", F.col(site).alias("_site"), F.explode(_page_keys(text)).alias("_key"))
-        hits = pairs.alias("p").join(drop.alias("d"), F.col("p._site").eqNullSafe(F.col("d._site")) & (F.col("p._key") == F.col("d._key")), "left_semi")
-        joined = keyed.join(hits.groupBy("_row").agg(F.collect_list("_key").alias("_drop")), "_row", "left").drop("_row")
-    lines = _lines(text)
-    left = F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_drop"), _key(x))))
-    out = joined.withColumns({"_left": left, "n_lines": F.size(lines).cast("long")})
-    return out.withColumns({text: F.array_join("_left", "\n"), "n_dropped": F.col("n_lines") - F.size("_left")}).drop("_left", "_drop")
+    marked, name = _marked(docs, site, text, max_ratio, min_count, max_broadcast_lines)
+    others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    (left,) = fresh(marked, "left_lines")
+    cut = marked.withColumn(left, _left(text, name))
+    n_lines = F.size(_lines(text)).cast("long")
+    kept = [F.array_join(left, "\n").alias(c) if c == text else F.col(c) for c in others]
+    return cut.select(*kept, n_lines.alias("n_lines"), (n_lines - F.size(left)).alias("n_dropped"))
+
+
+def without_boilerplate(docs: DataFrame, site: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_count: int = MIN_COUNT, max_broadcast_lines: int = MAX_BROADCAST_LINES) -> DataFrame:
+    """docs with `text` rid of its site's boilerplate."""
+    marked, name = _marked(docs, site, text, max_ratio, min_count, max_broadcast_lines)
+    return marked.withColumn(text, F.array_join(_left(text, name), "\n")).select(docs.columns)
 
 
 def op10_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

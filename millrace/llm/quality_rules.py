@@ -1,10 +1,17 @@
 """Line-first cleaning: rules judge lines, failing lines go, documents that lose too much go.
 
+A line fails
+- for punctuation: symbols or exclamation marks on many of its words, or a stub of up to three
+  words without a closing mark;
+- as navigation: bars between the words, three or more items of up to three words on average
+  between separators, bracketed items and little else, or capitalised words without a closing mark;
+- as boilerplate: a notice phrase, in one of four languages, in a line of at most NOTICE_CHARS.
+
 DataFrame functions only; one pass over the text, no shuffle.
 
 Defined results: a null text counts as empty (no words, base_failed, not kept); repeated
-rows each get their own row; an empty table gives an empty result; columns besides id and
-text pass through `clean` and never clash with what it adds, as it adds only the names below.
+rows each get their own row; an empty table gives an empty result; further columns pass through,
+whatever their names, but in `clean` give way to the columns of ADDED, which `passed` does not add.
 Long texts take time in proportion to words * log(words) and memory in proportion to words.
 """
 
@@ -16,14 +23,17 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import let, table, words
+from millrace.llm.common import fresh, let, table, words
 
 WINDOW = 5
 SYMBOLS = "[#*$%&|<>]"
 SPACE, WORD = "[\\x20\\x09-\\x0D]", "[^\\x20\\x09-\\x0D]"
 NOTICE_CHARS = 160
-MARKS = "[#*$%&|<>!]"
-#: Phrases that only notices have (fixed values).
+#: Signs that stand alone between the items of a menu or path (fixed values).
+SEPARATORS = "|/\\\\·•∙‣»«›‹>→⇒~–—"
+MARKS = f"[#*$%&|<>!\\[{SEPARATORS}]"
+CLOSED = f"[.!?:;\"'»”)…。！？]{SPACE}*$"
+#: Phrases that only notices have, in English, French, German and Spanish (fixed values).
 BOILERPLATE = (
     "all rights reserved",
     "licensed under",
@@ -31,15 +41,59 @@ BOILERPLATE = (
     "this work is licensed",
     "terms of use",
     "terms of service",
+    "terms and conditions",
     "privacy policy",
     "cookie policy",
+    "cookie settings",
     "we use cookies",
+    "uses cookies",
     "accept cookies",
+    "accept all cookies",
     "enable javascript",
     "subscribe to our newsletter",
+    "sign up for our newsletter",
     "click here",
+    "read more",
+    "share on facebook",
+    "share this article",
     "copyright (c)",
     "copyright ©",
+    "skip to content",
+    "tous droits réservés",
+    "mentions légales",
+    "politique de confidentialité",
+    "conditions générales",
+    "conditions d'utilisation",
+    "utilise des cookies",
+    "utilisons des cookies",
+    "accepter les cookies",
+    "cliquez ici",
+    "lire la suite",
+    "abonnez-vous à notre",
+    "inscrivez-vous à notre",
+    "alle rechte vorbehalten",
+    "allgemeine geschäftsbedingungen",
+    "datenschutzerklärung",
+    "nutzungsbedingungen",
+    "verwendet cookies",
+    "verwenden cookies",
+    "cookies akzeptieren",
+    "klicken sie hier",
+    "weiterlesen",
+    "abonnieren sie",
+    "todos los derechos reservados",
+    "aviso legal",
+    "política de privacidad",
+    "política de cookies",
+    "términos y condiciones",
+    "condiciones de uso",
+    "utiliza cookies",
+    "utilizamos cookies",
+    "aceptar cookies",
+    "haga clic aquí",
+    "leer más",
+    "suscríbete a nuestro",
+    "suscríbase a nuestro",
 )
 ADDED = ("clean_text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_words", "base_failed", "kept")
 
@@ -68,10 +122,8 @@ def repeat_words(w: Column) -> Column:
     return F.when(F.size(w) < WINDOW, F.lit(0)).otherwise(let(hashes, judged))
 
 
-def line_fails(line: Column, marked: Column, symbol_share: float = 0.25, bar_share: float = 0.25, shout_share: float = 0.25) -> Column:
-    """Navigation: bars between the words. Punctuation: symbols or exclamation marks on many
-    words, or a stub of up to three words without a closing mark. Boilerplate: notice phrases
-    in a line of at most NOTICE_CHARS. A line without words passes: it parts paragraphs.
+def line_fails(line: Column, marked: Column, symbol_share: float = 0.25, bar_share: float = 0.25, shout_share: float = 0.25, item_words: int = 3, title_share: float = 0.8) -> Column:
+    """Whether a line fails by the rules above. A line without words passes: it parts paragraphs.
 
     marked: whether the document holds any of MARKS; only then are marks sought by line.
     """
@@ -80,20 +132,23 @@ def line_fails(line: Column, marked: Column, symbol_share: float = 0.25, bar_sha
         bars = F.regexp_count(line, F.lit("\\|"))
         symbols = F.regexp_count(line, F.lit(SYMBOLS + "+"))
         shouts = F.regexp_count(line, F.lit("!{2,}"))
-        return (bars > bar_share * n) | (symbols > symbol_share * n) | (shouts > shout_share * n)
+        parted = let(F.regexp_count(line, F.lit(f"(?<!{WORD})[{SEPARATORS}]+(?!{WORD})")), lambda k: (k >= 2) & (n - k <= item_words * (k + 1)))
+        boxed = line.contains("[") & (F.regexp_count(line, F.lit("\\[[^\\[\\]]+\\]")) >= 3) & (4 * F.length(F.regexp_replace(line, "\\[[^\\[\\]]+\\]", "")) <= F.length(line))
+        return (bars > bar_share * n) | (symbols > symbol_share * n) | (shouts > shout_share * n) | parted | boxed
+
+    def unclosed(ws: Column) -> Column:
+        titled = F.size(F.filter(ws, lambda w: w.rlike("^\\p{Lu}"))) >= title_share * F.size(ws)
+        return (F.size(ws) > 0) & ((F.size(ws) <= 3) | titled)
 
     counted = line.rlike(MARKS) & let(F.size(words(line)), lambda n: (n > 0) & by_counts(n))
     short = F.length(line) <= NOTICE_CHARS
-    stub = line.rlike(f"^{SPACE}*{WORD}+({SPACE}+{WORD}+){{0,2}}{SPACE}*$") & ~line.rlike(f"[.!?:;\"'»”)…。！？]{SPACE}*$")
+    stub = ~line.rlike(CLOSED) & let(words(line), unclosed)
     notice = let(F.lower(line), lambda low: reduce(or_, (low.contains(p) for p in BOILERPLATE)))
     return (marked & counted) | (short & (stub | notice))
 
 
-def clean(docs: DataFrame, text: str = "text", max_loss: float = 0.5) -> DataFrame:
-    """docs and the columns ADDED: the text that is left, the counts, and the verdict.
-
-    kept: base rules passed, and failing lines held at most max_loss of the words.
-    """
+def _judged(docs: DataFrame, text: str) -> tuple[DataFrame, str]:
+    """docs with one more column, whose name is returned: counts of words (w) and lines (l), and n_symbols."""
 
     def by_words(w: Column) -> Column:
         return F.struct(
@@ -119,24 +174,37 @@ def clean(docs: DataFrame, text: str = "text", max_loss: float = 0.5) -> DataFra
         symbols = F.when(marked, F.regexp_count(t, F.lit(SYMBOLS))).otherwise(F.lit(0))
         return F.struct(let(words(t), by_words).alias("w"), lines.alias("l"), symbols.cast("long").alias("n_symbols"))
 
+    (name,) = fresh(docs, "judged")
     whole = F.coalesce(F.col(text), F.lit(""))
     judgement = let(F.struct(whole.alias("t"), whole.rlike(MARKS).alias("m")), judged)
     # exploding a one-element array keeps the optimizer from computing any of it twice
-    taken = docs.select(*[c for c in docs.columns if c not in ADDED], F.explode(F.array(judgement)).alias("_judged"))
-    n, lost = F.col("_judged.w.n_words"), F.col("_judged.l.lost_words")
-    base = (n < 10) | (100 * F.col("_judged.w.n_repeat_words") > 20 * n)
-    return taken.select(
-        *[c for c in docs.columns if c not in ADDED],
-        F.col("_judged.l.clean_text").alias("clean_text"),
-        n.alias("n_words"),
-        F.col("_judged.w.word_chars").alias("word_chars"),
-        F.col("_judged.n_symbols").alias("n_symbols"),
-        F.col("_judged.l.n_dup_lines").alias("n_dup_lines"),
-        F.col("_judged.w.n_repeat_words").alias("n_repeat_words"),
-        lost.alias("lost_words"),
-        base.alias("base_failed"),
-        (~base & (lost <= max_loss * n)).alias("kept"),
-    )
+    return docs.select("*", F.explode(F.array(judgement)).alias(name)), name
+
+
+def _verdicts(name: str, max_loss: float) -> tuple[Column, Column]:
+    """(base_failed, kept)."""
+    n = F.col(name)["w"]["n_words"]
+    base = (n < 10) | (100 * F.col(name)["w"]["n_repeat_words"] > 20 * n)
+    return base, ~base & (F.col(name)["l"]["lost_words"] <= max_loss * n)
+
+
+def clean(docs: DataFrame, text: str = "text", max_loss: float = 0.5) -> DataFrame:
+    """docs and the columns ADDED: the text that is left, the counts, and the verdict.
+
+    kept: base rules passed, and failing lines held at most max_loss of the words.
+    """
+    judged, name = _judged(docs, text)
+    base, kept = _verdicts(name, max_loss)
+    w, lines = F.col(name)["w"], F.col(name)["l"]
+    added = [lines["clean_text"], w["n_words"], w["word_chars"], F.col(name)["n_symbols"], lines["n_dup_lines"], w["n_repeat_words"], lines["lost_words"], base, kept]
+    return judged.select(*[c for c in docs.columns if c not in ADDED], *[c.alias(n) for n, c in zip(ADDED, added, strict=True)])
+
+
+def passed(docs: DataFrame, text: str = "text", max_loss: float = 0.5) -> DataFrame:
+    """The documents that are kept, without their failing lines."""
+    judged, name = _judged(docs, text)
+    kept = judged.where(_verdicts(name, max_loss)[1])
+    return kept.withColumn(text, F.when(F.col(text).isNotNull(), F.col(name)["l"]["clean_text"])).select(docs.columns)
 
 
 def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -180,18 +180,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return prints.join(by_fp, "fp").select(key, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """docs with one row of each component: of its rows with the least key (null last) the first.
-
-    Row numbers are written down with the rows: another scan might split its input otherwise.
-    """
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = near_duplicates(rows.select("_row", text), "_row", text, shingle, max_bits)
-    keys = rows.select("_row", F.col(key).isNull().alias("_null"), F.col(key).alias("_key"))
-    chosen = found.join(keys, "_row").groupBy("component_id").agg(F.min(F.struct("_null", "_key", "_row")).alias("_first")).select(F.col("_first._row").alias("_row"))
-    return rows.join(chosen, "_row", "left_semi").select(docs.columns)
-
-
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

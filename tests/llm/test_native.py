@@ -56,6 +56,40 @@ def test_failing_lines_go(spark):
     assert not quality_rules.clean(spark.createDataFrame([(1, junk)], "doc_id long, text string")).first().kept
 
 
+MENUS = ["Home / News / Sports / Weather / Contact", "Home · About · Products · Careers · Contact", "[Home] [News] [Sport] [About us] [Contact]", "Accueil › Actualités › Monde", "Startseite » Nachrichten » Wetter und Klima", "Home News Sports Weather Contact", "Inicio • Noticias • Deportes • Contacto."]
+NOTICES = ["Tous droits réservés. © 2020 Le Journal", "Alle Rechte vorbehalten. Nachdruck nur mit Genehmigung.", "Todos los derechos reservados. Prohibida la reproducción.", "Ce site utilise des cookies pour vous offrir le meilleur service.", "Copyright (c) 2019 by the authors of this page.", "DIESE SEITE VERWENDET COOKIES, UM IHNEN ZU DIENEN."]
+PROSE = [
+    "He said (and/or wrote) that the price was 5/6 of what it had been in 1999 [12] and would fall.",
+    "Les droits de l'homme sont réservés à tous, dit-il, et la suite l'a bien montré dans ce pays.",
+    "Das Wetter in Berlin war an diesem Tag schlecht – so schlecht – dass niemand vor die Tür ging.",
+    "El aviso del capitán llegó tarde; nadie en la ciudad había leído más que las primeras líneas.",
+    "the last line of a paragraph that was broken off in the middle of a sentence without a mark",
+    "Anna Maria Schmidt und Peter Paul Huber heirateten im Mai.",
+    "",
+    "  ",
+]
+
+
+def test_rules_of_lines_in_four_languages(spark):
+    lines = [*MENUS, *NOTICES, *PROSE]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in lines], "line string").select(quality_rules.line_fails(F.col("line"), F.lit(True))).collect()]
+    assert got == [True] * len(MENUS + NOTICES) + [False] * len(PROSE)
+
+
+def test_columns_named_like_the_operators_own(spark):
+    text = "Menu\n" + " ".join(f"word{i}" for i in range(60)) + " end.\nshared line"
+    names = [*quality_rules.ADDED, "judged", "drop_keys", "row_number", "own_site", "left_lines", "n_lines", "n_dropped", "_left", "_row"]
+    df = spark.createDataFrame([(i, f"own {i}\n{text}", "s", *names) for i in range(8)], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    results = [quality_rules.passed(df), *(line_dedup.without_boilerplate(df, max_broadcast_lines=n) for n in (1000, 0))]
+    for out in results:
+        assert out.columns == df.columns and out.count() == 8
+        assert all(r[n] == n for r in out.collect() for n in names)
+    for n in (1000, 0):
+        out = line_dedup.drop_boilerplate(df, max_broadcast_lines=n)
+        assert {(r.text, r.n_lines, r.n_dropped, r._left, r._row) for r in out.collect()} == {(f"own {i}", 4, 3, "_left", "_row") for i in range(8)}
+    assert quality_rules.clean(df).columns == ["doc_id", "text", "source", *names[len(quality_rules.ADDED) :], *quality_rules.ADDED]
+
+
 def test_line_dedup_agrees_with_sql(spark, small, duck):
     names = ["doc_id", "n_lines", "n_dropped", "kept_sha256"]
     got = sorted(map(tuple, line_dedup.op10_site_lines(spark, small).select(names).collect()))

@@ -10,8 +10,8 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from millrace.llm import golay, simhash, substring_dedup, suffix
-from millrace.llm.common import table
+from millrace.llm import golay, near_copies, simhash, substring_dedup, suffix
+from millrace.llm.common import table, with_rows_of
 from millrace.llm.components import components
 
 
@@ -85,11 +85,128 @@ def test_near_duplicates_of_odd_rows(spark):
     df = spark.createDataFrame([(4, None, 1), (3, "", 2), (9, text, 3), (7, text, 4), (7, text, 5), (8, "A b\x0bC", 6), (None, "zz", 7)], "doc_id long, text string, fp int")
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()), key=repr)
     assert got == sorted([(4, 3), (3, 3), (9, 7), (7, 7), (7, 7), (8, 8), (None, None)], key=repr)
-    kept = simhash.keep_one(df)
-    assert kept.columns == df.columns and sorted((r.doc_id for r in kept.collect()), key=repr) == [3, 7, 8, None]
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def shingles_by_hand(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a and b else float(a == b)
+
+
+def groups_by_hand(texts):
+    sets = [shingles_by_hand(t) for t in texts]
+    label = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if label[i] != label[j] and jaccard(sets[i], sets[j]) >= 0.8:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    return label
+
+
+def edited(rng, words, vocabulary):
+    """words with a run cut out, put in or put in place, or single words changed."""
+    out, how = list(words), rng.randrange(4)
+    n = max(1, int(len(out) * rng.uniform(0, 0.12)))
+    at = rng.randrange(len(out) - n + 1)
+    if how == 0:
+        del out[at : at + n]
+    elif how == 1:
+        out[at:at] = rng.choices(vocabulary, k=n)
+    elif how == 2:
+        out[at : at + n] = rng.choices(vocabulary, k=n)
+    else:
+        for _ in range(max(1, n // 4)):
+            out[rng.randrange(len(out))] = rng.choice(vocabulary)
+    return out
+
+
+def test_near_copies_are_found(spark):
+    """Against all pairs: nothing unlinked is joined, and at least 95 % of the linked pairs are."""
+    rng = random.Random(11)
+    vocabulary = [f"w{int(rng.paretovariate(0.7)) % 5000}" for _ in range(4000)]
+    texts = []
+    for _ in range(120):
+        base = rng.choices(vocabulary, k=rng.randint(12, 300))
+        texts += [" ".join(x) for x in [base, *(edited(rng, base, vocabulary) for _ in range(4))]]
+    want = groups_by_hand(texts)
+    sets = [shingles_by_hand(t) for t in texts]
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if want[i] == want[j] and jaccard(sets[i], sets[j]) >= 0.8]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row long, text string").selectExpr("row", "row AS id", "text").cache()
+    for how in ({}, {"max_members": 2}):
+        group = {}
+        for r in near_copies.groups(rows, "row", "id", "text", **how).collect():
+            group[r.first.row] = r.component
+        same = [group.get(i, i) for i in range(len(texts))]
+        of_copy = {t: i for i, t in reversed(list(enumerate(texts)))}
+        same = [same[of_copy[t]] for t in texts]
+        assert all(want[i] == want[g] for i, g in enumerate(same))
+        found = sum(same[i] == same[j] for i, j in linked) / len(linked)
+        assert len(linked) > 300 and found >= 0.95, found
+
+
+def test_words_within_eleven_bits_share_two_keys():
+    rng = np.random.default_rng(3)
+    a, b = (rng.integers(0, 1 << 63, 500, dtype=np.uint64) for _ in range(2))
+    x, y = a.copy(), b.copy()
+    for i in range(500):
+        for bit in rng.choice(115, 11, replace=False).tolist():
+            if bit < 64:
+                x[i] ^= np.uint64(1) << np.uint64(bit)
+            else:
+                y[i] ^= np.uint64(1) << np.uint64(bit - 64)
+    shared = np.zeros(500, int)
+    for i in range(5):
+        mine, theirs = (set(zip(*(v.tolist() for v in golay.keys(near_copies.word_of(p, q, i))), strict=True)) for p, q in ((a, b), (x, y)))
+        shared += np.bincount(sorted({row for row, _ in mine & theirs}), minlength=500)
+    assert (shared >= 2).all()
+
+
+def test_links_of_sets():
+    rng = np.random.default_rng(0)
+    sets = []
+    for _ in range(12):
+        base = rng.choice(10_000, 60, replace=False)
+        sets += [np.unique(np.where(rng.random(60) < p, rng.choice(10_000, 60), base)).astype(np.uint64) for p in (0, 0.02, 0.05, 0.1, 0.3)]
+    sets.append(np.zeros(0, np.uint64))
+    label = list(range(len(sets)))
+    for x, y in near_copies.links(sets):
+        assert jaccard(set(sets[x].tolist()), set(sets[y].tolist())) >= 0.8
+        a, b = label[x], label[y]
+        label = [min(a, b) if v in (a, b) else v for v in label]
+    want = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if want[i] != want[j] and len(sets[i]) and jaccard(set(sets[i].tolist()), set(sets[j].tolist())) >= 0.8:
+                a, b = want[i], want[j]
+                want = [min(a, b) if v in (a, b) else v for v in want]
+    assert label == want
+
+
+def test_one_of_each_group_stays(spark):
+    text = " ".join(f"w{i}" for i in range(400))
+    near = text.replace("w77 ", "other ")
+    rows = [(4, None, 1), (3, "", 2), (9, text, 3), (7, near, 4), (7, text, 5), (8, "A b\x0bC", 6), (2, "a B c", 7), (None, "zz", 8), (None, text, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row_number int")
+    kept = near_copies.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(3, "", 2), (7, near, 4), (2, "a B c", 7), (None, "zz", 8)], key=repr)
+    assert near_copies.keep_one(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("max_words", [0, 1000])
+def test_rows_by_bitmap(spark, max_words):
+    rows = spark.range(1000).withColumnRenamed("id", "n").selectExpr("n", "'x' AS bitmap", "n AS bitmap_word")
+    chosen = spark.range(0, 1000, 7).selectExpr("id AS r")
+    for wanted in (True, False):
+        got = with_rows_of(rows, "n", chosen, wanted, max_words)
+        assert got.columns == rows.columns and sorted(r.n for r in got.collect()) == [n for n in range(1000) if (n % 7 == 0) == wanted]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(50)] + [(1000, 1000 + i) for i in range(1, 60)] + [(5, 5), (2000, 1999)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
