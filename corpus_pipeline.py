@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns the
 columns of documents; the last returns packed pieces. `n_chars`, where there is one, follows
 the text.
+
+Defined results: null and empty texts fail the quality rules; repeated rows are copies, of which
+one stays; rows with a null id go through like others; further columns pass through, whatever
+their names, as far as packing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate as contamination
-from millrace.llm import line_dedup, packing, quality_rules, simhash
-from millrace.llm.common import table, written
+from millrace.llm import line_dedup, near_copies, packing, quality_rules
+from millrace.llm.common import remove, storing, table
 
 
 def _as_documents(df: DataFrame, docs: DataFrame) -> DataFrame:
@@ -25,18 +29,20 @@ def _as_documents(df: DataFrame, docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines go, then documents that fail the base rules or lose too much."""
-    kept = quality_rules.clean(docs).where("kept")
-    return _as_documents(kept.withColumn("text", F.col("clean_text")), docs)
+    return _as_documents(quality_rules.passed(docs), docs)
 
 
 def site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines on more than a tenth of a source's documents go; a document of nothing else stays, empty."""
-    return _as_documents(line_dedup.drop_boilerplate(docs), docs)
+    return _as_documents(line_dedup.without_boilerplate(docs), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints the document with the least id stays."""
-    return _as_documents(simhash.keep_one(docs), docs)
+    """Of each group of copies and near copies (five-word shingles alike to 0.8) the document with the least id stays.
+
+    The operator's wide form: Golay keys of longer fingerprints bring candidates together, shingles verify them.
+    """
+    return _as_documents(near_copies.keep_one(docs), docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +67,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Each stage's result is stored; what it was made of goes then."""
+    docs, path = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with storing(spark) as store:
+            docs, new = store(stage(spark, docs, sf_dir), name)
+        if path:
+            remove(spark, path)
+        path = new
     return docs
