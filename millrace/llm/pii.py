@@ -2,10 +2,12 @@
 
 Base spans (e-mail, IP, card, phone) follow fixed patterns and always stand. Further candidates
 come from wide patterns. Three families of labelers vote on each candidate, for, against or not
-at all: format patterns, a gazetteer of key names and prefixes, and the words around it.
-Expectation-maximisation over the corpus-wide counts of vote patterns estimates every
-labeler's rates of votes in both classes, and so each pattern's posterior; a logistic span
-classifier on the candidates' shapes is trained with these posteriors and gives the verdicts.
+at all: format patterns, gazetteers, and the words around it. Every kind has its own: key names
+and prefixes for secrets, area codes for phones, top-level domains for addresses, numbers never
+issued for national ids, country lengths for IBANs. Expectation-maximisation over the
+corpus-wide counts of vote patterns, kind by kind, estimates each labeler's rates of votes in
+both classes, and so each pattern's posterior; a logistic span classifier on kind, votes and
+shape is trained with these posteriors and gives the verdicts.
 
 Scale: one pass over the text. Only counts by (kind, votes, shape), whose number is bounded by
 the labelers and shape classes, reach the driver. All patterns take time linear in the text:
@@ -67,6 +69,18 @@ _FOR = {
     "iban": ("iban", "account", "konto", "compte", "cuenta", "bank"),
 }
 _AGAINST = ("version", "licensed", "license", "commit", "sha1", "sha256", "md5", "checksum", "hash", "isbn", "rev", "revision")
+#: Top-level domains of the e-mail gazetteer (fixed values).
+_DOMAINS = frozenset("com org net edu gov mil int info biz io de fr es uk it nl ch at be pt pl se no dk fi us ca au nz jp cn in br mx eu".split())
+#: National ids that were printed in adverts and leaflets (fixed values).
+_PUBLIC_IDS = frozenset(["078-05-1120", "219-09-9999", "123-45-6789", "111-11-1111", "457-55-5462", "555-55-5555"])
+#: Lengths of IBANs by country (fixed values).
+_IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22,
+    "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21,
+    "HU": 28, "IE": 22, "IL": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24,
+    "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24,
+    "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 LABELERS = ("format", "gazetteer", "context_for", "context_against", "texture")
 
 
@@ -107,27 +121,32 @@ def _iban_holds(s: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _sign(value: bool | None) -> str:
+    return "0" if value is None else "+" if value else "-"
+
+
 def votes(kind: str, span: str, before: str) -> str:
     """One of + - 0 for each of LABELERS."""
     low = before.lower()
     near = re.findall(r"[^\W\d_][\w-]*", low)[-4:]
     if kind == "secret":
-        strict = re.fullmatch(r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|[0-9a-f]{16,64}", span) and not span.isdigit() and not span.isalpha()
-        known = span.startswith(_PREFIXES) or re.search(rf"({'|'.join(_KEY_NAMES)})[\s\"'=:]*$", low)
-        texture = "+" if _entropy(span) > 2.8 and any(map(str.isdigit, span)) and any(map(str.isalpha, span)) else "-"
+        strict = bool(re.fullmatch(r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|[0-9a-f]{16,64}", span)) and not span.isdigit() and not span.isalpha()
+        known = True if span.startswith(_PREFIXES) or re.search(rf"({'|'.join(_KEY_NAMES)})[\s\"'=:]*$", low) else None
+        texture = _entropy(span) > 2.8 and any(map(str.isdigit, span)) and any(map(str.isalpha, span))
     elif kind == "phone":
-        strict = re.fullmatch(r"\([0-9]{3}\)\x20[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}", span)
+        strict = bool(re.fullmatch(r"\([0-9]{3}\)\x20[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}", span))
         known = span.lstrip("(")[0] not in "01"
-        texture = "+" if len({c for c in span if c.isdigit()}) > 3 else "-"
+        texture = len({c for c in span if c.isdigit()}) > 3
     elif kind == "email":
-        strict, known = True, re.search(r"(com|org|net|edu|gov|de|fr|es|uk)$", span)
-        texture = "0"
+        strict, texture = True, None
+        known = re.split(r"[^A-Za-z0-9-]+", span.rstrip("])"))[-1].lower() in _DOMAINS
     elif kind == "national_id":
         strict = span[:3] not in ("000", "666") and span[0] != "9" and span[4:6] != "00" and span[7:] != "0000"
-        known, texture = None, "+" if len(set(span)) > 4 else "-"
+        known, texture = False if span in _PUBLIC_IDS else None, len(set(span)) > 4
     else:
-        strict, known, texture = _iban_holds(span), None, "0"
-    return "".join(("+" if strict else "-", "+" if known else "0", "+" if any(w in _FOR[kind] for w in near) else "0", "-" if any(w in _AGAINST for w in near) else "0", texture))
+        strict, texture = _iban_holds(span), None
+        known = _IBAN_LENGTHS.get(span[:2]) == len(span.replace(" ", ""))
+    return "".join((_sign(strict), _sign(known), "+" if any(w in _FOR[kind] for w in near) else "0", "-" if any(w in _AGAINST for w in near) else "0", _sign(texture)))
 
 
 def shape(kind: str, span: str) -> str:
@@ -179,17 +198,17 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, base array<{_SPAN}>, found array<{_CANDIDATE}>")
 
 
-def fit_labelers(patterns: list[str], counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
+def fit_labelers(patterns: list[str], counts: np.ndarray, rounds: int = 200, held: float = 20.0) -> tuple[np.ndarray, np.ndarray]:
     """(posterior of each vote pattern, rates[class, labeler, vote]) by EM; votes in the order - 0 +.
 
-    Starts from labelers that are right four times in five when they vote. That start also
-    counts as a tenth of the candidates, so that the classes keep their sense.
+    Starts from labelers that are right four times in five when they vote. That start also counts
+    as `held` candidates of either class, so that the classes keep their sense where candidates are
+    few; where they are many the votes decide.
     """
     codes = np.array([["-0+".index(v) for v in p] for p in patterns])
     start = np.array([(0.4, 0.5, 0.1), (0.1, 0.5, 0.4)])
     rates = np.repeat(start[:, None, :], codes.shape[1], axis=1)
-    prior, held = 0.5, 5 + 0.1 * counts.sum()
-    place = np.arange(codes.shape[1])
+    prior, place = 0.5, np.arange(codes.shape[1])
     for _ in range(rounds):
         logs = np.log(rates)[:, place, codes].sum(2)
         odds = logs[1] - logs[0] + math.log(prior / (1 - prior))
@@ -201,44 +220,49 @@ def fit_labelers(patterns: list[str], counts: np.ndarray, rounds: int = 100) ->
     return post, rates
 
 
-def fit_spans(shapes: list[str], targets: np.ndarray, counts: np.ndarray, steps: int = 300) -> dict[str, float]:
-    """Verdict probability by shape: logistic regression on shape names, soft targets, ridge."""
-    names = sorted({n for s in shapes for n in s.split("|")})
-    x = np.array([[n in s.split("|") for n in names] + [True] for s in shapes], float)
-    w, share = np.zeros(x.shape[1]), counts / counts.sum()
-    rate = 4 / (x**2).sum(1).max()
+def _features(kind: str, votes_: str, shape_: str) -> list[str]:
+    return [kind, *(f"{kind}:{n}{v}" for n, v in zip(LABELERS, votes_, strict=True)), *shape_.split("|")[1:]]
+
+
+def fit_spans(spans: list[tuple[str, str, str]], targets: np.ndarray, counts: np.ndarray, ridge: float = 0.1, steps: int = 50) -> np.ndarray:
+    """Probability of each (kind, votes, shape): logistic regression on their names, soft targets, by Newton steps."""
+    names = sorted({n for s in spans for n in _features(*s)})
+    x = np.array([[n in own for n in names] + [True] for own in (set(_features(*s)) for s in spans)], float)
+    w = np.zeros(x.shape[1])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-x @ w))
-        w -= rate * (x.T @ (share * (p - targets)) + 1e-4 * w)
-    return dict(zip(shapes, (1 / (1 + np.exp(-x @ w))).tolist(), strict=True))
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x.T * (counts * p * (1 - p))) @ x + ridge * np.eye(len(w)), x.T @ (counts * (p - targets)) + ridge * w)
+        w -= step
+        if abs(step).max() < 1e-6:
+            break
+    return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+
+
+def verdicts(seen: dict[tuple[str, str, str], int], threshold: float = 0.5) -> set[tuple[str, str, str]]:
+    """The accepted among counted (kind, votes, shape): labelers weighed kind by kind, then the classifier's word."""
+    spans = sorted(seen)
+    if not spans:
+        return set()
+    counts = np.array([seen[s] for s in spans], float)
+    post = np.zeros(len(spans))
+    for kind in {s[0] for s in spans}:
+        own = np.array([s[0] == kind for s in spans])
+        post[own] = fit_labelers([s[1] for s in spans if s[0] == kind], counts[own])[0]
+    return {s for s, p in zip(spans, fit_spans(spans, post, counts), strict=True) if p >= threshold}
 
 
 def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """(key, base, spans): arrays of (kind, start, end); spans holds base and what the classifier accepts.
-
-    The accepted are those whose shape's probability and whose vote pattern's posterior, combined as the
-    mean of their log odds, reach the threshold.
-    """
+    """(key, base, spans): arrays of (kind, start, end); spans holds base and what the classifier accepts."""
     scanned = written(scan(docs, key, text), "pii")
-    seen = scanned.select(F.explode("found").alias("c")).groupBy("c.votes", "c.shape").agg(F.count("*").alias("n")).collect()
-    accepted: set[tuple[str, str]] = set()
-    if seen:
-        pairs = [(r["votes"], r["shape"]) for r in seen]
-        counts = np.array([r["n"] for r in seen], float)
-        post, _ = fit_labelers([v for v, _ in pairs], counts)
-        shapes = sorted({s for _, s in pairs})
-        at = np.array([shapes.index(s) for _, s in pairs])
-        weight = np.bincount(at, counts)
-        verdict = fit_spans(shapes, np.bincount(at, counts * post) / weight, weight)
-        logit = lambda p: math.log(max(p, 1e-9) / max(1 - p, 1e-9))
-        accepted = {(v, s) for (v, s), p in zip(pairs, post, strict=True) if logit(p) + logit(verdict[s]) >= 2 * logit(threshold)}
+    seen = scanned.select(F.explode("found").alias("c")).groupBy("c.kind", "c.votes", "c.shape").agg(F.count("*").alias("n")).collect()
+    accepted = verdicts({(KINDS[r["kind"]], r["votes"], r["shape"]): r["n"] for r in seen}, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
         for b in batches:
             out = []
             for base, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                more = [{k: c[k] for k in ("kind", "start", "end")} for c in found if (c["votes"], c["shape"]) in accepted]
+                more = [{k: c[k] for k in ("kind", "start", "end")} for c in found if (KINDS[c["kind"]], c["votes"], c["shape"]) in accepted]
                 out.append(sorted(base + more, key=lambda s: (s["kind"], s["start"])))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, span)], names=[key, "base", "spans"])
 
@@ -268,8 +292,9 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
             base, spans = b.column(1).to_pylist(), b.column(2).to_pylist()
             counts = np.array([[sum(s["kind"] == k for s in x) for k in range(4)] for x in base], np.int64).reshape(-1, 4)
             hashes = [hashlib.sha256(_listed(x).encode()).hexdigest() for x in base]
-            columns = [b.column(0), *(pa.array(counts[:, k].copy()) for k in range(4)), pa.array(hashes, pa.string()), pa.array([_listed(x) for x in spans], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
+            found_ = [pa.array([_listed(x) for x in spans], pa.string()), pa.array([len(x) for x in spans], pa.int64())]
+            columns = [b.column(0), *(pa.array(counts[:, k].copy()) for k in range(4)), pa.array(hashes, pa.string()), *found_]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_spans"])
 
     kind = dict(found.dtypes)["doc_id"]
-    return found.mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return found.mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
