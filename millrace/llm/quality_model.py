@@ -1,18 +1,20 @@
 """Quality by naive Bayes support vectors.
 
-A document's n-grams are indicators, hashed to 2^18 places: words; word shapes (letter case,
-digits and signs, runs closed up) alone and in pairs, a pair also telling whether the word
-itself is repeated; each shape gram at the shares of the text that it reaches; the text's
-length and share of distinct words. Indicators are scaled by the classes' log-count ratio, and
+A document's n-grams are indicators, hashed to 2^18 places: words and pairs of words; word shapes
+(letter case, digits and signs, runs closed up) alone and in pairs, a pair also telling whether
+the word itself is repeated; each shape gram at the shares of the text that it reaches; the
+text's length and share of distinct words. Indicators are scaled by the classes' log-count ratio, and
 a linear hinge-loss model is fit to them by dual coordinate descent. Margins of models that
 have not seen the row give the logistic scale of the score.
 
-Scale: the fit takes at most `max_rows` labelled rows, those with the smallest hashes of their
-id, a documented bound; scoring is one pass over all whole texts without a shuffle.
+Scale: the fit takes at most `max_rows` labelled rows with `max_places` indicators in all, those
+with the smallest hashes of their id, a documented bound on what reaches the driver (4 bytes an
+indicator); scoring is one pass over all whole texts without a shuffle.
 
 Defined results: null and empty texts are scored by their length alone; repeated rows score
-alike; without labels of both classes every score is the share of class 1, or 0.5 without any;
-an empty table gives an empty result; other columns are never inputs.
+alike, and each counts towards the bound; rows with a null id are scored, not held out, and never
+learnt from; without labels of both classes every score is the share of class 1, or 0.5 without
+any; an empty table gives an empty result; other columns are never inputs.
 """
 
 from __future__ import annotations
@@ -25,12 +27,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import table
+from millrace.llm.common import table, written
 from millrace.llm.tokens import blocks
 
-PLACES, MAX_ROWS, THRESHOLD = 1 << 18, 4_000, 0.3
+PLACES, MAX_ROWS, MAX_PLACES, THRESHOLD = 1 << 18, 4_000, 20_000_000, 0.3
 _SHARES = (0.02, 0.1, 0.3)
 _RUNS = re.compile(r"[0-9]+|[^\W\d_]+")
 _KNOWN = 500_000
@@ -96,6 +99,7 @@ class Indicators:
         same = (words[1:] == words[:-1])[pair]
         parts = [
             grams(row, _mix(word, 1), False),
+            grams(row[1:][pair], _mix(word[:-1][pair], word[1:][pair], 7), False),
             grams(row, _mix(form, 2), True),
             grams(row[1:][pair], _mix(form[:-1][pair], form[1:][pair], 3 + same), True),
         ]
@@ -109,9 +113,10 @@ class Indicators:
 
 
 def log_ratio(x: list[np.ndarray], y: np.ndarray, alpha: float = 1.0) -> np.ndarray:
+    """Log ratio of each place's share of the classes' indicators, smoothed by alpha; 0 for those seen in one row or none."""
     p, q = (np.bincount(np.concatenate([np.zeros(0, int), *(r for r, k in zip(x, y, strict=True) if k == c)]), minlength=PLACES) + alpha for c in (1, 0))
     out = np.log(p / p.sum()) - np.log(q / q.sum())
-    out[(p + q) <= 2 * alpha + 1] = 0  # seen once or never
+    out[(p + q) <= 2 * alpha + 1] = 0
     return out
 
 
@@ -173,8 +178,8 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = MAX_ROWS):
-    """The fitted (weights, slope, shift) from at most max_rows labelled rows that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = MAX_ROWS, max_places: int = MAX_PLACES):
+    """The fitted (weights, slope, shift) from at most max_rows labelled rows, and max_places places, that are not held out."""
     chosen = labels.select(key, F.col(label).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & ~held_out(key))
     chosen = chosen.orderBy(F.xxhash64(key), key).limit(max_rows)
     rows = docs.select(key, text).join(F.broadcast(chosen), key).select(text, "_y", key)
@@ -188,7 +193,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 yield pa.RecordBatch.from_arrays([b.column(2), b.column(1), lists], names=[key, "y", "places"])
 
     kind = docs.schema[key].dataType.simpleString()
-    got = rows.mapInArrow(run, f"{key} {kind}, y int, places array<int>").toArrow().sort_by(key)
+    coded = written(rows.mapInArrow(run, f"{key} {kind}, y int, places array<int>"), "training-rows")
+    # a window over the sample: few rows unless ids repeat, and then only their numbers are sorted
+    sizes = coded.select(key, "y", F.size("places").alias("n"), F.xxhash64("places").alias("p"))
+    order = W.orderBy(F.xxhash64(key), key, "y", "p").rowsBetween(W.unboundedPreceding, 0)
+    within = (F.count("*").over(order) <= max_rows) & (F.sum("n").over(order) <= max_places)
+    ends = sizes.withColumn("ok", within).where("ok").agg(F.count("*").alias("rows")).first()["rows"]
+    got = coded.orderBy(F.xxhash64(key), key, "y", F.xxhash64("places")).limit(ends).toArrow()
     return fit([np.asarray(p.values.to_numpy()) for p in got["places"]] if len(got) else [], got["y"].to_numpy())
 
 
