@@ -1,25 +1,34 @@
-"""Main text of web pages: structure first, then a host-wide suffix array for what it leaves open.
+"""Main text of web pages: host suffix arrays and page structure judge each block.
 
 A page is cut into blocks, each in a zone. "main": within <article> or <main> and not within
 menus, forms, adverts, comments and the like there. "side": within such containers. "open":
 neither. An <article> within such a container, as teasers are, is "main" only where there is
-nothing main or open. A page with text in a main zone is that zone. Other pages are their open blocks without what
-their host repeats: the token streams of a host's side and open blocks are concatenated, a
-suffix array by induced sorting finds runs of `min_tokens` or more tokens, and shorter blocks as
-wholes, on at least MIN_PAGES distinct pages and MIN_SHARE of the host's; covered tokens go and
-other runs stay. Exact copies of a page count as one. Main zones are no part of the streams: an article that a
-site shows twice is no boilerplate.
+nothing main or open.
+
+Every page enters its host's token streams. Side and open blocks enter word by word, main blocks
+as one token each. A suffix array by induced sorting finds the token runs that repeat on distinct
+pages of the host: `min_tokens` or more, or shorter blocks as wholes. A run is boilerplate
+- in open blocks, on at least MIN_PAGES pages and MIN_SHARE of the host's;
+- in main blocks, where the structure speaks against it, if a whole block is on at least
+  MAIN_PAGES pages and MAIN_SHARE of the host's. Less is no evidence there: sites show the same
+  article twice, and articles share sentences.
+The text of a page is its main blocks, or where it has none its open blocks, without boilerplate;
+unique runs stay. Side blocks never are text, and serve as evidence. Exact copies of a page count
+as one.
 
 Scale: a block that pages of a host share enters the streams once, with its number of pages. A
 window's pages are the sum over its blocks; where blocks of one page share a window, the page
-also gives the run with a negative number, so that the sum counts it once. The streams are sharded by the anchors of their token windows (the least-hashed token of
-a window), so a window meets its equals in one shard and a host may fill any number of them.
-Only marks on blocks of pages without a main zone are joined back.
+also gives the run with a negative number, so that the sum counts it once. The streams are sharded
+by the anchors of their token windows (the least-hashed token of a window), so a window meets its
+equals in one shard and a host may fill any number of them. Pages are not shuffled: marks on blocks
+that could be text are sent to all tasks, up to `max_marks`, and beyond that join the pages by
+row number.
 
 Defined results: null and empty html give empty text; a null url is a host of its own; rows
 that repeat an id are extracted one by one; unclosed tags end with their container (scripts, styles, titles,
-text areas and frames, whose content is no markup, with the page); svg and math may close themselves; an empty
-table gives an empty result; other columns are left out.
+text areas and frames, whose content is no markup, with the page); svg and math may close themselves; a tag
+with an unclosed quote ends at its first >, and after QUOTE_FAILURES of them quotes in tags do not count; an
+empty table gives an empty result; other columns are left out. Time is linear in the page.
 """
 
 from __future__ import annotations
@@ -38,23 +47,19 @@ from pyspark.sql import functions as F
 from millrace.llm.common import table, written
 from millrace.llm.suffix import suffix_array
 
-MIN_TOKENS, SHARD_TOKENS = 30, 2_000_000
+MIN_TOKENS, SHARD_TOKENS, MAX_MARKS, QUOTE_FAILURES = 30, 2_000_000, 100_000, 20
 #: Host boilerplate is on so many distinct pages of its host at least, and on such a share of them.
 MIN_PAGES, MIN_SHARE = 3, 0.1
-
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|textarea|title|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(?:svg|math)\b(?:[^>\"'/]|/(?!>)|\"[^\"]*\"|'[^']*')*+/>"
-    r"|<(noscript|template|svg|object|select|head|math|canvas|video|audio)\b[^>]*>[^<]*+(?:<(?!/?\2\b)[^<]*+)*+</\2\s*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<[!?/][^>]*(?:>|\Z)"
-    r"|<[a-zA-Z][^<>]*\Z",
-    re.DOTALL | re.IGNORECASE,
-)
-_CLOSED = re.compile(r"<head\b[^>]*>(?:(?!</head|<body).)*(?=<body)", re.DOTALL | re.IGNORECASE)
-#: Fixed lists of HTML. What the pattern above leaves open of _SKIPPED has no end tag before the next of its kind.
-_SKIPPED = frozenset("noscript template svg object select head math canvas video audio".split())
+MAIN_PAGES, MAIN_SHARE = 5, 0.5
+
+_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9-]*)")
+_PLAIN = re.compile(r"[^>\"']*+")
+#: Elements whose content is no markup (fixed values).
+_RAW = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in ("script", "style", "textarea", "title", "iframe")}
+_SAME = {name: re.compile(rf"</?{name}\b", re.IGNORECASE) for name in "noscript template svg object select math canvas video audio".split()}
+_HEAD_END = re.compile(r"(</head\s*>)|<body\b", re.IGNORECASE)
+#: Fixed lists of HTML. _SKIPPED elements hold no text of the page.
+_SKIPPED = frozenset(_SAME)
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -70,21 +75,45 @@ _SIDE_WORDS = frozenset(
     "breadcrumbs pagination pager footer masthead cookie cookies consent gdpr notice notification popup modal overlay newsletter subscribe subscription signup "
     "login register share sharing social related recommended comment comments commentlist disqus reply replies widget toolbar search hidden".split()
 )
+#: Words that go with these in the names of containers, and say nothing alone.
+_NEUTRAL_WORDS = frozenset(
+    "area bar block blocks body bottom box button buttons center col column container content entry fixed float footer form global group header holder icons inner "
+    "item items layout left link links list main menu module outer page panel post posts primary reader right row secondary section site slot small sticky text title top "
+    "unit user wide wrap wrapper zone".split()
+)
+#: Paragraphs and headings of a main zone go by class only if it is one of these.
+_ADVERTS = frozenset("ad ads advert advertisement advertising sponsored".split())
+_PROSE_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li td".split())
 #: Words that make a class of a header part of the text.
 _BODY_WORDS = frozenset(["article", "content", "entry", "post", "story"])
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
 _NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
+
+def _names_side(value: str, prose: bool, in_main: bool) -> bool:
+    """Whether a class or id names a side container: one of its names is made of side words and neutral ones."""
+    for name in value.split():
+        named = {w.lower() for w in _NAME_WORDS.findall(name)}
+        if prose:
+            if named and named <= _ADVERTS:
+                return True
+        elif named & _SIDE_WORDS and all(w in _SIDE_WORDS or w in _NEUTRAL_WORDS or w.isdigit() for w in named):
+            return True
+        elif "header" in named and not in_main and not named & _BODY_WORDS:
+            return True
+    return False
+
+
 def _is_side(tag: str, attributes: str, in_main: bool) -> bool:
     if tag in _SIDE_TAGS or (tag == "header" and not in_main):
         return True
     if not attributes or tag in ("html", "body", "main") or (tag == "article" and "comment" not in attributes):
         return False
+    prose = in_main and tag in _PROSE_TAGS
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            named = {w.lower() for w in _NAME_WORDS.findall(value)}
-            if named & _SIDE_WORDS or ("header" in named and not in_main and not named & _BODY_WORDS):
+            if _names_side(value, prose, in_main):
                 return True
         elif name == "role" and value.lower() in _SIDE_ROLES or name == "aria-hidden" and value.lower() == "true":
             return True
@@ -93,11 +122,76 @@ def _is_side(tag: str, attributes: str, in_main: bool) -> bool:
     return re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes) is not None
 
 
+def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, whether it closes, attributes) of the page's tags, in one forward scan.
+
+    Comments, declarations and elements that are no text come with their whole extent, and no name, or
+    their name with a ! before it.
+    """
+    last, failures, headless = page.rfind(">"), 0, False
+    at = page.find("<")
+    while 0 <= at < last:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, "", False, ""
+            at = page.find("<", end)
+            continue
+        m = _NAME.match(page, at)
+        if not m:
+            if page[at + 1] in "!?/":
+                end = page.find(">", at) + 1
+                yield at, end, "", False, ""
+                at = page.find("<", end)
+            else:
+                at = page.find("<", at + 1)
+            continue
+        name, closes = m[1].lower(), page[at + 1] == "/"
+        end = -1 if failures >= QUOTE_FAILURES or name in _RAW else _tag_end(page, m.end())
+        if end < 0:
+            failures += name not in _RAW
+            end = page.find(">", m.end())
+        attributes, start = page[m.end() : end], at
+        end += 1
+        if not closes:
+            if name in _RAW:
+                close = _RAW[name].search(page, end)
+                end, name = close.end() if close else len(page), f"!{name}"
+            elif name == "head":
+                close = None if headless else _HEAD_END.search(page, end)
+                headless = close is None
+                if close:
+                    end, name = close.end() if close[1] else close.start(), "!head"
+            elif name in _SKIPPED and not (attributes.endswith("/") and name in ("svg", "math")):
+                other = _SAME[name].search(page, end)
+                if other and page[other.start() + 1] == "/" and (stop := page.find(">", other.end())) >= 0 and not page[other.end() : stop].strip():
+                    end, name = stop + 1, f"!{name}"
+        yield start, end, name, closes, attributes
+        at = page.find("<", end)
+    # no tag ends beyond here; what the page breaks off in is none of its text
+    tail = page.rfind("<")
+    if tail > last and len(page) > tail + 1 and (page[tail + 1].isalpha() or page[tail + 1] in "!?/"):
+        yield tail, len(page), "", False, ""
+
+
+def _tag_end(page: str, at: int) -> int:
+    """Where the tag's > stands, outside quotes; -1 if there is none."""
+    while True:
+        at = _PLAIN.match(page, at).end()
+        if at >= len(page):
+            return -1
+        if page[at] == ">":
+            return at
+        at = page.find(page[at], at + 1) + 1
+        if not at:
+            return -1
+
+
 def page_blocks(page: str) -> list[tuple[str, str]]:
     """(zone, text) of the page's blocks in order; text has its references decoded and white space closed up."""
-    page = _CLOSED.sub("", page)
     out: list[tuple[str, str]] = []
-    stack: list[tuple[str, str]] = []  # (tag, zone within)
+    stack: list[tuple[str, str, bool]] = []  # tag, zone within, whether a side container other than a form is around
+    depth_of: Counter[str] = Counter()
     zone, parts, seen_main = "open", [], False
 
     def flush() -> None:
@@ -107,57 +201,62 @@ def page_blocks(page: str) -> list[tuple[str, str]]:
                 out.append((zone, text))
             parts.clear()
 
+    def push(tag: str, within: str) -> None:
+        nonlocal zone
+        stack.append((tag, within, (bool(stack) and stack[-1][2]) or (within == "side" and tag != "form")))
+        depth_of[tag] += 1
+        zone = within
+
+    def pop() -> str:
+        nonlocal zone
+        tag = stack.pop()[0]
+        depth_of[tag] -= 1
+        zone = stack[-1][1] if stack else "open"
+        return tag
+
     at = 0
-    for m in _TAG.finditer(page):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        tag = m[4]
-        if tag is None:
-            if (m[1] or m[2] or "").lower() in ("textarea", "select", "head", "title"):
+    for start, end, tag, closes, attributes in _tags(page):
+        if start > at:
+            parts.append(page[at:start])
+        at = end
+        if not tag or tag[0] == "!":
+            if tag in ("!textarea", "!select", "!head", "!title"):
                 flush()
             continue
-        tag = tag.lower()
         if tag == "br":
             parts.append(" ")
             continue
         block = tag in _BLOCK
         if block:
             flush()
-        if m[3]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
+        if closes:
+            if depth_of[tag]:
                 if not block:
                     flush()
-                del stack[depth:]
-                zone = stack[-1][1] if stack else "open"
+                while pop() != tag:
+                    pass
             continue
-        if tag in _VOID or m[5].endswith("/"):
+        if tag in _VOID or tag == "head" or attributes.endswith("/"):
             continue
         if tag in _SKIPPED:
             flush()
-            stack.append((tag, "skip"))
-            zone = "skip"
+            push(tag, "skip")
             continue
         if block and stack and stack[-1][0] in _SELF_CLOSING and (stack[-1][0] == tag or stack[-1][0] == "p"):
-            stack.pop()
-            zone = stack[-1][1] if stack else "open"
-        is_main = tag in ("article", "main") or (m[5] and re.search(r"role\s*=\s*[\"']?main", m[5], re.IGNORECASE))
-        side = _is_side(tag, m[5], zone == "main")
+            pop()
+        is_main = tag in ("article", "main") or (attributes and re.search(r"role\s*=\s*[\"']?main", attributes, re.IGNORECASE))
+        side = _is_side(tag, attributes, zone == "main")
         if side and (block or tag in _INLINE_HOLDERS):
             if not block:
                 flush()
-            stack.append((tag, "side"))
-            zone = "side"
-        elif tag == "article" and zone in ("side", "inner") and not seen_main and any(z == "side" and t != "form" for t, z in stack):
-            stack.append((tag, "inner"))
-            zone = "inner"
+            push(tag, "side")
+        elif tag == "article" and zone in ("side", "inner") and not seen_main and stack and stack[-1][2]:
+            push(tag, "inner")
         elif is_main and (zone not in ("side", "inner") or not seen_main):
             seen_main = True
-            stack.append((tag, "main"))
-            zone = "main"
+            push(tag, "main")
         elif block:
-            stack.append((tag, zone))
+            push(tag, zone)
     if at < len(page):
         parts.append(page[at:])
     flush()
@@ -198,18 +297,24 @@ def _shared_runs(blocks: set[str], width: int) -> Iterator[tuple[str, int]]:
                 at += 1
 
 
-def _side_rows(width: int):
+def _token(text: str) -> str:
+    """A main block as one token, which no word is."""
+    return f"\0{_hash(text):x}"
+
+
+def _block_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Side and open blocks of pages, each once a page: host, block, share of a distinct page."""
+        """Blocks of pages, each once a page: host, hash with the host, block, share of a distinct page, whether it could be text."""
         for b in batches:
-            hosts, blocks, pages = [], [], []
-            for host, text, share in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                own = {t for z, t in page_blocks(text) if z != "main"}
-                for block, n in [*((t, 1) for t in own), *((t, -n) for t, n in _shared_runs(own, width))]:
-                    hosts.append(host)
-                    blocks.append(block)
-                    pages.append(n * share)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(blocks, pa.string()), pa.array(pages, pa.float64())], names=["host", "block", "pages"])
+            rows = []
+            for host, page, share in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                blocks = page_blocks(page)
+                kept = {t for z, t in blocks if z == "open"} if all(z != "main" for z, _ in blocks) else set()
+                own = {t for z, t in blocks if z != "main"}
+                rows += [(host, _hash(host, t), t, n * share, t in kept) for t, n in [*((t, 1) for t in own), *((t, -n) for t, n in _shared_runs(own, width))]]
+                rows += [(host, _hash(host, t), t, share, True) for t in {_token(t) for z, t in blocks if z == "main"}]
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.float64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["host", "hash", "block", "pages", "kept"])
 
     return run
 
@@ -312,55 +417,83 @@ def _mark_rows(width: int):
 
 
 def host_boilerplate(pages: DataFrame, width: int = MIN_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """(block, runs): for blocks of (_page, _host, _html), by hash of host and text, the token runs their host repeats."""
+    """(block, runs): for blocks of (_host, _html) that could be text, by hash of host and text, the token runs their host repeats."""
     pages = pages.select("_host", "_html", F.xxhash64("_host", "_html").alias("_copy"))
     copies = written(pages.groupBy("_host", "_copy").agg(F.count("*").alias("n")), "page-copies")
-    hosts = written(copies.groupBy("_host").agg(F.greatest(F.lit(float(MIN_PAGES)), MIN_SHARE * F.count("*")).alias("need")), "hosts")
+    need = lambda n, share: F.greatest(F.lit(float(n)), share * F.count("*"))
+    hosts = written(copies.groupBy("_host").agg(need(MIN_PAGES, MIN_SHARE).alias("need"), need(MAIN_PAGES, MAIN_SHARE).alias("need_main")), "hosts")
     shares = copies.where("n > 1").select("_copy", (1 / F.col("n")).alias("share"))
-    seen = pages.join(shares, "_copy", "left").select("_host", "_html", F.coalesce("share", F.lit(1.0)).alias("share")).mapInArrow(_side_rows(width), "host string, block string, pages double")
-    blocks = seen.groupBy("host", "block").agg(F.sum("pages").alias("pages"))
-    distinct = written(blocks.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).select("host", "block", "pages", "need"), "side-blocks")
+    weighed = pages.join(shares, "_copy", "left").select("_host", "_html", F.coalesce("share", F.lit(1.0)).alias("share"))
+    seen = weighed.mapInArrow(_block_rows(width), "host string, hash long, block string, pages double, kept boolean")
+    blocks = seen.groupBy("host", "hash").agg(F.first("block").alias("block"), F.sum("pages").alias("pages"), F.max("kept").alias("kept"))
+    is_main = F.col("block").startswith("\0")
+    known = blocks.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).where(~is_main | (F.col("pages") > F.col("need_main") - 1e-6))
+    distinct = written(known.select("host", "hash", "block", "pages", F.when(is_main, F.col("need_main")).otherwise(F.col("need")).alias("need"), "kept"), "blocks")
     total = distinct.agg(F.sum(F.length("block"))).first()[0] or 0
     shards = max(1, -(-total // (6 * shard_tokens)))
-    rows = distinct.mapInArrow(_context_rows(width, shards), "shard int, host long, block long, start long, pages double, need double, tokens array<long>")
+    rows = distinct.select("host", "block", "pages", "need").mapInArrow(_context_rows(width, shards), "shard int, host long, block long, start long, pages double, need double, tokens array<long>")
     found = rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(_mark_rows(width), "block long, start long, end long")
-    return found.groupBy("block").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
+    marks = found.groupBy("block").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
+    return marks.join(distinct.where("kept").select(F.col("hash").alias("block")).distinct(), "block", "left_semi")
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", width: int = MIN_TOKENS) -> DataFrame:
+def _text(host: str | None, page: str, runs_of: dict[int, list]) -> str:
+    """The page's main blocks, or its open ones, without the marked runs."""
+    blocks = page_blocks(page)
+    main = [t for z, t in blocks if z == "main"]
+    if not runs_of:
+        return "\n".join(main or [t for z, t in blocks if z == "open"])
+    if main:
+        return "\n".join(t for t in main if _hash(host, _token(t)) not in runs_of)
+    out = []
+    for zone, text in blocks:
+        runs = runs_of.get(_hash(host, text)) if zone == "open" else None
+        if runs:
+            tokens = text.split(" ")
+            for start, end in runs:
+                tokens[start:end] = [""] * (end - start)
+            text = " ".join(t for t in tokens if t)
+        if zone == "open" and text:
+            out.append(text)
+    return "\n".join(out)
+
+
+def _runs(marks: list[dict]) -> dict[int, list]:
+    return {m["block"]: [(r["start"], r["end"]) for r in m["runs"]] for m in marks}
+
+
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", width: int = MIN_TOKENS, max_marks: int = MAX_MARKS) -> DataFrame:
     """(key, url, text) of every row."""
     kind = pages.schema[key].dataType.simpleString()
     host = F.lower(F.regexp_extract(F.col(url), "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    whole = pages.select(F.col(key), F.col(url), host.alias("_host"), F.monotonically_increasing_id().alias("_page"), F.coalesce(F.col(html), F.lit("")).alias("_html"))
+    whole = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), host.alias("_host"), F.coalesce(F.col(html), F.lit("")).alias("_html"))
+    schema = f"{key} {kind}, {url} string, text string"
+    marks = written(host_boilerplate(whole, width), "marks")
+    if marks.count() <= max_marks:
+        runs_of = _runs([r.asDict(recursive=True) for r in marks.collect()])
 
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            mains = [[t for z, t in page_blocks(x) if z == "main"] for x in b.column(2).to_pylist()]
-            with_main = b.filter(pa.array([bool(x) for x in mains], pa.bool_()))
-            yield pa.RecordBatch.from_arrays([with_main.column(0), with_main.column(1), pa.array(["\n".join(x) for x in mains if x], pa.string())], names=[key, url, "text"])
+        def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = [_text(h, x, runs_of) for h, x in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.string())], names=[key, url, "text"])
 
-    by_structure = whole.select(key, url, "_html").mapInArrow(texts, f"{key} {kind}, {url} string, text string")
+        return whole.mapInArrow(texts, schema)
+
+    def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(row, _hash(h, _token(t) if z == "main" else t)) for row, h, x in zip(*(c.to_pylist() for c in b.columns), strict=True) for z, t in page_blocks(x) if z != "side"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["_row", "block"])
 
-    def open_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def marked_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pages = [page_blocks(x) for x in b.column(4).to_pylist()]
-            without = [all(z != "main" for z, _ in x) for x in pages]
-            b = b.filter(pa.array(without, pa.bool_()))
-            blocks = [[t for z, t in x if z == "open"] for x, ok in zip(pages, without, strict=True) if ok]
-            hashes = [[_hash(h, t) for t in x] for h, x in zip(b.column(2).to_pylist(), blocks, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], b.column(3), pa.array(blocks, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64()))], names=[key, url, "_page", "texts", "hashes"])
-
-    left = whole.select(key, url, "_host", "_page", "_html").mapInArrow(open_blocks, f"{key} {kind}, {url} string, _page long, texts array<string>, hashes array<long>")
-    if left.isEmpty():
-        return by_structure
-    rows = left.select(key, url, "_page", F.posexplode_outer(F.arrays_zip("texts", "hashes"))).select(key, url, "_page", "pos", F.col("col.texts").alias("_text"), F.col("col.hashes").alias("block"))
-    marked = rows.join(written(host_boilerplate(whole, width), "marks"), "block", "left")
-    tokens = F.split("_text", " ")
-    unique = F.array_join(F.filter(tokens, lambda t, i: ~F.exists("runs", lambda r: (r["start"] <= i) & (i < r["end"]))), " ")
-    cleaned = marked.withColumn("_text", F.when(F.col("runs").isNull(), F.col("_text")).otherwise(unique))
-    ordered = F.array_sort(F.collect_list(F.when(F.coalesce("_text", F.lit("")) != "", F.struct("pos", "_text"))))
-    by_host = cleaned.groupBy("_page", key, url).agg(F.array_join(F.transform(ordered, lambda x: x["_text"]), "\n").alias("text"))
-    return by_structure.unionByName(by_host.select(key, url, "text"))
+            found = [_text(h, x, _runs(m or [])) for h, x, m in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.string())], names=[key, url, "text"])
+
+    # row numbers are written down with the rows: another scan might split its input otherwise
+    rows = written(whole.withColumn("_row", F.monotonically_increasing_id()), "pages")
+    on = rows.select("_row", "_host", "_html").mapInArrow(block_rows, "_row long, block long").distinct().join(marks, "block")
+    by_row = on.groupBy("_row").agg(F.collect_list(F.struct("block", "runs")).alias("_marks"))
+    return rows.join(by_row, "_row", "left").select("_key", "_url", "_host", "_html", "_marks").mapInArrow(marked_texts, schema)
 
 
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
