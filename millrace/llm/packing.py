@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import table, written
 from millrace.llm.tokens import blocks, shared_encoder
 
-WINDOW, STEPS = 1024, 300
+WINDOW, STEPS, TOLERANCE = 1024, 2000, 0.01
 
 
 def pieces(docs: DataFrame, tokenizer: str, kind: str = "bytes", end_id: int = 0, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -78,8 +78,11 @@ def combinations(lengths: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.stack([a[ok], b[ok], c[ok]], 1)
 
 
-def solve_counts(combos: np.ndarray, histogram: np.ndarray, steps: int = STEPS) -> np.ndarray:
-    """x >= 0 that brings combos' lengths closest to the histogram, by FISTA."""
+def solve_counts(combos: np.ndarray, histogram: np.ndarray, steps: int = STEPS, tolerance: float = TOLERANCE) -> np.ndarray:
+    """x >= 0 that brings combos' lengths closest to the histogram, by FISTA with restarts.
+
+    Ends when no length's error falls by more than `tolerance` pieces over 50 steps, or after `steps`.
+    """
     size = len(histogram)
     h = histogram.astype(float)
     h[0] = 0
@@ -98,12 +101,19 @@ def solve_counts(combos: np.ndarray, histogram: np.ndarray, steps: int = STEPS)
         scale = np.linalg.norm(v)
         v /= scale
     x = z = np.zeros(len(combos))
-    t = 1.0
-    for _ in range(steps):
+    t, before = 1.0, h
+    for step in range(1, steps + 1):
         new = np.maximum(z - back(times(z) - h) / (1.05 * scale), 0)
+        if (z - new) @ (new - x) > 0:  # the momentum leads uphill
+            t = 1.0
         t, old = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         z = new + (old - 1) / t * (new - x)
         x = new
+        if step % 50 == 0:
+            error = times(x) - h
+            if np.abs(error - before).max() < tolerance:
+                break
+            before = error
     return x
 
 

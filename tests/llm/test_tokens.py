@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -154,3 +155,110 @@ def test_least_squares_finds_exact_fillings():
     """A histogram made of exact combinations is packed without a gap."""
     patterns = packing.plan({700: 300, 324: 300, 512: 40, 256: 80}, 1024)
     assert all(sum(lengths) == 1024 for lengths, _ in patterns)
+
+
+def least_squares_by_hand(a, h):
+    """Lawson and Hanson's active sets."""
+    x, passive = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
+    for _ in range(500):
+        w = a.T @ (h - a @ x)
+        w[passive] = -1
+        if w.max() < 1e-8:
+            return x
+        passive[w.argmax()] = True
+        while True:
+            s = np.zeros(len(x))
+            s[passive] = np.linalg.lstsq(a[:, passive], h, rcond=None)[0]
+            if (s[passive] > 1e-12).all():
+                x = s
+                break
+            low = passive & (s <= 1e-12)
+            x = x + min(x[low] / (x[low] - s[low] + 1e-300)) * (s - x)
+            passive &= x > 1e-10
+            x[~passive] = 0
+    return x
+
+
+def test_counts_are_the_least_squares_solution():
+    rng = np.random.default_rng(8)
+    for window in (12, 24, 40):
+        h = np.where(rng.random(window + 1) < 0.6, rng.integers(0, 60, window + 1), 0)
+        h[0] = h[window] = 0
+        combos = packing.combinations(np.flatnonzero(h), window)
+        if not len(combos):
+            continue
+        a = np.zeros((window + 1, len(combos)))
+        for j, c in enumerate(combos):
+            np.add.at(a[:, j], c[c > 0], 1)
+        error = lambda x: np.linalg.norm(a @ x - h)
+        x = packing.solve_counts(combos, h, tolerance=1e-9, steps=20_000)
+        assert (x >= 0).all() and error(x) <= error(least_squares_by_hand(a, h.astype(float))) + 1e-3
+        assert error(packing.solve_counts(combos, h)) <= error(x) + 0.5
+
+
+def fields(data):
+    """(number, value) of a protocol buffer's fields; value is a number or bytes."""
+
+    def varint(at):
+        n = shift = 0
+        while True:
+            n |= (data[at] & 127) << shift
+            at, shift = at + 1, shift + 7
+            if data[at - 1] < 128:
+                return n, at
+
+    at = 0
+    while at < len(data):
+        tag, at = varint(at)
+        if tag & 7 == 0:
+            value, at = varint(at)
+        elif tag & 7 == 2:
+            size, at = varint(at)
+            value, at = data[at : at + size], at + size
+        else:
+            size = {1: 8, 5: 4}[tag & 7]
+            value, at = data[at : at + size], at + size
+        yield tag >> 3, value
+
+
+def stripes(path):
+    """Of each stripe of an uncompressed ORC file: rows, {(kind, column)} of its streams, encodings of the columns."""
+    data = path.read_bytes()
+    post = dict(fields(data[-1 - data[-1] : -1]))
+    footer = data[-1 - data[-1] - post[1] : -1 - data[-1]]
+    for number, value in fields(footer):
+        if number == 3:
+            s = dict(fields(value))
+            end = s[1] + s.get(2, 0) + s[3]
+            own = list(fields(data[end : end + s[4]]))
+            streams = [dict(fields(v)) for n, v in own if n == 1]
+            yield s[5], {(x.get(1, 0), x.get(2, 0)) for x in streams}, [dict(fields(v)).get(1, 0) for n, v in own if n == 2]
+
+
+def test_orc_files_hold_indexes_and_filters_and_look_ups_skip(spark, monkeypatch):
+    """Several stripes a file, in each a row index and a Bloom filter on the id; a look-up reads a part of the rows."""
+    monkeypatch.setattr(orc_tokens, "STRIPE_BYTES", 200_000)
+    rng = random.Random(1)
+    docs = spark.createDataFrame([(7 * i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))) for i in range(12_000)], "doc_id long, text string")
+    path = scratch(spark, "orc-indexed")
+    spark.conf.set("spark.sql.orc.compression.codec", "none")
+    try:
+        orc_tokens.write_tokens(docs, path, WORDS)
+    finally:
+        spark.conf.unset("spark.sql.orc.compression.codec")
+    files = [list(stripes(p)) for p in Path(path.removeprefix("file://")).glob("*.orc")]
+    assert sum(rows for f in files for rows, *_ in f) == 12_000 and max(map(len, files)) >= 2
+    row_index, bloom_filter, run_length_2 = 6, 8, 2
+    for f in files:
+        for _, streams, encodings in f:
+            assert {(row_index, 1), (bloom_filter, 1)} <= streams
+            assert encodings[1] == encodings[4] == run_length_2  # doc_id, and the elements of ids
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for wanted, most in ((7 * 5_000, 1_000), (7 * 5_000 + 3, 1_000)):
+            found = orc_tokens.read_tokens(spark, path, [wanted])
+            assert len(found.collect()) == (wanted % 7 == 0)
+            scan = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+            assert scan.metrics().get("numOutputRows").get().value() <= most
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
