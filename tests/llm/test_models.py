@@ -59,6 +59,79 @@ def test_votes_find_secrets_and_leave_numbers(spark):
     assert pii.redact("mail a@b.cd now", [{"kind": 0, "start": 5, "end": 11}]) == "mail [EMAIL] now"
 
 
+def plain_em(votes, rounds, held):
+    """EM candidate by candidate, as the textbook has it, from the same start."""
+    start = {1: {"-": 0.1, "0": 0.5, "+": 0.4}, 0: {"-": 0.4, "0": 0.5, "+": 0.1}}
+    rates = [{y: dict(start[y]) for y in (0, 1)} for _ in votes[0]]
+    prior = 0.5
+    for _ in range(rounds):
+        post = []
+        for v in votes:
+            like = {y: (prior if y else 1 - prior) * np.prod([r[y][x] for r, x in zip(rates, v, strict=True)]) for y in (0, 1)}
+            post.append(like[1] / (like[0] + like[1]))
+        prior = min(max((sum(post) + 1) / (len(votes) + 2), 0.02), 0.98)
+        for y in (0, 1):
+            share = [p if y else 1 - p for p in post]
+            for k, r in enumerate(rates):
+                r[y] = {x: (sum(w for w, v in zip(share, votes, strict=True) if v[k] == x) + held * start[y][x]) / (sum(share) + held) for x in "-0+"}
+    return post, rates
+
+
+def test_em_recovers_the_rates_of_simulated_labelers():
+    rng = random.Random(3)
+    true = [{1: (0.05, 0.15, 0.8), 0: (0.7, 0.2, 0.1)}, {1: (0.0, 0.6, 0.4), 0: (0.0, 0.98, 0.02)}, {1: (0.2, 0.2, 0.6), 0: (0.5, 0.2, 0.3)}, {1: (0.1, 0.8, 0.1), 0: (0.4, 0.55, 0.05)}]
+    truth = [int(rng.random() < 0.3) for _ in range(4000)]
+    votes = ["".join(rng.choices("-0+", r[y])[0] for r in true) for y in truth]
+    patterns = sorted(set(votes))
+    counts = np.array([votes.count(p) for p in patterns], float)
+    post, rates = pii.fit_labelers(patterns, counts)
+    for k, r in enumerate(true):
+        for y in (0, 1):
+            assert np.abs(rates[y, k] - r[y]).max() < 0.08
+    of = dict(zip(patterns, post, strict=True))
+    right = sum((of[v] >= 0.5) == y for v, y in zip(votes, truth, strict=True))
+    chance = lambda v, y: (0.3 if y else 0.7) * np.prod([r[y]["-0+".index(x)] for r, x in zip(true, v, strict=True)])
+    best = sum((chance(v, 1) >= chance(v, 0)) == y for v, y in zip(votes, truth, strict=True))
+    assert right >= best - 0.01 * len(truth)
+    few = votes[:300]
+    patterns = sorted(set(few))
+    post, rates = pii.fit_labelers(patterns, np.array([few.count(p) for p in patterns], float), rounds=12)
+    want, want_rates = plain_em(few, 12, 20.0)
+    of = dict(zip(patterns, post, strict=True))
+    assert np.allclose([of[v] for v in few], want) and np.allclose(rates[1, 2], [want_rates[2][1][x] for x in "-0+"])
+
+
+def test_span_classifier_is_the_ridge_optimum():
+    rng = np.random.default_rng(1)
+    spans = [("secret", v, f"secret|len{k}|dig{k % 3}") for v in ("+++0+", "-00--", "0000+") for k in range(4)]
+    targets, counts = rng.random(len(spans)), rng.integers(1, 50, len(spans)).astype(float)
+    p = pii.fit_spans(spans, targets, counts)
+    names = sorted({n for s in spans for n in pii._features(*s)})
+    x = np.array([[n in pii._features(*s) for n in names] + [True] for s in spans], float)
+    w = np.linalg.lstsq(x, np.log(p / (1 - p)), rcond=None)[0]
+    loss = lambda w: -(counts * (targets * (x @ w) - np.log1p(np.exp(x @ w)))).sum() + 0.05 * w @ w
+    assert all(loss(w) <= loss(w + d) + 1e-6 for d in rng.normal(0, 0.05, (200, len(w))))
+
+
+def test_every_kind_has_its_own_evidence():
+    cases = [
+        ("phone", "(212) 555-0182", "call ", "(100) 000-0000", "version "),
+        ("national_id", "219-45-1234", "his ssn ", "078-05-1120", "isbn "),
+        ("iban", "DE89 3704 0044 0532 0130 00", "konto ", "DE89 3704 0044 0532 0130 01", "revision "),
+        ("email", "jane [at] example [dot] com", "write to ", "x [at] y [dot] zzzz", "version "),
+        ("secret", "0a1b2c3d4e5f60718293", "token = ", "4.0.11", "version "),
+    ]
+    for kind, good, before, bad, other in cases:
+        value = lambda v: sum({"+": 1, "0": 0, "-": -1}[c] for c in v)
+        assert value(pii.votes(kind, good, before)) >= 2 > 0 >= value(pii.votes(kind, bad, other))
+    seen = {}
+    for kind, good, before, bad, other in cases:
+        for span, near, n in ((good, before, 30), (bad, other, 40)):
+            seen[(kind, pii.votes(kind, span, near), pii.shape(kind, span))] = n
+    accepted = pii.verdicts(seen)
+    assert {k for k, *_ in accepted} == {c[0] for c in cases} and len(accepted) == len(cases)
+
+
 @pytest.mark.parametrize("text", ["write to jane.doe (at) example (dot) com please", f"use sk_{'abcdefghij' * 2} here", f"key {'QWERTYUIOP' * 2} here", f"sum {'abcdef' * 3} here"])
 def test_candidates_need_no_digit_elsewhere(spark, text):
     df = spark.createDataFrame([(1, text), (2, f"{text} 5 = 5")], "doc_id long, text string")
@@ -99,6 +172,78 @@ def test_quality_of_odd_rows(spark):
     assert quality_model.score(docs.limit(0), quality_model.train(docs, one)).count() == 0
 
 
+def indicators_by_hand(text):
+    """The places of a text's indicators, gram by gram."""
+    ws = (text or "").split()
+    mix = lambda *parts: int(quality_model._mix(*[np.uint64(p) for p in parts]))
+    word = [zlib.crc32(w.lower().encode()) for w in ws]
+    form = [zlib.crc32(quality_model.shape(w).encode()) for w in ws]
+    low = lambda x: x & 0xFFFFFFFF
+    pairs = range(len(ws) - 1)
+    out = {mix(low(mix(x, 1)), 0) for x in word} | {mix(low(mix(word[i], word[i + 1], 7)), 0) for i in pairs}
+    for grams in ([low(mix(x, 2)) for x in form], [low(mix(form[i], form[i + 1], 3 + (ws[i] == ws[i + 1]))) for i in pairs]):
+        for g in set(grams):
+            out |= {mix(g, 0)} | {mix(g, k + 1) for k, share in enumerate((0.02, 0.1, 0.3)) if grams.count(g) >= share * len(ws)}
+    out |= {mix(np.ceil(np.log2(len(ws) + 1)), 5), mix(np.floor(10 * len(set(ws)) / max(len(ws), 1)), 6)}
+    return sorted({x % quality_model.PLACES for x in out})
+
+
+def test_indicators_against_plain_grams():
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    texts = [None, "", "one", "a a A B2 b2 -- x", *(" ".join(rng.choice(["the", "The", "cat", "x1", "N!", "3"]) for _ in range(rng.randint(1, 60))) for _ in range(40))]
+    places, offsets = quality_model.Indicators()(pa.array(texts, pa.string()))
+    assert [places[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == [indicators_by_hand(t) for t in texts]
+
+
+def test_log_ratio_by_hand():
+    x, y = [np.array([1, 2]), np.array([1, 3]), np.array([2, 3, 4])], np.array([1, 1, 0])
+    r = quality_model.log_ratio(x, y)
+    n = quality_model.PLACES
+    of = lambda a, b: np.log((a + 1) / (4 + n)) - np.log((b + 1) / (3 + n))
+    assert np.allclose(r[[1, 2, 3]], [of(2, 0), of(1, 1), of(1, 1)]) and r[4] == r[5] == 0
+
+
+def test_dual_descent_is_the_optimum_of_the_hinge_loss():
+    """Against projected gradient steps on the same dual problem, and by the gap between primal and dual."""
+    rng = np.random.default_rng(2)
+    n, cost = 60, 0.7
+    y = rng.integers(0, 2, n)
+    x = [np.sort(rng.choice(25, 6, replace=False)) for _ in range(n)]
+    v = [rng.normal(0, 1, 6) + 0.4 * (2 * k - 1) for k in y]
+    w = quality_model.dual_descent(x, v, y, cost=cost, rounds=3000)
+    a = np.zeros((n, 25))
+    for i in range(n):
+        a[i, x[i]] = v[i]
+    sign = 2.0 * y - 1
+    upper = cost * n / (2 * np.where(y == 1, (y == 1).sum(), (y == 0).sum()))
+    primal = lambda u: u @ u / 2 + (upper * np.maximum(0, 1 - sign * (a @ u))).sum()
+    q = (sign[:, None] * a) @ (sign[:, None] * a).T
+    alpha, step = np.zeros(n), 1 / np.linalg.eigvalsh(q).max()
+    for _ in range(200_000):
+        alpha = np.clip(alpha - step * (q @ alpha - 1), 0, upper)
+    dual = alpha.sum() - alpha @ q @ alpha / 2
+    assert abs(primal(w[:25]) - dual) < 1e-2 * dual and primal(w[:25]) >= dual - 1e-6
+    assert np.abs(w[:25] - a.T @ (sign * alpha)).max() < 0.05
+
+
+def test_training_is_bounded(spark):
+    docs = spark.createDataFrame([(i % 40, f"word{i % 2} text {i % 2}") for i in range(400)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1)], "doc_id long, quality int")
+    seen, whole = [], quality_model.fit
+    quality_model.fit = lambda x, y: seen.append((len(x), sum(map(len, x)))) or whole(x, y)
+    try:
+        for how in ({}, {"max_rows": 50}, {"max_places": 300}):
+            model = quality_model.train(docs, labels, **how)
+        assert quality_model.score(docs, model).count() == 401
+    finally:
+        quality_model.fit = whole
+    assert seen[0][0] > 250 and seen[1][0] == 50 and 200 < seen[2][1] <= 300
+    odd = docs.where("doc_id is null").select(quality_model.held_out().alias("h")).first()
+    assert odd.h is False
+
+
 def test_dual_descent_separates():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 80)
@@ -144,6 +289,72 @@ def test_pages_without_main_text_go_to_the_host_stream(spark, mark):
     assert got == {i: f"Head {i}\nUnique text number {i} goes here." for i in range(12)}
 
 
+@pytest.mark.parametrize("max_marks", [1000, -1])
+def test_host_evidence_counts_in_articles_too(spark, max_marks):
+    """A whole block on more than half of a host's pages goes from its articles; shared sentences and an article shown twice stay."""
+    notice = "This story is brought to you by the friends of our newsroom, thank you all."
+    page = "<body><nav>Home</nav><article><h1>Head {0}</h1><p>Text number {0} of many, said once.</p><p>{1}</p></article><footer>f</footer></body>"
+    rows = [(i, f"http://a.com/{i}", page.format(i, notice if i % 5 else "In the end it rained.")) for i in range(20)]
+    rows += [(20 + i, f"http://a.com/again{i}", page.format("twice", "Shown twice.").replace("Home", f"Home {i}")) for i in range(2)]
+    rows += [(30 + i, f"http://b.com/{i}", page.format(i, notice)) for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(df, max_marks=max_marks).collect()}
+    own = lambda i, more: f"Head {i}\nText number {i} of many, said once.{more}"
+    want = {i: own(i, "" if i % 5 else "\nIn the end it rained.") for i in range(20)}
+    want |= {20 + i: own("twice", "\nShown twice.") for i in range(2)} | {30 + i: own(i, f"\n{notice}") for i in range(4)}
+    assert got == want
+
+
+def test_host_streams_agree_with_a_plain_search(spark):
+    """Runs of open text that repeat on a host's pages, found by hand token window by token window."""
+    rng, width = random.Random(12), 6
+    shared = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(40)) for _ in range(rng.randint(4, 25))) for _ in range(5)]
+    pages = []
+    for i in range(30):
+        words = [" ".join(rng.choice("uvwxyz") + str(rng.randrange(10**6)) for _ in range(rng.randint(1, 20))) for _ in range(4)]
+        for x in rng.sample(shared, rng.randint(0, 3)):
+            words.insert(rng.randrange(len(words) + 1), x if rng.random() < 0.5 else f"{words.pop()} {x} {i}")
+        pages.append((i % 3, words))
+    df = spark.createDataFrame([(i, f"http://h{h}.com/", "".join(f"<p>{w}</p>" for w in ws)) for i, (h, ws) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(df, width=width).collect()}
+    windows_of = lambda w: {tuple(t) for t in [w.split()] if len(t) < width} | {tuple(w.split()[k : k + width]) for k in range(len(w.split()) - width + 1)}
+    for i, (h, ws) in enumerate(pages):
+        others = [set().union(*map(windows_of, q)) for g, q in pages if g == h]
+        out = []
+        for w in ws:
+            t = w.split()
+            gone = set()
+            for k in range(max(1, len(t) - width + 1)):
+                win = tuple(t[k : k + width]) if len(t) >= width else tuple(t)
+                if sum(win in o for o in others) >= 3:
+                    gone |= set(range(k, k + len(win)))
+            out.append(" ".join(x for k, x in enumerate(t) if k not in gone))
+        assert got[i] == "\n".join(x for x in out if x), i
+
+
+def test_class_words_in_an_article():
+    inner = '<p class="social">One.</p><p class="related-work">Two.</p><div class="notification-study">Three.</div><h2 class="menu">Four.</h2><section id="search-methods">Five.</section>'
+    side = '<div class="ad-box">x</div><p class="ads">x</p><div class="social-share-buttons">x</div><ul class="related-links"><li>x</ul><div id="comments2">x</div><div class="newsletterSignup box">x</div><p hidden>x</p>'
+    assert html_extract.main_text(f"<article>{inner}{side}</article>") == "One.\nTwo.\nThree.\nFour.\nFive."
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<p class="', "<script ", "<head>", "<svg>", "<svg ", "</p", "<!--", "<", "<p>", "<article>", "<nav><article>", "<div></b>", '<a "> "', "<a '>", '<a "x" <', "&lt", "<p class='a\">", "<title>", "</svg><math>", "<textarea></textarea", "</title  "])
+@pytest.mark.parametrize("end", ["", ">", "\">", "</head><body>"])
+def test_hostile_pages_take_linear_time(unit, end):
+    import time
+
+    page = unit * (400_000 // len(unit)) + end
+    began = time.process_time()
+    html_extract.page_blocks(page)
+    assert time.process_time() - began < 4
+
+
+def test_tags_that_break_off():
+    assert html_extract.main_text('<article><p>a</p><p title="x>b</p></article>') == "a\nb"
+    assert html_extract.main_text("<article><p>1 < 2 and 3 > 2</p><p>rest <b") == "1 < 2 and 3 > 2\nrest"
+    assert html_extract.main_text('<article><p data-x="a > b">c</p></article>') == "c"
+
+
 def test_an_article_alone_in_a_side_container_is_the_text():
     assert html_extract.main_text("<body><div class='overlay'><nav>n</nav><article>x</article></div></body>") == "x"
     assert html_extract.main_text("<body><form><div>d</div><article>x</article></form></body>") == "x"
