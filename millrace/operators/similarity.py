@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.operators.graph import classes
+from millrace.sources.tables import stored
+
 #: Largest number of known texts' keys to send to every executor.
 MAX_BROADCAST = 200_000
 
@@ -15,36 +22,64 @@ def _known(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(text, "[ \\t\\n\\r]+"), lambda w: w != "")
 
 
+#: Length of the character grams that stand in for known texts without an inner word.
+GRAM = 4
+
+
 def contained(docs: DataFrame, known: DataFrame) -> DataFrame:
     """(item_id, doc_id): known texts that stand in a document, letter for letter.
 
     A known text's longest inner word is a word of every document that holds the text; its first
-    and last could be parts of longer words there. Texts without an inner word pair with all.
+    and last could be parts of longer words there. A text without an inner word goes by its first
+    characters. Documents offer the hashes of their words (and of their character grams, if need
+    be), not themselves; only those that share a key are read again and searched. Texts shorter
+    than a gram, of which there can be few, are searched for in every document.
     """
-    inner = F.transform(F.array(_words(F.col("text"))), lambda w: F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0))))[0]
-    key = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))))["w"]
-    items = known.where("text <> ''").select("item_id", F.col("text").alias("known"), key.alias("word"))
-    keyed, bare = items.where("word is not null"), items.where("word is null")
-    offers = docs.select("doc_id", "text", F.explode(F.array_distinct(_words(F.col("text")))).alias("word"))
-    found = offers.join(_known(keyed), "word").where(F.col("text").contains(F.col("known"))).select("item_id", "doc_id")
-    if bare.isEmpty():
-        return found
-    return found.unionByName(docs.join(_known(bare), F.col("text").contains(F.col("known"))).select("item_id", "doc_id"))
+    inner = _let(_words(F.col("text")), lambda w: F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0))))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))))["w"]
+    key = F.when(longest.isNotNull(), F.xxhash64(longest)).when(F.length("text") >= GRAM, F.xxhash64(F.lit(GRAM), F.substring("text", 1, GRAM)))
+    items = known.where("text <> ''").select("item_id", F.col("text").alias("known"), key.alias("key"), (longest.isNull() & (F.length("text") >= GRAM)).alias("by_gram"))
+    keyed, tiny = items.where("key is not null"), items.where("key is null")
+    offered = F.transform(_words(F.col("text")), lambda w: F.xxhash64(w))
+    if not keyed.where("by_gram").isEmpty():
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - GRAM + 1, F.lit(1))), lambda i: F.xxhash64(F.lit(GRAM), F.substring(F.col("text"), i, F.lit(GRAM))))
+        offered = F.concat(offered, grams)
+    offers = docs.select("doc_id", F.explode(F.array_distinct(offered)).alias("key"))
+    pairs = stored(offers.join(_known(keyed.select("item_id", "key")), "key").select("doc_id", "item_id").distinct(), "pairs")
+    found = docs.select("doc_id", "text").join(_known(pairs), "doc_id").join(_known(keyed.select("item_id", "known")), "item_id").where(F.col("text").contains(F.col("known"))).select("item_id", "doc_id")
+    if not tiny.isEmpty():
+        found = found.unionByName(docs.join(_known(tiny), F.col("text").contains(F.col("known"))).select("item_id", "doc_id"))
+    return found
+
+
+def _grams(df: DataFrame, key: str, n: int, gram) -> DataFrame:
+    """(key, gram): distinct word n-grams, lower case, each as gram makes it of its words."""
+    made = _let(_words(F.lower("text")), lambda w: F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: gram(w, i)))))
+    return df.select(key, F.explode(made).alias("gram"))
 
 
 def shared_ngrams(docs: DataFrame, known: DataFrame, n: int = 8) -> DataFrame:
-    """(doc_id, item_id, n_shared): distinct word n-grams, lower case, that both have."""
-
-    def grams(df: DataFrame, key: str) -> DataFrame:
-        ws = _words(F.lower("text"))
-        made = F.transform(F.array(ws), lambda w: F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))))[0]
-        return df.select(key, F.explode(made).alias("gram"))
+    """(doc_id, item_id, n_shared): distinct word n-grams, lower case, that both have.
 
-    return grams(docs, "doc_id").join(_known(grams(known, "item_id")), "gram").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
+    64-bit hashes of the grams find the documents that share any; only these are read again, and
+    their grams compared as they are.
+    """
+    hashed = lambda w, i: F.xxhash64(*(w[i + k] for k in range(n)))
+    whole = lambda w, i: F.array_join(F.slice(w, i + 1, n), " ")
+    keys = stored(_grams(known, "item_id", n, hashed).select("gram").distinct(), "gram-keys")
+    hit = stored(_grams(docs, "doc_id", n, hashed).join(_known(keys), "gram", "left_semi").select("doc_id").distinct(), "gram-hits")
+    few = docs.join(_known(hit), "doc_id", "left_semi")
+    texts = stored(_grams(known, "item_id", n, whole), "grams")
+    return _grams(few, "doc_id", n, whole).join(_known(texts), "gram").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
 
 
 def copies(docs: DataFrame) -> DataFrame:
@@ -52,41 +87,68 @@ def copies(docs: DataFrame) -> DataFrame:
     return docs.groupBy(F.md5(F.lower("text")).alias("text_md5")).agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_id")).where("n_docs > 1")
 
 
-def near_copies(docs: DataFrame, distance: float = 0.2, shingle: int = 5, tables: int = 12) -> DataFrame:
-    """(doc_id, class_id, n_links): near-duplicate classes by MinHash over distinct word shingles.
+#: MinHash bands and the minima in each: of pairs alike to 0.8, 99 in 100 share a band; to 0.3, one in 100.
+BANDS, ROWS = 16, 6
+
+
+def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingle hashes to band keys: minima of the hashes under fixed random linear maps, hashed by band."""
+    rng = np.random.default_rng(7)
+    times = rng.integers(1, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) | np.uint64(1)
+    plus = rng.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
+    mix = rng.integers(1, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
+    for b in batches:
+        keys = np.empty((len(b), BANDS), np.int64)
+        for i, hashes in enumerate(b.column(1)):
+            h = np.asarray(hashes.values.to_numpy()).view(np.uint64)
+            least = ((h * times + plus) >> np.uint64(1)).min(1).reshape(BANDS, ROWS)
+            keys[i] = ((least * mix).sum(1, dtype=np.uint64) ^ (np.arange(BANDS, dtype=np.uint64) << np.uint64(59))).view(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
+        yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["rep", "bands"])
 
-    Exact copies are one representative each; links join representatives whose shingle sets have
-    a Jaccard similarity of 1 - distance or more, and a class is what links connect.
-    """
-    from pyspark.ml.feature import HashingTF, MinHashLSH
 
-    from millrace.operators.graph import classes
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """(doc_id, class_id): near-duplicate classes by MinHash bands over distinct word shingles.
 
+    Exact copies are one representative each. In every band a representative is compared, by its
+    whole shingle sets, with the least one that shares the band, so a group of any size gives one
+    candidate a member and band; a class is what links of `similarity` or more connect.
+    """
     ws = _words(F.lower(F.coalesce("text", F.lit(""))))
-    made = F.transform(F.array(ws), lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - shingle + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, shingle), " "))))[0]
-    shingled = docs.select("doc_id", made.alias("shingles"), F.md5(F.lower(F.coalesce("text", F.lit("")))).alias("text_md5"))
-    reps = shingled.groupBy("text_md5").agg(F.min("doc_id").alias("rep"), F.first("shingles").alias("shingles"))
-    hashed = HashingTF(inputCol="shingles", outputCol="features", numFeatures=1 << 20, binary=True).transform(reps).select("rep", "features")
-    model = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=tables, seed=7).fit(hashed)
-    links = model.approxSimilarityJoin(hashed, hashed, distance).where("datasetA.rep < datasetB.rep").select(F.col("datasetA.rep").alias("a"), F.col("datasetB.rep").alias("b"))
-    of = classes(links)
-    ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
-    by_text = reps.select("text_md5", "rep").join(of, "rep", "left").join(ends, "rep", "left")
-    return shingled.select("doc_id", "text_md5").join(by_text, "text_md5").select("doc_id", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-
-
-def neighbours(vectors: DataFrame, k: int = 5, step: int = 100) -> DataFrame:
+    made = _let(ws, lambda w: F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - shingle + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, shingle), " "))))))
+    keyed = docs.select("doc_id", F.col("text"), F.md5(F.lower(F.coalesce("text", F.lit("")))).alias("text_md5"))
+    of_text = stored(keyed.groupBy("text_md5").agg(F.min("doc_id").alias("rep")), "reps")
+    reps = stored(docs.join(of_text.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), made.alias("shingles")).dropDuplicates(["rep"]), "shingles")
+    kind = dict(reps.dtypes)["rep"]
+    bands = stored(reps.mapInArrow(_band_rows, f"rep {kind}, bands array<long>").select("rep", F.explode("bands").alias("band")), "bands")
+    least = bands.groupBy("band").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
+    pairs = bands.join(least, "band").where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
+    sets = lambda end: reps.select(F.col("rep").alias(end), F.col("shingles").alias(f"of_{end}"))
+    both = pairs.join(sets("a"), "a").join(sets("b"), "b")
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    links = stored(both.where(common >= similarity * (F.size("of_a") + F.size("of_b") - common)).select("a", "b"), "links")
+    by_text = of_text.join(classes(links), "rep", "left").select("text_md5", F.coalesce("class_id", "rep").alias("class_id"))
+    return keyed.select("doc_id", "text_md5").join(by_text, "text_md5").select("doc_id", "class_id")
+
+
+def neighbours(vectors: DataFrame, k: int = 5, step: int = 100, block: int = MAX_BROADCAST) -> DataFrame:
     """(query_id, vec_id, rank, similarity): cosine top-k of every vector whose id is divisible by step.
 
-    The stated query set meets all rows; each task keeps its own k best per query before they are
-    brought together, so what is shuffled is k rows a query and task.
+    The stated query set meets all rows, in blocks of about `block` queries that are broadcast; each
+    task keeps its own k best per query before they are brought together, so what is shuffled is k
+    rows a query and task.
     """
-    norm = lambda e: F.transform(F.array(F.transform(e, lambda x: x.cast("double"))), lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y))))[0]
+    norm = lambda e: _let(F.transform(e, lambda x: x.cast("double")), lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y))))
     unit = vectors.where("embedding is not null").select("vec_id", norm(F.col("embedding")).alias("v"))
     queries = unit.where(F.col("vec_id") % step == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    blocks = max(1, -(-queries.count() // block))
     dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    pairs = unit.join(_known(queries), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot, 4).alias("similarity"))
-    best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
     part = W.partitionBy("query_id", "_part").orderBy(F.desc("similarity"), "vec_id")
-    local = pairs.withColumn("_part", F.pmod(F.col("vec_id"), F.lit(64))).withColumn("_n", F.row_number().over(part)).where(F.col("_n") <= k)
+    local = None
+    for i in range(blocks):
+        own = F.broadcast(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i))
+        pairs = unit.join(own, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot, 4).alias("similarity"))
+        best = pairs.withColumn("_part", F.pmod(F.col("vec_id"), F.lit(64))).withColumn("_n", F.row_number().over(part)).where(F.col("_n") <= k)
+        local = best if local is None else local.unionByName(best)
+    best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
     return local.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "vec_id", "rank", "similarity")

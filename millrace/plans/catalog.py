@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators import evaluation, html_parts, overlay, rules, similarity, turns
+from millrace.operators import evaluation, html_parts, overlay, payloads, rules, similarity, turns
 from millrace.sources import tables
 from millrace.sources.tables import load
 from millrace.streaming import screens
@@ -63,6 +63,18 @@ def csv_round_trip(spark, d):
     return tables.through_csv(load(spark, d, "documents").select("doc_id", "text", "lang", "source"))
 
 
+@_query("SELECT conv_id, turn, FALSE AS is_bad FROM conversations UNION ALL SELECT NULL, NULL, TRUE FROM range(3)")
+def json_bad_records(spark, d):
+    """Turns as JSON Lines with three broken lines among them, by a declared schema."""
+    turns_ = load(spark, d, "conversations").select(F.to_json(F.struct("conv_id", "turn", "role", "text")).alias("value"))
+    broken = spark.createDataFrame([('{"conv_id": 1, "turn"',), ("no json at all",), ('{"conv_id": "one", "turn": {}}',)], "value string")
+    path = tables.shared_folder(spark, "json-lines")
+    turns_.unionByName(broken).write.text(path)
+    read = tables.read_json(spark, path, "conv_id long, turn long, role string, text string")
+    bad = F.col(tables.BAD).isNotNull()
+    return read.select(F.when(~bad, F.col("conv_id")).alias("conv_id"), F.when(~bad, F.col("turn")).alias("turn"), bad.alias("is_bad"))
+
+
 @_query(
     " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, count(*) AS n_rows, count(*) FILTER (WHERE {x} IS NULL) AS n_null_text, min({k}) AS min_id, max({k}) AS max_id, "
@@ -110,27 +122,31 @@ def text_statistics(spark, d):
     SELECT doc_id, round(log2(sum(k)) - sum(k * log2(k)) / sum(k), 4) AS entropy FROM n GROUP BY doc_id"""
 )
 def character_entropy(spark, d):
-    chars = load(spark, d, "documents").select("doc_id", F.explode(F.split("text", "")).alias("ch"))
-    n = chars.groupBy("doc_id", "ch").agg(F.count("*").alias("k"))
-    total = F.sum("k")
-    return n.groupBy("doc_id").agg(F.round(F.log2(total) - F.sum(F.col("k") * F.log2("k")) / total, 4).alias("entropy"))
+    return load(spark, d, "documents").where(F.length("text") > 0).select("doc_id", F.round(T.entropy(F.col("text")), 4).alias("entropy"))
 
 
-_HEX = "[0-9a-f]{16,}"
+_RUNS_SQL = f"""(WITH x AS (SELECT doc_id, 'hex' AS kind, unnest(regexp_extract_all(text, '{payloads.HEX}')) AS run FROM {overlay.DOCUMENTS_SQL}
+    UNION ALL SELECT doc_id, 'base64', unnest(regexp_extract_all(text, '{payloads.BASE64}')) FROM {overlay.DOCUMENTS_SQL})
+    SELECT doc_id, kind, run, length(run) AS n, count(*) AS times FROM x
+    WHERE kind = 'hex' OR (regexp_matches(run, '[a-z]') AND regexp_matches(run, '[A-Z]') AND regexp_matches(run, '[0-9]') AND NOT regexp_matches(run, '^[0-9A-Fa-f]+$')) GROUP BY ALL)"""
 
 
-@_query(f"WITH x AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_HEX}')) AS run FROM documents) SELECT doc_id, run, length(run) AS n, count(*) AS times FROM x GROUP BY ALL")
+@_query(f"SELECT * FROM {_RUNS_SQL}")
 def encoded_payloads(spark, d):
-    found = load(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_HEX), F.lit(0))).alias("run"))
-    return found.groupBy("doc_id", "run").agg(F.length("run").cast("long").alias("n"), F.count("*").alias("times"))
+    return payloads.runs(overlay.documents(load(spark, d, "documents")))
 
 
-@_query()
+_DECODED_SQL = f"""(SELECT doc_id, kind, run, CASE WHEN kind = 'hex' AND n % 2 = 0 THEN try(from_hex(run)) WHEN kind = 'base64' AND n % 4 = 0 THEN try(from_base64(run)) END AS bytes FROM {_RUNS_SQL})"""
+
+
+@_query(
+    f"""WITH t AS (SELECT doc_id, kind, run, octet_length(bytes)::INTEGER AS n_bytes, try(decode(bytes)) AS text FROM {_DECODED_SQL})
+    SELECT doc_id, kind, run, n_bytes, text IS NOT NULL AS is_text, len({_sql_hits('text')})::INTEGER AS n_rules FROM t"""
+)
 def decoded_payloads(spark, d):
-    """Hex runs decoded and scanned again with the rules."""
-    runs = encoded_payloads(spark, d).withColumn("decoded", F.coalesce(F.expr("try_to_binary(run, 'hex')"), F.lit(b"")))
-    text = F.translate(F.decode(F.encode(F.hex("decoded"), "utf-8"), "utf-8"), "\0", "")
-    return rules.with_hits(runs.withColumn("text", text), "text").select("doc_id", "run", F.length("decoded").alias("n_bytes"), F.size("hits").alias("n_rules"))
+    """Payloads decoded, and the rules run on what they say."""
+    found = rules.with_hits(payloads.decoded(encoded_payloads(spark, d)), "text")
+    return found.select("doc_id", "kind", "run", F.length("bytes").alias("n_bytes"), F.col("text").isNotNull().alias("is_text"), F.size("hits").alias("n_rules"))
 
 
 # direct
@@ -435,6 +451,14 @@ def stream_tumbling_counts(spark, d):
     return screens.tumbling_counts(spark, d)
 
 
+@_query(
+    """WITH s AS (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS begun, event_type, value FROM events)
+    SELECT begun, event_type, count(*) AS n, round(sum(value::DECIMAL(20,6))::DOUBLE, 4) AS total FROM s GROUP BY 1, 2"""
+)
+def stream_sliding_counts(spark, d):
+    return screens.sliding_counts(spark, d)
+
+
 @_query(
     """WITH x AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
     s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM x) SELECT user_id, min(ts) AS begun, count(*) AS n FROM s GROUP BY user_id, g"""

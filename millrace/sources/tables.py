@@ -20,11 +20,34 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share; a local one only where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: computed once, and safe from lost executors."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+BAD = "_bad_record"
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON Lines by a declared schema; a line that does not fit it is null but for BAD, which holds the line."""
+    return spark.read.schema(f"{schema}, {BAD} string").option("columnNameOfCorruptRecord", BAD).option("mode", "PERMISSIVE").json(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """CSV with a header by a declared schema; a row that does not fit it keeps what does, and is whole in BAD."""
+    how = {"quote": '"', "escape": '"', "multiLine": "true", "header": "true", "columnNameOfCorruptRecord": BAD, "mode": "PERMISSIVE"}
+    return spark.read.schema(f"{schema}, {BAD} string").options(**how).csv(path)
+
+
 def through_json(df: DataFrame) -> DataFrame:
     """df written as JSON Lines and read back with its own schema."""
     path = shared_folder(df.sparkSession, "json")

@@ -1,4 +1,13 @@
-"""Streaming forms of the screens, each run to the end of what is there."""
+"""Streaming forms of the screens, and runs of them to the end of what is there.
+
+The operators take any streaming DataFrame. Windowed ones work in append mode: a window leaves
+the state, and is given out, once the watermark has passed it; rows later than that are dropped.
+State is bounded by the delay, whatever the stream's length.
+
+The runs feed an operator from files in steps: the rows, a tick in time (a batch drops what was late
+at the end of the batch before the last), late rows, and a marker far ahead that moves the watermark
+past all rows. What belongs to tick and marker is left out.
+"""
 
 from __future__ import annotations
 
@@ -11,12 +20,45 @@ from pyspark.sql import functions as F
 from millrace.operators.rules import exploded, score, with_hits
 from millrace.sources.tables import load, shared_folder
 
+FILES = 8
+#: Type of the events that are not real: late ones and the marker.
+LATE, MARKER, NOBODY = "late", "marker", -(1 << 62)
+
+
+def tumbling(stream: DataFrame, width: str, delay: str) -> DataFrame:
+    """(w, event_type, n, total) of windows that do not overlap."""
+    return _counted(stream, F.window("ts", width), delay)
+
+
+def sliding(stream: DataFrame, width: str, slide: str, delay: str) -> DataFrame:
+    """(w, event_type, n, total) of windows of `width` that start every `slide`."""
+    return _counted(stream, F.window("ts", width, slide), delay)
+
+
+def _counted(stream: DataFrame, window, delay: str) -> DataFrame:
+    total = F.sum(F.col("value").cast("decimal(20,6)")).alias("total")
+    return stream.withWatermark("ts", delay).groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("n"), total)
+
+
+def sessions_of(stream: DataFrame, gap: str, delay: str) -> DataFrame:
+    """(w, user_id, n) of sessions: a user's events with less than `gap` between them."""
+    return stream.withWatermark("ts", delay).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
+
+
+def once(stream: DataFrame, keys: list[str], delay: str) -> DataFrame:
+    """The first row of each key; copies are known as such for `delay` at least."""
+    return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
+
+
+def _source(spark: SparkSession, *steps: DataFrame, files: int = FILES) -> DataFrame:
+    """The steps' rows as a file stream that takes one step at a time, from copies in the shared folder.
 
-def _source(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """df's rows as a file stream, from a copy in the shared folder."""
+    Rows are dealt in turn to as many files a step as a trigger takes; files come in the order of their writing.
+    """
     path = shared_folder(spark, "stream-in")
-    df.write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 8).parquet(path)
+    for rows in steps:
+        rows.repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(steps[0].schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -28,41 +70,51 @@ def _to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def _last_batch(stream: DataFrame) -> DataFrame:
-    """The final state of an aggregation in complete mode: each batch overwrites the last."""
-    spark = stream.sparkSession
-    out, marks = shared_folder(spark, "stream-out"), shared_folder(spark, "stream-marks")
-    query = stream.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).option("checkpointLocation", marks).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
-
-
 def rule_stream(spark: SparkSession, turns: DataFrame) -> DataFrame:
     hit = with_hits(_source(spark, turns.where("role = 'user'")), "text")
     return _to_end(exploded(hit, ["conv_id", "turn"]))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "ts", "user_id", "event_type", "value")
+
+
+def _steps(rows: DataFrame) -> list[DataFrame]:
+    """The rows, a tick, a copy of some rows as they would come two days late, and a marker."""
+    spark, last = rows.sparkSession, rows.agg(F.max("ts")).first()[0]
+    late = rows.where((F.col("ts") < F.lit(last) - F.expr("INTERVAL 2 DAYS")) & (F.pmod(F.xxhash64("event_id"), F.lit(10)) == 0))
+    late = late.withColumns({"event_type": F.lit(LATE), "event_id": -F.col("event_id") - 1, "user_id": -F.col("user_id") - 1})
+
+    def alone(n: int, at) -> DataFrame:
+        """One row for each file of the step."""
+        made = spark.range(FILES * n, FILES * (n + 1), 1, 1).select((F.lit(-(1 << 62)) + F.col("id")).alias("event_id"), at.alias("ts"))
+        return made.select("event_id", "ts", F.lit(NOBODY).alias("user_id"), F.lit(MARKER).alias("event_type"), F.lit(0.0).alias("value"))
+
+    return [rows, alone(0, F.lit(last)), late, alone(1, F.lit(last) + F.expr("INTERVAL 1000 DAYS"))]
+
+
+def _hours(counted: DataFrame) -> DataFrame:
+    return counted.select(F.col("w.start").cast("timestamp_ntz").alias("begun"), "event_type", "n", F.round(F.col("total").cast("double"), 4).alias("total"))
 
 
 def tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = _source(spark, events(spark, sf_dir)).withWatermark("ts", "1 hour")
-    counted = stream.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(20,6)")).alias("total"))
-    return _last_batch(counted.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round(F.col("total").cast("double"), 4).alias("total")))
+    return _hours(_to_end(tumbling(_source(spark, *_steps(events(spark, sf_dir))), "1 hour", "1 hour"))).withColumnRenamed("begun", "hour").where(F.col("event_type") != MARKER)
+
+
+def sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hours(_to_end(sliding(_source(spark, *_steps(events(spark, sf_dir))), "2 hours", "1 hour", "1 hour"))).where(F.col("event_type") != MARKER)
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = _source(spark, events(spark, sf_dir).coalesce(1)).withWatermark("ts", "1 hour")
-    found = stream.groupBy(F.session_window("ts", "30 minutes").alias("w"), "user_id").agg(F.count("*").alias("n"))
-    return _last_batch(found.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("begun"), "n"))
+    found = _to_end(sessions_of(_source(spark, *_steps(events(spark, sf_dir))), "30 minutes", "1 hour"))
+    return found.where(F.col("user_id") != NOBODY).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("begun"), "n")
 
 
 def deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event sent twice, taken once."""
-    once = events(spark, sf_dir)
-    stream = _source(spark, once.unionByName(once)).withWatermark("ts", "1000 days")
-    return _to_end(stream.dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "user_id", "event_type"))
+    """Each event sent twice, taken once; late ones not at all."""
+    rows, *others = _steps(events(spark, sf_dir))
+    found = _to_end(once(_source(spark, rows.unionByName(rows), *others), ["event_id"], "1 hour"))
+    return found.where(F.col("event_type") != MARKER).select("event_id", "user_id", "event_type")
 
 
 def running_scores(spark: SparkSession, turns: DataFrame) -> DataFrame:

@@ -24,7 +24,8 @@ def test_agrees_with_sql(spark, small, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - {"screen_latency"}))
 def test_returns_rows(spark, small, name):
-    assert QUERIES[name](spark, small).count() > 0
+    df = QUERIES[name](spark, small)
+    assert df.count() > 0 and len(df.columns) == len(set(df.columns))
 
 
 def test_flagship_counts(spark, small):

@@ -1,9 +1,15 @@
 """Operators on rows made by hand."""
 
+import random
+from datetime import datetime, timedelta
+
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators import evaluation, graph, html_parts, rules, similarity, turns
+from millrace.operators import evaluation, graph, html_parts, overlay, payloads, rules, similarity, turns
+from millrace.sources import tables
+from millrace.streaming import screens
 
 
 def test_rules_hit_and_miss(spark):
@@ -21,6 +27,11 @@ def test_nfkc_and_homoglyphs(spark):
     assert look.select(T.unmasked(F.col("t"))).first()[0] == "ignore"
 
 
+def test_entropy_of_odd_texts(spark):
+    df = spark.createDataFrame([("aabb",), ("a",), ("",), (None,), ("😀é",)], "t string")
+    assert [None if r[0] is None else round(r[0], 6) for r in df.select(T.entropy("t")).collect()] == [1.0, 0.0, None, None, 1.0]
+
+
 def test_parts_of_a_page(spark):
     html = '<title>T</title><script>var t="</p>";</script><style>p{}</style><p>Hello <b>you</b></p><!-- c --><a href="/x">x</a>'
     parts = {r.part: r.text for r in html_parts.by_part(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")).collect()}
@@ -46,11 +57,122 @@ def test_classes_of_a_long_chain(spark):
 
 def test_near_copies_by_class(spark):
     base = " ".join(f"w{i}" for i in range(120))
-    df = spark.createDataFrame([(1, base), (2, base + " end"), (3, base), (4, "something else entirely here now")], "doc_id long, text string")
-    assert {r.doc_id: (r.class_id, r.n_links) for r in similarity.near_copies(df).collect()} == {1: (1, 1), 2: (1, 1), 3: (1, 1), 4: (4, 0)}
+    df = spark.createDataFrame([(1, base), (2, base + " end"), (3, base), (4, "something else entirely here now"), (5, None), (6, "")], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in similarity.near_copies(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5}
+    assert similarity.near_copies(df.limit(0)).count() == 0
+
+
+def test_near_copies_recall(spark):
+    """Of the pairs alike to 0.8 or more, by all pairs, at least 95 % are in one class, and no class joins strangers."""
+    rng = random.Random(9)
+    texts = []
+    for k in range(60):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(30, 200))]
+        for _ in range(4):
+            copy = list(words)
+            for _ in range(rng.randrange(1 + len(words) // 30)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(3000)}"
+            texts.append(" ".join(copy))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    alike = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    of = {r.doc_id: r.class_id for r in similarity.near_copies(df).collect()}
+    assert len(alike) > 100 and sum(of[i] == of[j] for i, j in alike) >= 0.95 * len(alike)
+    assert all(i // 4 == c // 4 for i, c in of.items())
+
+
+def test_neighbours_in_blocks(spark):
+    rng = random.Random(2)
+    df = spark.createDataFrame([(i, [rng.random() for _ in range(4)]) for i in range(0, 600, 2)], "vec_id long, embedding array<float>")
+    whole, parts = (sorted(map(tuple, similarity.neighbours(df, k=3, block=n).collect())) for n in (1000, 1))
+    assert whole == parts and len(whole) == 3 * 6
+
+
+def test_payloads_of_odd_texts(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "ab" * 8 + " zz " + "ff" * 9)], "doc_id long, text string")
+    assert sorted((r.run, r.text) for r in payloads.decoded(payloads.runs(df)).collect()) == [("ab" * 8, None), ("ff" * 9, None)]
+
+
+def test_planted_payloads_are_found(spark, small):
+    from millrace.plans import catalog
+
+    got = {(r.doc_id - overlay.FIRST, r.kind, r.run.isupper(), r.is_text): r.n_rules for r in catalog.QUERIES["decoded_payloads"](spark, small).collect() if r.doc_id >= overlay.FIRST}
+    assert got == {(1, "hex", False, True): 2, (2, "hex", True, True): 2, (2, "hex", False, True): 0, (3, "base64", False, True): 2, (4, "base64", False, True): 0, (5, "hex", False, False): 0, (6, "hex", False, False): 0, (6, "base64", False, False): 0}
+
+
+def test_bad_rows_of_files(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('id,name\n1,"a, ""b"""\nno number,c\n3,d,too many\n4,"two\nlines"\n')
+    rows = tables.read_csv(spark, f"file://{tmp_path}/x.csv", "id int, name string").collect()
+    assert [(r.id, r.name) for r in rows if r[tables.BAD] is None] == [(1, 'a, "b"'), (4, "two\nlines")]
+    assert [r[tables.BAD] for r in rows if r[tables.BAD] is not None] == ["no number,c", "3,d,too many"]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        tables.shared_folder(Session(), "x")
+
+
+def test_screen_latency(spark, small):
+    from millrace.plans import catalog
+
+    r = catalog.QUERIES["screen_latency"](spark, small).first()
+    assert 0 < r.p50 <= r.p95 <= r.p99 < 60
+
+
+def test_toxic_classifier(spark):
+    """On the next larger tables, judged on rows that it has not seen, the classifier finds what the label marks."""
+    from millrace.plans import catalog
+
+    r = catalog.QUERIES["toxic_classifier"](spark, "/root/testdata/sf0.1").first()
+    assert r.tp + r.fp + r.fn + r.tn > 200 and r.accuracy > 0.9
+
+
+def test_nfkc_agrees_with_python(spark, small):
+    import hashlib
+    import unicodedata
+
+    from millrace.plans import catalog
+
+    texts = {(r.conv_id, r.turn): r.text for r in overlay.conversations(tables.load(spark, small, "conversations")).collect()}
+    got = {(r.conv_id, r.turn): r.nfkc_md5 for r in catalog.QUERIES["overlay_nfkc"](spark, small).collect()}
+    assert got == {k: hashlib.md5(unicodedata.normalize("NFKC", t).encode()).hexdigest() for k, t in texts.items()}
 
 
 def test_contained_known_text(spark):
     docs = spark.createDataFrame([(1, "xx the quick brown foxes"), (2, "quick")], "doc_id long, text string")
     known = spark.createDataFrame([(7, "the quick brown fox"), (8, "uick"), (9, ""), (10, None)], "item_id long, text string")
     assert sorted(tuple(r) for r in similarity.contained(docs, known).collect()) == [(7, 1), (8, 1), (8, 2)]
+    short = spark.createDataFrame([(1, "k b"), (2, "qui"), (3, "zzz"), (4, "browner")], "item_id long, text string")
+    assert sorted(tuple(r) for r in similarity.contained(docs, short).collect()) == [(1, 1), (2, 1), (2, 2)]
+
+
+def rows_at(spark, *rows):
+    return spark.createDataFrame([(i, datetime(2020, 1, 1) + timedelta(minutes=m), u, t, 1.0) for i, m, u, t in rows], "event_id long, ts timestamp, user_id long, event_type string, value double")
+
+
+def test_late_rows_do_not_count(spark):
+    """Rows behind the watermark are dropped; rows late by less than the delay count."""
+    first, tick = rows_at(spark, (1, 0, 1, "a"), (2, 70, 1, "a"), (3, 200, 1, "a")), rows_at(spark, (8, 200, 8, "tick"))
+    late = rows_at(spark, (4, 5, 1, "a"), (5, 150, 1, "a"))
+    marker = rows_at(spark, (9, 100_000, 9, "end"))
+    steps = lambda x: screens._source(spark, first, tick, x, marker, files=1)
+    counted = screens._to_end(screens.sliding(steps(late), "2 hours", "1 hour", "1 hour"))
+    got = {(r.w.start.hour, r.event_type): r.n for r in counted.collect() if r.event_type == "a"}
+    assert got == {(23, "a"): 1, (0, "a"): 2, (1, "a"): 2, (2, "a"): 2, (3, "a"): 1}
+    found = screens._to_end(screens.sessions_of(steps(late), "60 minutes", "1 hour")).where("user_id = 1")
+    assert sorted((r.w.start.hour, r.n) for r in found.collect()) == [(0, 1), (1, 1), (2, 2)]
+    same = screens._to_end(screens.once(steps(late.unionByName(first.where("event_id = 3"))), ["event_id"], "1 hour"))
+    assert sorted(r.event_id for r in same.collect()) == [1, 2, 3, 5, 8, 9]
