@@ -10,12 +10,12 @@ three can hold three errors); beyond that most still do, up to `max_bits`, where
 
 1. Texts of the same words are one; the others are filed under the Golay keys of four of the
    five words, some 21 rows of 28 bytes. A task files a key's members again under the words that
-   follow, compares what meets there, and emits a spanning forest, never all pairs.
+   follow, compares what meets there, and emits one edge for each member of what hangs together.
 2. Components of these candidates (components.py) hold every link that the keys found. Only
    members of a component of two or more, picked by a row bitmap, give their shingles.
 3. Within a component links are verified by exact shingle sets, by a search that takes each
    text once it is linked. Components over `max_members` are parted into blocks, and each two
-   blocks meet in a task of their own, so that no task holds more than two blocks.
+   blocks meet under a key of their own, so that no key holds more than two blocks.
 
 Components of the verified links are the groups.
 
@@ -38,7 +38,7 @@ from millrace.llm import golay
 from millrace.llm.common import fresh, with_rows_of, written
 from millrace.llm.components import components
 
-SHINGLE, SIMILARITY, MAX_BITS, MAX_MEMBERS = 5, 0.8, 24, 10_000
+SHINGLE, SIMILARITY, MAX_BITS, MAX_MEMBERS, MAX_BROADCAST = 5, 0.8, 24, 1_000, 1_000_000
 WORDS, WORD_BITS = 5, 23
 #: Filed rows that a task compares at once; a key's rows stay together.
 HELD_ROWS = 200_000
@@ -165,6 +165,23 @@ def candidate_forest(key: np.ndarray, a: np.ndarray, b: np.ndarray, max_bits: in
     return np.concatenate(out)
 
 
+def star_edges(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the graph of edges (x, y): each node but the least of its component, with that least node."""
+    nodes, ends = np.unique(np.concatenate([x, y]), return_inverse=True)
+    a, b = ends[: len(x)], ends[len(x) :]
+    label = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        apart = low != high
+        if not apart.any():
+            break
+        np.minimum.at(label, high[apart], low[apart])
+        while (label[label] != label).any():
+            label = label[label]
+    other = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[label[other]], nodes[other]
+
+
 def _by_key(batches: Iterator[pa.RecordBatch], n_keys: int, least: int) -> Iterator[pa.Table]:
     """Tables of `least` rows or more that end where the first n_keys columns change; rows come sorted by them."""
     held: list[pa.RecordBatch] = []
@@ -195,9 +212,9 @@ def _candidates(max_bits: int):
             shared[1:] |= same
             shared[:-1] |= same
             key, row, a, b = key[shared], row[shared], a[shared].view(np.uint64), b[shared].view(np.uint64)
-            e = candidate_forest(key, a, b, max_bits) if len(key) else np.zeros((0, 2), np.int64)
-            e = np.unique(np.sort(row[e], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], names=["a", "b"])
+            e = row[candidate_forest(key, a, b, max_bits)] if len(key) else np.zeros((0, 2), np.int64)
+            # only what hangs together matters: one edge a member, whatever number of keys it shares
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in star_edges(e[:, 0], e[:, 1])], names=["a", "b"])
 
     return run
 
@@ -268,7 +285,15 @@ def _verified(similarity: float):
 
 
 def groups(
-    rows: DataFrame, row: str, key: str, text: str, shingle: int = SHINGLE, similarity: float = SIMILARITY, max_bits: int = MAX_BITS, max_members: int = MAX_MEMBERS
+    rows: DataFrame,
+    row: str,
+    key: str,
+    text: str,
+    shingle: int = SHINGLE,
+    similarity: float = SIMILARITY,
+    max_bits: int = MAX_BITS,
+    max_members: int = MAX_MEMBERS,
+    max_broadcast: int = MAX_BROADCAST,
 ) -> DataFrame:
     """(component, first: struct of null, key, row): a row for each text of distinct words, with the group it is in.
 
@@ -287,7 +312,8 @@ def groups(
     dealt = near.join(F.broadcast(large), "component", "left").select(F.col("node").alias("row"), "component", F.coalesce("blocks", F.lit(1)).alias("blocks"))
     block = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(block, j).alias("x"), F.greatest(block, j).alias("y")))
-    members = sets.join(dealt.select("row", "component", F.inline(pairs)), "row").select("component", "x", "y", "row", "shingles")
+    dealt = dealt.select("row", "component", F.inline(pairs))
+    members = sets.join(F.broadcast(dealt) if near.count() <= max_broadcast else dealt, "row").select("component", "x", "y", "row", "shingles")
     keys = ["component", "x", "y"]
     found = components(members.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verified(similarity), "a long, b long"))
     return texts.join(found, F.col("first.row") == F.col("node"), "left").select(F.coalesce("component", "first.row").alias("component"), "first")
