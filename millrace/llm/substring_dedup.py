@@ -17,16 +17,17 @@ share a shard, and most text must not get there at all:
    windows, in which all but the earliest are removed (see suffix.py).
 
 Contexts and records are first reduced within each block of text, so a passage that is
-everywhere sends each block's first copy at most. Anchors with over `hot` contexts send their
-windows one by one, each to the shard of its own hash, so no anchor fills a shard.
+everywhere sends each block's first copy at most. Anchors with over `hot` differing contexts send
+their windows one by one, each to the shard of its own hash, so no anchor fills a shard. One text
+in `sample` tells which anchors will be so, and their records go to no shard either; what the
+sample misses, its shard finds.
 
 Hashes have 64 bits; a context is compared by 64 bits among those whose anchors agree in
 another 64.
 
 Defined results: a null text is empty; texts shorter than the window stay; a null id comes
-before all others; rows that repeat an id are told apart and ordered by their texts (ids must
-then stay under 2^42); an empty table gives an empty
-result; other columns are left out of the result. Work for a text is done in slices of a
+before all others; rows that repeat an id are told apart and ordered by their texts (ids times
+the most rows of one id must then stay under 2^62); an empty table gives an empty result; other columns are left out of the result. Work for a text is done in slices of a
 fixed size, but its bytes are held as one value.
 """
 
@@ -46,7 +47,7 @@ from millrace.llm.common import table, written
 from millrace.llm.suffix import common_prefixes, suffix_array
 from millrace.llm.tokens import blocks
 
-WINDOW, GRAM, SLICE, SHARD_BYTES, HOT = 100, 32, 2 << 20, 16 << 20, 4096
+WINDOW, GRAM, SLICE, SHARD_BYTES, HOT, SAMPLE, MAX_HOT = 100, 32, 2 << 20, 4 << 20, 4096, 64, 10_000
 #: Records that a task holds before it reduces and packs them.
 HELD_RECORDS = 400_000
 _NO_ID = -(1 << 42)
@@ -163,7 +164,29 @@ def _reduced(r: np.ndarray, window: int) -> tuple[np.ndarray, tuple[np.ndarray,
     return r[~again], (gone["doc"], gone["lo"], gone["lo"] + gone["hi"].astype(np.int64) + window)
 
 
-def _record_rows(shards: int, window: int):
+def _anchor_rows(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(anchor, whole) of contexts whose anchor has several in the batch."""
+        for batch in batches:
+            parts = [text_contexts(np.frombuffer(t.as_buffer(), np.uint8), window) for t in batch.column(1) if t.is_valid]
+            r = np.concatenate(parts)[["anchor", "whole"]] if parts else np.zeros(0, _RECORD)[["anchor", "whole"]]
+            r = np.unique(r)
+            anchor, which, count = np.unique(r["anchor"], return_inverse=True, return_counts=True)
+            r = r[count[which] > 1]
+            yield pa.RecordBatch.from_arrays([pa.array(r[c].view(np.int64).copy() if len(r) else np.zeros(0, np.int64)) for c in ("anchor", "whole")], names=["anchor", "whole"])
+
+    return run
+
+
+def hot_anchors(raw: DataFrame, window: int = WINDOW, hot: int = HOT, sample: int = SAMPLE) -> np.ndarray:
+    """Sorted anchors, MAX_HOT at most, that by one text in `sample` have over `hot` differing contexts."""
+    seen = raw.where(F.pmod(F.xxhash64("doc"), F.lit(sample)) == 0).mapInArrow(_anchor_rows(window), "anchor long, whole long")
+    counts = seen.distinct().groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") * sample > hot)
+    found = [r["anchor"] for r in counts.orderBy(F.desc("n"), "anchor").limit(MAX_HOT).collect()]
+    return np.sort(np.array(found, np.int64).view(np.uint64))
+
+
+def _record_rows(shards: int, window: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
@@ -173,18 +196,22 @@ def _record_rows(shards: int, window: int):
                 parts.append(part)
                 held += len(part)
                 if held >= HELD_RECORDS:
-                    yield from _record_batches(parts, shards, window)
+                    yield from _record_batches(parts, shards, window, hot)
                     parts, held = [], 0
         if held:
-            yield from _record_batches(parts, shards, window)
+            yield from _record_batches(parts, shards, window, hot)
 
     return run
 
 
-def _record_batches(parts: list[np.ndarray], shards: int, window: int) -> Iterator[pa.RecordBatch]:
-    """The spans that equal contexts remove right here, and the other records, packed by shard."""
+def _record_batches(parts: list[np.ndarray], shards: int, window: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The spans that equal contexts remove right here, contexts of hot anchors, and the other records, packed by shard."""
     first, gone = _reduced(np.concatenate(parts), window)
     yield _spans(*gone)
+    is_hot = np.isin(first["anchor"], hot)
+    if is_hot.any():
+        yield _wanted(first[is_hot], np.ones(int(is_hot.sum()), np.int32), by_span=True)
+        first = first[~is_hot]
     numbers, blobs = [], []
     for number, part in _shards(first, first["anchor"], shards):
         numbers.append(number)
@@ -193,6 +220,13 @@ def _record_batches(parts: list[np.ndarray], shards: int, window: int) -> Iterat
     pa.default_memory_pool().release_unused()
 
 
+def _wanted(r: np.ndarray, shard: np.ndarray, by_span: bool = False) -> pa.RecordBatch:
+    """Contexts to compare by bytes; shard is 0 for whole contexts or 1 for window by window (null on the way there, by_span)."""
+    blob = pa.array([x.to_bytes(8, "little") for x in r["anchor"].tolist()], pa.binary())
+    shard = pa.nulls(len(r), pa.int32()) if by_span else pa.array(shard)
+    return pa.RecordBatch.from_arrays([shard, blob, pa.array(r["doc"].copy()), pa.array(r["lo"].copy()), pa.array(r["lo"] + r["hi"])], names=_NAMES)
+
+
 def _pressed(r: np.ndarray) -> bytes:
     """Column by column: ids and offsets press well, hashes not at all."""
     import zstandard
@@ -247,10 +281,7 @@ def _compare_rows(window: int, hot: int):
                 _, which, count = np.unique(key, return_inverse=True, return_counts=True)
                 wanted |= (count[which] > 1) & (first[side] != 0)
             is_hot = np.bincount(group[wanted], minlength=int(group[-1]) + 1 if len(group) else 0)[group] > hot
-            r = first[wanted]
-            shard = pa.array(is_hot[wanted].astype(np.int32))  # 0 or 1: by context, or window by window
-            blob = pa.array([x.to_bytes(8, "little") for x in r["anchor"].tolist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([shard, blob, pa.array(r["doc"]), pa.array(r["lo"]), pa.array(r["lo"] + r["hi"])], names=_NAMES)
+            yield _wanted(first[wanted], is_hot[wanted].astype(np.int32))
 
     return run
 
@@ -350,13 +381,14 @@ def _suffix_rows(window: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
+def repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES, hot: int = HOT, sample: int = SAMPLE) -> DataFrame:
     """(doc, start, end) byte spans to remove; docs has a long `doc` that orders its rows. Spans may overlap."""
     raw = docs.select("doc", F.col(text).cast("binary").alias("bytes"))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     sharded = lambda df: df.where("shard is not null").select("shard", "blob").repartition("shard").sortWithinPartitions("shard")
-    records = raw.where(F.octet_length("bytes") >= window).mapInArrow(_record_rows(shards, window), _SCHEMA)
+    long = raw.where(F.octet_length("bytes") >= window)
+    records = long.mapInArrow(_record_rows(shards, window, hot_anchors(long, window, hot, sample)), _SCHEMA)
     # spans and records leave the scan together; the spans keep their rows under shard -1
     marked = records.select(F.coalesce("shard", F.lit(-1)).alias("shard"), F.when(F.col("shard").isNull(), F.struct("doc", "start", "end")).alias("span"), "blob")
     compared = written(marked.repartition("shard", F.when(F.col("shard") == -1, F.pmod(F.col("span.doc"), F.lit(1009)))).sortWithinPartitions("shard").mapInArrow(_pass_spans(_compare_rows(window, hot)), _SCHEMA), "compared")
@@ -369,7 +401,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW, sh
 
 
 def _pass_spans(compare):
-    """Rows (shard, span, blob) sorted by shard: spans, under shard -1, go through; the rest is compared."""
+    """Rows (shard, span, blob) sorted by shard: spans and hot contexts, under shard -1, go through; the rest is compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
@@ -383,8 +415,9 @@ def _pass_spans(compare):
             own = pc.equal(b.column(0), -1)
             spans = b.filter(own)
             if len(spans):
-                s = spans.column(1)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(s), pa.int32()), pa.nulls(len(s), pa.binary()), *(s.field(i) for i in range(3))], names=_NAMES)
+                s, anchor = spans.column(1), spans.column(2)
+                shard = pc.if_else(pc.is_valid(anchor), pa.scalar(1, pa.int32()), pa.scalar(None, pa.int32()))
+                yield pa.RecordBatch.from_arrays([shard, anchor, *(s.field(i) for i in range(3))], names=_NAMES)
             left = b.filter(pc.invert(own)).select(["shard", "blob"])
             if len(left):
                 rest.append(left)
@@ -397,9 +430,10 @@ def _pass_spans(compare):
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, **how) -> DataFrame:
     """(key, bytes, kept, n_bytes, n_removed, n_spans): kept is the text's bytes without the repeated strings."""
     numbered = docs.select(key, F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("doc"), text)
-    if not numbered.groupBy("doc").count().where("count > 1").isEmpty():
+    most = numbered.groupBy("doc").count().agg(F.max("count")).first()[0] or 1
+    if most > 1:
         nth = F.row_number().over(W.partitionBy("doc").orderBy(text)) - 1
-        numbered = numbered.withColumn("doc", F.col("doc") * (1 << 20) + nth)
+        numbered = numbered.withColumn("doc", F.col("doc") * most + nth)
     spans = repeated_spans(numbered.select("doc", text), text, window, **how)
     by_doc = spans.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
     joined = numbered.select(key, "doc", F.coalesce(F.col(text), F.lit("")).cast("binary").alias("bytes")).join(by_doc, "doc", "left")

@@ -1,13 +1,14 @@
-"""Suffix arrays by induced sorting, and permuted longest common prefixes, as array operations.
+"""Suffix arrays by induced sorting, and permuted longest common prefixes.
 
 Suffixes are classed as S (smaller than the next) or L. The leftmost S of each run (LMS) start
 substrings that are sorted by one round of induction and named; if names repeat, the string of
-names is sorted first, recursively. From the sorted LMS suffixes the L suffixes are induced
-bucket by bucket, left to right, and from these the S suffixes, right to left. What one bucket
-induces is moved at once; a bucket is visited again only for runs of its own symbol.
+names, at most half as long, is sorted first, recursively. From the sorted LMS suffixes the L
+suffixes are induced bucket by bucket, left to right, and from these the S suffixes, right to
+left. All steps are linear in the string.
 
-With many symbols for its length, as names mostly are, a string has buckets too small for
-that; its suffixes are ranked by prefix doubling instead. That is the recursion's base.
+With few symbols, as bytes are, what one bucket induces is moved at once as an array; a bucket
+is visited again only for runs of its own symbol. With many, as names are, buckets are too small
+for that, and suffixes are moved one by one.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ def _by_symbol(p: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return p[order], grouped, np.arange(len(grouped)) - np.repeat(first, counts), counts
 
 
-def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
+def _induce_buckets(t: np.ndarray, s: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
     """All suffixes from LMS suffixes given in order (sorted, or just grouped by their first symbol)."""
     n = len(t)
     size = np.bincount(t, minlength=k)
@@ -89,20 +90,33 @@ def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray
     return sa
 
 
-def _doubling(t: np.ndarray) -> np.ndarray:
-    """Suffix order by prefix doubling; t ends in its unique least symbol."""
-    _, rank = np.unique(t, return_inverse=True)
-    n, step = len(t), 1
-    while True:
-        key = rank.astype(np.int64) * (n + 1)
-        key[:-step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
-        new = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        step *= 2
-        if new[-1] == n - 1 or step >= n:
-            return order
+def _induce_each(t: np.ndarray, s: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
+    """The same, suffix by suffix."""
+    n = len(t)
+    tails = np.cumsum(np.bincount(t, minlength=k))
+    heads = (tails - np.bincount(t, minlength=k)).tolist()
+    symbol, rising = t.tolist(), s.tobytes()
+    sa = [0] * n  # 0 is passed over: nothing stands before the first suffix
+    free = tails.tolist()
+    for p in lms[::-1].tolist():
+        free[symbol[p]] -= 1
+        sa[free[symbol[p]]] = p
+    for p in sa:
+        if p and not rising[p - 1]:
+            c = symbol[p - 1]
+            sa[heads[c]] = p - 1
+            heads[c] += 1
+    free = tails.tolist()
+    for p in reversed(sa):
+        if p and rising[p - 1]:
+            c = symbol[p - 1]
+            free[c] -= 1
+            sa[free[c]] = p - 1
+    return np.array(sa, np.int64)
+
+
+def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
+    return (_induce_buckets if k <= _FEW_SYMBOLS else _induce_each)(t, s, lms, k)
 
 
 def _names(t: np.ndarray, lms: np.ndarray, in_order: np.ndarray) -> np.ndarray:
@@ -130,12 +144,8 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     if n < 3:
         return np.arange(n)[::-1].copy()
     k = int(t.max()) + 1
-    if k > max(_FEW_SYMBOLS, 0):
-        return _doubling(t)
     s = _types(t)
     lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
-    if not len(lms):
-        return _induce(t, s, lms, k)
     sa = _induce(t, s, lms, k)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True

@@ -137,7 +137,7 @@ def test_near_copies_are_found(spark):
     sets = [shingles_by_hand(t) for t in texts]
     linked = [(i, j) for i in range(len(sets)) for j in range(i) if want[i] == want[j] and jaccard(sets[i], sets[j]) >= 0.8]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row long, text string").selectExpr("row", "row AS id", "text").cache()
-    for how in ({}, {"max_members": 2}):
+    for how in ({}, {"max_members": 2, "max_broadcast": 0}):
         group = {}
         for r in near_copies.groups(rows, "row", "id", "text", **how).collect():
             group[r.first.row] = r.component
@@ -166,6 +166,18 @@ def test_words_within_eleven_bits_share_two_keys():
     assert (shared >= 2).all()
 
 
+def test_stars_keep_components_whole():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 30, 400):
+        x, y = rng.integers(0, 300, n) * 7, rng.integers(0, 300, n) * 7
+        a, b = near_copies.star_edges(x, y)
+        label = {v: v for v in [*x.tolist(), *y.tolist()]}
+        for p, q in zip(x.tolist(), y.tolist(), strict=True):
+            lo, hi = sorted((label[p], label[q]))
+            label = {k: lo if v == hi else v for k, v in label.items()}
+        assert dict(zip(b.tolist(), a.tolist(), strict=True)) == {k: v for k, v in label.items() if k != v}
+
+
 def test_links_of_sets():
     rng = np.random.default_rng(0)
     sets = []
@@ -215,7 +227,7 @@ def test_components_of_chains_and_stars(spark):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(1, 4), max_size=60), st.sampled_from([2, 1024]))
+@given(st.lists(st.integers(1, 4), max_size=60), st.sampled_from([0, 2, 1024]))
 def test_suffix_array(symbols, few):
     old, suffix._FEW_SYMBOLS = suffix._FEW_SYMBOLS, few
     try:
@@ -233,6 +245,24 @@ def test_suffix_array(symbols, few):
         assert plcp[b] == min(n, 9)
 
 
+def test_names_of_real_text_are_sorted_recursively(monkeypatch, spark, small):
+    """On text the first string of names has thousands of symbols; it and what follows go through induction too."""
+    text = " ".join(r.text for r in table(spark, small, "documents").orderBy("doc_id").limit(120).collect()).encode()
+    seen, whole = [], suffix.suffix_array
+    monkeypatch.setattr(suffix, "suffix_array", lambda t: seen.append((len(t), int(t.max()) + 1)) or whole(t))
+    sa = suffix.suffix_array(np.append(np.frombuffer(text, np.uint8).astype(np.int64) + 1, 0))
+    assert len(seen) >= 3 and seen[1][1] > 2_000 and all(2 * b <= a for (a, _), (b, _) in zip(seen, seen[1:], strict=False))
+    assert sorted(sa.tolist()) == list(range(len(text) + 1))
+    assert all(text[a:] < text[b:] for a, b in zip(sa.tolist(), sa[1:].tolist(), strict=False))
+
+
+def test_other_alphabets_and_long_runs():
+    rng = np.random.default_rng(6)
+    for t in (rng.integers(1, 5000, 3000), np.ones(4000, np.int64), np.arange(3000, 0, -1), np.tile([3, 2000, 1, 2000], 500), np.repeat(rng.integers(1, 9, 40), 50)):
+        t = np.append(t, 0)
+        assert suffix.suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+
+
 def dedup_by_hand(rows, window=100):
     seen, out = set(), {}
     for i, t in sorted(rows, key=lambda r: r[0]):
@@ -254,7 +284,7 @@ def test_op6_against_brute_force(spark, small):
     assert got == want and sum(x[1] for x in want.values()) > 0
 
 
-@pytest.mark.parametrize("how", [{}, {"shard_bytes": 500}, {"hot": 0}])
+@pytest.mark.parametrize("how", [{}, {"shard_bytes": 500}, {"hot": 0}, {"hot": 0, "sample": 1, "shard_bytes": 500}])
 def test_dedup_of_planted_passages(spark, how):
     rng = random.Random(8)
     prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
@@ -265,6 +295,17 @@ def test_dedup_of_planted_passages(spark, how):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got.collect()} == dedup_by_hand(rows)
 
 
+def test_anchors_of_a_common_passage_are_hot(spark):
+    """Where a passage stands in many differing texts, its anchors go to no shard; copies of whole texts make none hot."""
+    rng = random.Random(3)
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, copy = prose(150), prose(400)
+    raw = spark.createDataFrame([(i, prose(80) + passage + prose(80) if i % 2 else copy) for i in range(200)], "doc long, text string").selectExpr("doc", "cast(text AS binary) AS bytes")
+    found = substring_dedup.hot_anchors(raw, hot=40, sample=1)
+    inside = set(substring_dedup.gram_hashes(np.frombuffer(passage.encode(), np.uint8)).tolist())
+    assert len(found) and set(found.tolist()) <= inside
+
+
 def test_dedup_of_odd_ids(spark):
     rng = random.Random(2)
     text = "".join(rng.choice("abcdef") for _ in range(200))
