@@ -77,9 +77,11 @@ _SIDE_WORDS = frozenset(
 )
 #: Words that go with these in the names of containers, and say nothing alone.
 _NEUTRAL_WORDS = frozenset(
-    "area bar block blocks body bottom box button buttons center col column container content entry fixed float footer form global group header holder icons inner "
-    "item items layout left link links list main menu module outer page panel post posts primary reader right row secondary section site slot small sticky text title top "
-    "unit user wide wrap wrapper zone".split()
+    "a all and app apps area article articles at author bar big block blocks body bottom box btn button buttons by card cards center col column columns container content "
+    "count cta cover custom entry feed fixed float follow footer for form from global grid group head header heading holder home icon icons image images in info inline inner "
+    "input item items large latest layout left like link links list lower main me menu meta mobile modern module more new news now of off on our out outer page pages panel "
+    "placeholder popular post posts primary reader readers reading right row rows secondary section sections sign site slot small social sticky stories story tab tabs text "
+    "thread title to tool tools top trending under unit up upper us user users v video videos view web wide wrap wrapper x you your zone".split()
 )
 #: Paragraphs and headings of a main zone go by class only if it is one of these.
 _ADVERTS = frozenset("ad ads advert advertisement advertising sponsored".split())
@@ -304,17 +306,20 @@ def _token(text: str) -> str:
 
 def _block_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks of pages, each once a page: host, hash with the host, block, share of a distinct page, whether it could be text."""
+        """Blocks of pages, each once a page: host, hash with the host, block, times on the page, whether it could be text, hash of the page."""
         for b in batches:
             rows = []
-            for host, page, share in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for host, page, copy in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 blocks = page_blocks(page)
                 kept = {t for z, t in blocks if z == "open"} if all(z != "main" for z, _ in blocks) else set()
                 own = {t for z, t in blocks if z != "main"}
-                rows += [(host, _hash(host, t), t, n * share, t in kept) for t, n in [*((t, 1) for t in own), *((t, -n) for t, n in _shared_runs(own, width))]]
-                rows += [(host, _hash(host, t), t, share, True) for t in {_token(t) for z, t in blocks if z == "main"}]
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.float64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["host", "hash", "block", "pages", "kept"])
+                times = Counter(own)
+                for run_, n in _shared_runs(own, width):
+                    times[run_] -= n
+                rows += [(host, _hash(host, t), t, n, t in kept, copy) for t, n in times.items() if n]
+                rows += [(host, _hash(host, t), t, 1, True, copy) for t in {_token(t) for z, t in blocks if z == "main"}]
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["host", "hash", "block", "times", "kept", "copy"])
 
     return run
 
@@ -419,13 +424,12 @@ def _mark_rows(width: int):
 def host_boilerplate(pages: DataFrame, width: int = MIN_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """(block, runs): for blocks of (_host, _html) that could be text, by hash of host and text, the token runs their host repeats."""
     pages = pages.select("_host", "_html", F.xxhash64("_host", "_html").alias("_copy"))
-    copies = written(pages.groupBy("_host", "_copy").agg(F.count("*").alias("n")), "page-copies")
     need = lambda n, share: F.greatest(F.lit(float(n)), share * F.count("*"))
-    hosts = written(copies.groupBy("_host").agg(need(MIN_PAGES, MIN_SHARE).alias("need"), need(MAIN_PAGES, MAIN_SHARE).alias("need_main")), "hosts")
-    shares = copies.where("n > 1").select("_copy", (1 / F.col("n")).alias("share"))
-    weighed = pages.join(shares, "_copy", "left").select("_host", "_html", F.coalesce("share", F.lit(1.0)).alias("share"))
-    seen = weighed.mapInArrow(_block_rows(width), "host string, hash long, block string, pages double, kept boolean")
-    blocks = seen.groupBy("host", "hash").agg(F.first("block").alias("block"), F.sum("pages").alias("pages"), F.max("kept").alias("kept"))
+    hosts = written(pages.select("_host", "_copy").distinct().groupBy("_host").agg(need(MIN_PAGES, MIN_SHARE).alias("need"), need(MAIN_PAGES, MAIN_SHARE).alias("need_main")), "hosts")
+    seen = pages.mapInArrow(_block_rows(width), "host string, hash long, block string, times long, kept boolean, copy long")
+    # copies of a page have the same blocks, and count once
+    once = seen.groupBy("host", "hash", "copy").agg(F.first("block").alias("block"), F.first("times").alias("times"), F.first("kept").alias("kept"))
+    blocks = once.groupBy("host", "hash").agg(F.first("block").alias("block"), F.sum("times").cast("double").alias("pages"), F.max("kept").alias("kept"))
     is_main = F.col("block").startswith("\0")
     known = blocks.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).where(~is_main | (F.col("pages") > F.col("need_main") - 1e-6))
     distinct = written(known.select("host", "hash", "block", "pages", F.when(is_main, F.col("need_main")).otherwise(F.col("need")).alias("need"), "kept"), "blocks")
