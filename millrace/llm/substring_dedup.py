@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import table, written
+from millrace.llm.common import table, with_rows_of, written
 from millrace.llm.suffix import common_prefixes, suffix_array
 from millrace.llm.tokens import blocks
 
@@ -392,8 +392,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW, sh
     # spans and records leave the scan together; the spans keep their rows under shard -1
     marked = records.select(F.coalesce("shard", F.lit(-1)).alias("shard"), F.when(F.col("shard").isNull(), F.struct("doc", "start", "end")).alias("span"), "blob")
     compared = written(marked.repartition("shard", F.when(F.col("shard") == -1, F.pmod(F.col("span.doc"), F.lit(1009)))).sortWithinPartitions("shard").mapInArrow(_pass_spans(_compare_rows(window, hot)), _SCHEMA), "compared")
-    wanted = compared.where("shard is not null").groupBy("doc").agg(F.collect_list(F.struct("shard", "blob", "start", "end")).alias("wanted"))
-    taken = raw.join(wanted, "doc").select("doc", "bytes", "wanted").mapInArrow(_bytes_rows(shards, window), _SCHEMA)
+    to_compare = compared.where("shard is not null")
+    wanted = to_compare.groupBy("doc").agg(F.collect_list(F.struct("shard", "blob", "start", "end")).alias("wanted"))
+    # a bitmap picks the texts that have any, so the others are not shuffled
+    taken = with_rows_of(raw, "doc", to_compare.select("doc")).join(wanted, "doc").select("doc", "bytes", "wanted").mapInArrow(_bytes_rows(shards, window), _SCHEMA)
     taken = written(taken, "contexts")
     found = sharded(taken).mapInArrow(_suffix_rows(window), _SCHEMA)
     spans = [compared.where("shard is null"), taken.where("shard is null"), found]
@@ -435,8 +437,11 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
         nth = F.row_number().over(W.partitionBy("doc").orderBy(text)) - 1
         numbered = numbered.withColumn("doc", F.col("doc") * most + nth)
     spans = repeated_spans(numbered.select("doc", text), text, window, **how)
-    by_doc = spans.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    joined = numbered.select(key, "doc", F.coalesce(F.col(text), F.lit("")).cast("binary").alias("bytes")).join(by_doc, "doc", "left")
+    by_doc = written(spans.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")), "spans")
+    whole = numbered.select(F.col(key).alias("key"), "doc", F.coalesce(F.col(text), F.lit("")).cast("binary").alias("bytes"))
+    # only texts that lose something meet their spans
+    untouched = with_rows_of(whole, "doc", by_doc.select("doc"), wanted=False).select("key", "bytes", F.lit(None).cast(dict(by_doc.dtypes)["spans"]).alias("spans"))
+    joined = with_rows_of(whole, "doc", by_doc.select("doc")).join(by_doc, "doc").select("key", "bytes", "spans").unionByName(untouched)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -457,7 +462,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
             size = pc.binary_length(b.column(1)).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary()), size, pa.array(removed, pa.int64()), pa.array(count, pa.int64())], names=[key, "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return joined.select(key, "bytes", "spans").mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, kept binary, n_bytes long, n_removed long, n_spans long")
+    return joined.mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,25 +93,31 @@ def _induce_buckets(t: np.ndarray, s: np.ndarray, lms: np.ndarray, k: int) -> np
 def _induce_each(t: np.ndarray, s: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
     """The same, suffix by suffix."""
     n = len(t)
-    tails = np.cumsum(np.bincount(t, minlength=k))
-    heads = (tails - np.bincount(t, minlength=k)).tolist()
-    symbol, rising = t.tolist(), s.tobytes()
-    sa = [0] * n  # 0 is passed over: nothing stands before the first suffix
+    size = np.bincount(t, minlength=k)
+    tails = np.cumsum(size)
+    symbol, before = t.tolist(), np.concatenate([[-1], t[:-1]])
+    # of each place the symbol before it, if the suffix there is of the kind to be moved; none stands before place 0
+    falling = np.append(False, ~s[:-1])
+    sa = [0] * n
     free = tails.tolist()
     for p in lms[::-1].tolist():
         free[symbol[p]] -= 1
         sa[free[symbol[p]]] = p
+    free = (tails - size).tolist()
+    of = np.where(falling, before, -1).tolist()
     for p in sa:
-        if p and not rising[p - 1]:
-            c = symbol[p - 1]
-            sa[heads[c]] = p - 1
-            heads[c] += 1
+        c = of[p]
+        if c >= 0:
+            to = free[c]
+            sa[to] = p - 1
+            free[c] = to + 1
     free = tails.tolist()
+    of = np.where(falling, -1, before).tolist()
     for p in reversed(sa):
-        if p and rising[p - 1]:
-            c = symbol[p - 1]
-            free[c] -= 1
-            sa[free[c]] = p - 1
+        c = of[p]
+        if c >= 0:
+            free[c] = to = free[c] - 1
+            sa[to] = p - 1
     return np.array(sa, np.int64)
 
 
