@@ -11,11 +11,12 @@ three can hold three errors); beyond that most still do, up to `max_bits`, where
 1. Texts of the same words are one; the others are filed under the Golay keys of four of the
    five words, some 21 rows of 28 bytes. A task files a key's members again under the words that
    follow, compares what meets there, and emits one edge for each member of what hangs together.
+   Keys of over `max_list` members are parted into blocks, and each two blocks meet under a key of
+   their own, so that no key holds more than two blocks.
 2. Components of these candidates (components.py) hold every link that the keys found. Only
    members of a component of two or more, picked by a row bitmap, give their shingles.
 3. Within a component links are verified by exact shingle sets, by a search that takes each
-   text once it is linked. Components over `max_members` are parted into blocks, and each two
-   blocks meet under a key of their own, so that no key holds more than two blocks.
+   text once it is linked. Components over `max_members` are parted alike.
 
 Components of the verified links are the groups.
 
@@ -38,10 +39,10 @@ from millrace.llm import golay
 from millrace.llm.common import fresh, with_rows_of, written
 from millrace.llm.components import components
 
-SHINGLE, SIMILARITY, MAX_BITS, MAX_MEMBERS, MAX_BROADCAST = 5, 0.8, 24, 1_000, 1_000_000
+SHINGLE, SIMILARITY, MAX_BITS, MAX_MEMBERS, MAX_LIST, MAX_BROADCAST = 5, 0.8, 24, 1_000, 100_000, 1_000_000
 WORDS, WORD_BITS = 5, 23
 #: Filed rows that a task compares at once; a key's rows stay together.
-HELD_ROWS = 200_000
+HELD_ROWS = 50_000
 
 
 def fingerprint(words: list[bytes]) -> tuple[int, int]:
@@ -127,18 +128,17 @@ def _distance(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.
     return np.bitwise_count(a[x] ^ a[y]).astype(np.int64) + np.bitwise_count(b[x] ^ b[y])
 
 
-def candidate_forest(key: np.ndarray, a: np.ndarray, b: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
-    """Edges (x, y) of places that span, within each key, what its members' following words bring within max_bits.
+def candidate_forest(group: np.ndarray, first: np.ndarray, a: np.ndarray, b: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
+    """Edges (x, y) of places that span, within each group, what its members' following words bring within max_bits.
 
-    key: (first word << 12 | Golay key), sorted.
+    group: ascending numbers of the lists; first: the word whose Golay key a list's members share.
     """
     member, sub = [], []
-    first = key >> 12
     for j in range(1, WORDS):
         of = np.flatnonzero(first < j)
         r, g = golay.keys(word_of(a[of], b[of], j))
         member.append(of[r])
-        sub.append((key[of[r]].astype(np.int64) << 16) | (j << 12) | g)
+        sub.append((group[of[r]].astype(np.int64) << 16) | (j << 12) | g)
     member, sub = np.concatenate(member), np.concatenate(sub)
     order = np.argsort(sub, kind="stable")
     member, sub = member[order], sub[order]
@@ -205,25 +205,36 @@ def _by_key(batches: Iterator[pa.RecordBatch], n_keys: int, least: int) -> Itera
 
 def _candidates(max_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _by_key(batches, 1, HELD_ROWS):
-            key, row, a, b = (t.column(i).to_numpy() for i in range(4))
-            shared = np.zeros(len(key), bool)
-            same = key[1:] == key[:-1]
-            shared[1:] |= same
-            shared[:-1] |= same
-            key, row, a, b = key[shared], row[shared], a[shared].view(np.uint64), b[shared].view(np.uint64)
-            e = row[candidate_forest(key, a, b, max_bits)] if len(key) else np.zeros((0, 2), np.int64)
+        for t in _by_key(batches, 3, HELD_ROWS):
+            key, x, y, row, a, b = (t.column(i).to_numpy() for i in range(6))
+            same = (key[1:] == key[:-1]) & (x[1:] == x[:-1]) & (y[1:] == y[:-1])
+            group = np.concatenate([[0], np.cumsum(~same)])
+            shared = np.append(False, same) | np.append(same, False)
+            group, first, row, a, b = group[shared], key[shared] >> 12, row[shared], a[shared].view(np.uint64), b[shared].view(np.uint64)
+            e = row[candidate_forest(group, first, a, b, max_bits)] if len(group) else np.zeros((0, 2), np.int64)
             # only what hangs together matters: one edge a member, whatever number of keys it shares
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in star_edges(e[:, 0], e[:, 1])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in star_edges(e[:, 0], e[:, 1])], names=["a", "b"])
+            pa.default_memory_pool().release_unused()
 
     return run
 
 
+def _dealt(df: DataFrame, group: str, most: int) -> DataFrame:
+    """df, which has a `row`, with x and y: groups of over `most` rows are parted into blocks by row, and each two blocks are x, y once."""
+    # at most one in `most` of the rows is in this list
+    large = df.groupBy(group).agg(F.ceil(F.count("*") / most).cast("int").alias("blocks")).where("blocks > 1")
+    counted = df.join(F.broadcast(written(large, "large-groups")), group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    block = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(block, j).alias("x"), F.greatest(block, j).alias("y")))
+    return counted.select(group, F.inline(pairs), *[c for c in df.columns if c != group])
+
+
 def _shingle_rows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(_words(t), size).tobytes() for t in b.column(1).cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["row", "shingles"])
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -293,6 +304,7 @@ def groups(
     similarity: float = SIMILARITY,
     max_bits: int = MAX_BITS,
     max_members: int = MAX_MEMBERS,
+    max_list: int = MAX_LIST,
     max_broadcast: int = MAX_BROADCAST,
 ) -> DataFrame:
     """(component, first: struct of null, key, row): a row for each text of distinct words, with the group it is in.
@@ -304,15 +316,11 @@ def groups(
     first = F.min(F.struct(F.col("key").isNull().alias("null"), "key", "row")).alias("first")
     texts = written(prints.groupBy("same0", "same1").agg(first, F.first("a").alias("a"), F.first("b").alias("b")).select("first", "a", "b"), "texts")
     filed = texts.select(F.col("first.row").alias("row"), "a", "b").mapInArrow(_file, "key int, row long, a long, b long")
-    met = filed.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates(max_bits), "a long, b long")
+    lists = ["key", "x", "y"]
+    met = _dealt(filed, "key", max_list).repartition(*lists).sortWithinPartitions(*lists).mapInArrow(_candidates(max_bits), "a long, b long")
     near = written(components(met), "candidates")
     sets = with_rows_of(rows, row, near.select(F.col("node").alias("row"))).select(F.col(row), F.col(text)).mapInArrow(_shingle_rows(shingle), "row long, shingles binary")
-    # at most one in max_members of the members is in this list
-    large = near.groupBy("component").agg(F.ceil(F.count("*") / max_members).cast("int").alias("blocks")).where("blocks > 1")
-    dealt = near.join(F.broadcast(large), "component", "left").select(F.col("node").alias("row"), "component", F.coalesce("blocks", F.lit(1)).alias("blocks"))
-    block = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(block, j).alias("x"), F.greatest(block, j).alias("y")))
-    dealt = dealt.select("row", "component", F.inline(pairs))
+    dealt = _dealt(near.select("component", F.col("node").alias("row")), "component", max_members)
     members = sets.join(F.broadcast(dealt) if near.count() <= max_broadcast else dealt, "row").select("component", "x", "y", "row", "shingles")
     keys = ["component", "x", "y"]
     found = components(members.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verified(similarity), "a long, b long"))

@@ -137,7 +137,7 @@ def test_near_copies_are_found(spark):
     sets = [shingles_by_hand(t) for t in texts]
     linked = [(i, j) for i in range(len(sets)) for j in range(i) if want[i] == want[j] and jaccard(sets[i], sets[j]) >= 0.8]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row long, text string").selectExpr("row", "row AS id", "text").cache()
-    for how in ({}, {"max_members": 2, "max_broadcast": 0}):
+    for how in ({}, {"max_members": 2, "max_list": 3, "max_broadcast": 0}):
         group = {}
         for r in near_copies.groups(rows, "row", "id", "text", **how).collect():
             group[r.first.row] = r.component
