@@ -1,8 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
 Each round is two aggregations and joins on node ids, written to the scratch folder, so a lost
-executor costs a re-read; nothing but two numbers a round reaches the driver. Rounds grow with
-the logarithm of the number of nodes.
+executor costs a re-read, and removed when the next one is stored; nothing but two numbers a
+round reaches the driver. Rounds grow with the logarithm of the number of nodes.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import written
+from millrace.llm.common import remove, storing
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -33,10 +33,13 @@ def components(edges: DataFrame) -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    now, before = state(e), None
-    while now != before and now[0]:
-        before = now
-        e = written(_small_star(_large_star(e)), "edges")
-        now = state(e)
+    spark = edges.sparkSession
+    with storing(spark) as store:
+        e, path = store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        now, before = state(e), None
+        while now != before and now[0]:
+            before = now
+            e, new = store(_small_star(_large_star(e)), "edges")
+            remove(spark, path)
+            now, path = state(e), new
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
