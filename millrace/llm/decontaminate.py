@@ -7,11 +7,11 @@ compared in Unicode lower case, which finds all that A-Z lower case finds. DataF
 
 Scale: the table is a constant of the plan, the benchmark's own words and three numbers a
 window, so a document is judged, and cut, in the one pass that reads it: no join, no shuffle.
-That holds for benchmarks of up to `max_table_bytes`. A larger one is joined: a bitmap of anchor
-hashes picks the words that are offered, with up to n - 1 words on either side, and these meet
-the windows in a hash join, broadcast up to `max_broadcast` windows (some 300 bytes each) and
-shuffled beyond. There only the documents with hits, a few in a hundred, are joined to their
-spans; the others pass through a row bitmap.
+That holds for benchmarks of up to `max_table_bytes`. A larger one is joined: a bitmap of window
+hashes (FILTER_BITS, two probes) picks the document windows that are offered, and these meet the
+benchmark's in a hash join, broadcast up to `max_broadcast` windows (some 300 bytes each) and
+shuffled beyond, where words are compared. There only the documents with hits, a few in a
+hundred, are joined to their spans; the others pass through a row bitmap.
 
 Defined results: a null text has no words and no hits, a null item no windows; windows of an
 item without id hit, but name no item; repeated rows are judged one by one; an empty benchmark
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import constant, fresh, let, table, with_rows_of, written
 
-N, MAX_TABLE_BYTES, MAX_BROADCAST, SHARE, FILTER_BITS = 13, 2_000_000, 100_000, 20, 1 << 22
+N, MAX_TABLE_BYTES, MAX_BROADCAST, SHARE, FILTER_BITS = 13, 500_000, 100_000, 20, 1 << 24
 #: Runs of what is in no word, before and after lower-casing (words hold digits, letters, all beyond ASCII).
 BETWEEN = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 RESULT = ("n_words", "n_hit", "items", "spans")
@@ -119,15 +119,13 @@ class Table:
 
 
 def windows(bench: DataFrame, item: str = "item_id", text: str = "text", n: int = N) -> DataFrame:
-    """Distinct windows: win, its items, its anchor and the anchor's place in it."""
+    """Distinct windows: win and its items."""
     ws = F.transform(_raw_words(text), _lower)
     size = F.size("_ws")
     starts = F.sequence(F.lit(0), F.greatest(size - n, F.lit(0)))
     wins = F.when(size > 0, F.transform(starts, lambda i: F.slice("_ws", i + 1, n))).otherwise(F.array())
     all_wins = bench.select(F.col(item).alias("item"), ws.alias("_ws")).select("item", F.explode(wins).alias("win"))
-    distinct = all_wins.groupBy("win").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    best = F.array_max(F.transform("win", lambda w, i: F.struct(F.length(w).alias("l"), F.lower(w).alias("w"), (-i).alias("i"))))
-    return distinct.withColumn("_b", best).select("win", "items", F.col("_b.w").alias("anchor"), (-F.col("_b.i")).alias("k"))
+    return all_wins.groupBy("win").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
 def _covered(spans: Column) -> Column:
@@ -150,28 +148,34 @@ def _in_one_pass(docs: DataFrame, bench: DataFrame, text: str, item: str, n: int
 
 def _by_join(docs: DataFrame, bench: DataFrame, text: str, item: str, n: int, max_broadcast: int) -> DataFrame:
     """(doc: struct of docs' other columns, n_words, items, spans), by joins; rows keep apart by a number made at the scan."""
-    wins = written(windows(bench, item, "text", n), "windows")
+    wins = written(windows(bench, item, "text", n).withColumn("h", F.xxhash64(F.transform("win", F.lower))), "windows")
+    lengths = sorted(r[0] for r in wins.select(F.size("win")).distinct().collect())
+    places = F.transform(F.array("h", F.xxhash64("h")), lambda h: F.pmod(h, F.lit(FILTER_BITS)))
+    marked = wins.select(F.explode(places).alias("p")).groupBy((F.col("p") / 64).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 AS INT)))").alias("bits"))
+    bits = {r["word"]: r["bits"] for r in marked.collect()}
+    bitmap = constant([bits.get(i, 0) for i in range(FILTER_BITS // 64)], "bigint")
     others = [c for c in docs.columns if c != text]
     raw = docs.select(F.struct(F.lit(0).alias("0"), *others).alias("doc"), F.monotonically_increasing_id().alias("row"), _raw_words(text).alias("raw"))
-    place = F.pmod(F.xxhash64("anchor"), F.lit(FILTER_BITS))
-    bits = dict(wins.groupBy((place / 64).cast("int")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(xxhash64(anchor), {FILTER_BITS}) % 64 AS INT)))")).collect())
-    bitmap = constant([bits.get(i, 0) for i in range(FILTER_BITS // 64)], "bigint")
 
-    def is_anchor(w: Column) -> Column:
-        return let(F.pmod(F.xxhash64(F.lower(w)), F.lit(FILTER_BITS)), lambda h: F.getbit(bitmap[(h / 64).cast("int")], (h % 64).cast("int")) == 1)
+    def offered(ws: Column, low: Column, filter_: Column) -> Column:
+        def known(h: Column) -> Column:
+            place = F.pmod(h, F.lit(FILTER_BITS))
+            return F.getbit(filter_[(place / 64).cast("int")], (place % 64).cast("int")) == 1
+
+        def of_length(k: int) -> Column:
+            at = F.filter(F.sequence(F.lit(0), F.size(ws) - k), lambda i: let(F.xxhash64(F.slice(low, i + 1, k)), lambda h: known(h) & known(F.xxhash64(h))))
+            own = lambda i: F.struct(i.alias("s"), F.xxhash64(F.slice(low, i + 1, k)).alias("h"), F.transform(F.slice(ws, i + 1, k), _lower).alias("words"))
+            return F.when(F.size(ws) >= k, F.transform(at, own))
 
-    def around(ws: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(0), F.size(ws) - 1), lambda p: is_anchor(ws[p]))
-        context = lambda p: F.transform(F.slice(ws, F.greatest(p - (n - 1), F.lit(0)) + 1, 2 * n - 1), _lower)
-        offered = F.transform(places, lambda p: F.struct(p.alias("p"), F.lower(ws[p]).alias("a"), context(p).alias("c"), F.least(p, F.lit(n - 1)).alias("left")))
-        return F.struct(F.size(ws).cast("long").alias("n"), F.when(F.size(ws) > 0, offered).alias("offered"))
+        every = [F.coalesce(of_length(k), F.array().cast("array<struct<s:int,h:bigint,words:array<string>>>")) for k in lengths]
+        return F.struct(F.size(ws).cast("long").alias("n"), (F.concat(*every) if every else F.array().cast("array<struct<s:int,h:bigint,words:array<string>>>")).alias("offered"))
 
-    seen = raw.select("doc", "row", F.explode(F.array(let(F.col("raw"), around))).alias("x"))
+    judged = let(F.struct(F.col("raw").alias("ws"), F.transform("raw", F.lower).alias("low"), bitmap.alias("f")), lambda x: offered(x["ws"], x["low"], x["f"]))
+    seen = raw.select("doc", "row", F.explode(F.array(judged)).alias("x"))
     offers = seen.select("doc", "row", F.col("x.n").alias("n_words"), F.explode_outer("x.offered").alias("o"))
-    same = F.when(F.col("k") <= F.col("o.left"), F.slice("o.c", F.col("o.left") - F.col("k") + 1, F.size("win")) == F.col("win")).otherwise(False)
-    found = offers.join(F.broadcast(wins) if wins.count() <= max_broadcast else wins, (F.col("o.a") == F.col("anchor")) & same, "left")
-    start = F.col("o.p") - F.col("k")
-    span = F.when(F.col("win").isNotNull(), F.struct(start.alias("s"), (start + F.size("win")).alias("e")))
+    small = F.broadcast(wins) if wins.count() <= max_broadcast else wins
+    found = offers.join(small, (F.col("o.h") == F.col("h")) & (F.col("o.words") == F.col("win")), "left")
+    span = F.when(F.col("win").isNotNull(), F.struct(F.col("o.s").alias("s"), (F.col("o.s") + F.size("win")).alias("e")))
     return found.groupBy("row").agg(
         F.first("doc").alias("doc"),
         F.first("n_words").alias("n_words"),

@@ -149,6 +149,14 @@ def test_op4_digest(spark, small):
     assert got == want and any(x[4] for x in want.values())
 
 
+@pytest.mark.parametrize("how", WAYS)
+def test_items_without_id_and_string_ids(spark, how):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "four five"), (3, "one Two Three four FIVE")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "one two three"), ("b'\"\\", "four five"), ("a", "four five"), ("a", "four five")], "item_id string, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.hits(docs, bench, **how).collect()}
+    assert got == {1: (3, 3, []), 2: (2, 2, ["a", "b'\"\\"]), 3: (5, 5, ["a", "b'\"\\"])}
+
+
 @pytest.mark.parametrize("how", WAYS)
 def test_spans_are_cut(spark, how):
     item = " ".join(f"w{i}" for i in range(13))
