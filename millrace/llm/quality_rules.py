@@ -210,3 +210,22 @@ def passed(docs: DataFrame, text: str = "text", max_loss: float = 0.5) -> DataFr
 def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return clean(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_words", "base_failed", "kept")
+
+
+_NOTICE_SQL = " OR ".join("contains(low, '{}')".format(p.replace("'", "''")) for p in BOILERPLATE)
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+line AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+part AS (SELECT doc_id, line, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS ws, lower(line) AS low, regexp_extract_all(line, '\\[[^\\[\\]]+\\]') AS boxes,
+    len(regexp_extract_all(line, '\\|')) AS bars, len(regexp_extract_all(line, '[#*$%&|<>]+')) AS symbols, len(regexp_extract_all(line, '!!+')) AS shouts FROM line),
+counted AS (SELECT *, len(ws) AS n, len(list_filter(ws, lambda x: regexp_full_match(x, '[{SEPARATORS}]+'))) AS parts, coalesce(list_sum(list_transform(boxes, lambda x: length(x))), 0) AS boxed,
+    len(list_filter(ws, lambda x: regexp_matches(x, '^\\p{{Lu}}'))) AS titled, regexp_matches(line, '[.!?:;"''»”)…。！？][\\x20\\x09-\\x0D]*$') AS closed FROM part),
+judged AS (SELECT doc_id, n, line, n > 0 AND (bars > 0.25 * n OR symbols > 0.25 * n OR shouts > 0.25 * n OR (parts >= 2 AND n - parts <= 3 * (parts + 1))
+    OR (len(boxes) >= 3 AND 4 * (length(line) - boxed) <= length(line)) OR (length(line) <= {NOTICE_CHARS} AND ((NOT closed AND (n <= 3 OR titled >= 0.8 * n)) OR {_NOTICE_SQL}))) AS fails FROM counted),
+lost AS (SELECT doc_id, coalesce(sum(n) FILTER (WHERE fails), 0) AS lost_words, count(*) FILTER (WHERE n > 0) - count(DISTINCT line) FILTER (WHERE n > 0) AS n_dup_lines FROM judged GROUP BY doc_id),
+gram AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS times FROM (SELECT doc_id, i, w[i:i + 4] AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM d WHERE len(w) >= 5))),
+again AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(generate_series(i, i + 4)) AS p FROM gram WHERE times > 1) GROUP BY doc_id),
+whole AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, lost_words::BIGINT AS lost_words FROM d JOIN lost USING (doc_id) LEFT JOIN again USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lost_words <= 0.5 * n_words AS kept FROM whole
+"""

@@ -17,5 +17,7 @@ QUERIES = {
     "op10_site_lines": line_dedup.op10_site_lines,
 }
 ORACLE_SQL = {
+    "op4_decontaminate": decontaminate.OP4_SQL,
+    "op5_line_rules": quality_rules.OP5_SQL,
     "op10_site_lines": line_dedup.OP10_SQL,
 }

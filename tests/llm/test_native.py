@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, line_dedup, quality_rules
 from millrace.llm.common import table
+from millrace.llm.queries import ORACLE_SQL, QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, kept string, anchor string"
 
@@ -90,10 +91,10 @@ def test_columns_named_like_the_operators_own(spark):
     assert quality_rules.clean(df).columns == ["doc_id", "text", "source", *names[len(quality_rules.ADDED) :], *quality_rules.ADDED]
 
 
-def test_line_dedup_agrees_with_sql(spark, small, duck):
-    names = ["doc_id", "n_lines", "n_dropped", "kept_sha256"]
-    got = sorted(map(tuple, line_dedup.op10_site_lines(spark, small).select(names).collect()))
-    assert got == sorted(duck.sql(f"SELECT {', '.join(names)} FROM ({line_dedup.OP10_SQL})").fetchall())
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_agrees_with_sql(spark, small, duck, name):
+    df = QUERIES[name](spark, small)
+    assert sorted(map(tuple, df.collect())) == sorted(duck.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLE_SQL[name]})").fetchall())
 
 
 @pytest.mark.parametrize("max_broadcast_lines", [1000, 0])
