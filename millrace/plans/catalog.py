@@ -214,7 +214,15 @@ def exact_copies(spark, d):
     return similarity.copies(load(spark, d, "documents"))
 
 
-@_query()
+@_query(
+    """WITH RECURSIVE t AS (SELECT doc_id, lower(coalesce(text, '')) AS x FROM documents), r AS (SELECT x, min(doc_id) AS rep FROM t GROUP BY x),
+    w AS (SELECT rep, regexp_extract_all(x, '[^ \\t\\n\\r]+') AS w FROM r),
+    s AS (SELECT DISTINCT rep, unnest(list_transform(generate_series(1, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM w),
+    c AS (SELECT rep, count(*) AS n FROM s GROUP BY rep), p AS (SELECT a.rep AS a, b.rep AS b, count(*) AS k FROM s a JOIN s b USING (g) WHERE a.rep <> b.rep GROUP BY ALL),
+    e AS (SELECT a, b FROM p JOIN c ca ON ca.rep = a JOIN c cb ON cb.rep = b WHERE k >= 0.8 * (ca.n + cb.n - k)),
+    reach(a, b) AS (SELECT rep, rep FROM r UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a), k AS (SELECT a AS rep, min(b) AS class_id FROM reach GROUP BY a)
+    SELECT doc_id, class_id FROM t JOIN r USING (x) JOIN k USING (rep)"""
+)
 def minhash_classes(spark, d):
     return similarity.near_copies(load(spark, d, "documents"))
 
