@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import scratch, table, written
 from millrace.llm.tokens import blocks, shared_encoder
 
-STRIPE_BYTES, ROW_STRIDE = 16 << 20, 1_000
+#: Larger blocks than usual meet fewer distinct chunks twice.
+STRIPE_BYTES, ROW_STRIDE, BLOCK_BYTES = 16 << 20, 1_000, 4 << 20
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str = "words", end_id: int = 1, key: str = "doc_id", text: str = "text") -> None:
@@ -33,7 +34,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str = "words"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seq = shared_encoder(tokenizer, kind, end_id, special=True), 0
         for batch in batches:
-            for b in blocks(batch):
+            for b in blocks(batch, size=BLOCK_BYTES):
                 ids, offsets = encoder.encode(b.column(1))
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.arange(seq, seq + len(b))), lists], names=["doc_id", "seq", "ids"])
