@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
 import tempfile
 import uuid
@@ -74,6 +75,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Spark keeps idle Python workers, and these what they once needed."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """names, each with underscores before it until no column of df has it (in any case)."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -18,9 +18,9 @@ share a shard, and most text must not get there at all:
 
 Contexts and records are first reduced within each block of text, so a passage that is
 everywhere sends each block's first copy at most. Anchors with over `hot` differing contexts send
-their windows one by one, each to the shard of its own hash, so no anchor fills a shard. One text
-in `sample` tells which anchors will be so, and their records go to no shard either; what the
-sample misses, its shard finds.
+the 128-bit hashes of their windows one by one, each to a shard of its own, so no anchor fills a
+shard; equal hashes are equal windows. One text in `sample` tells which anchors will be so, and
+their records go to no shard either; what the sample misses, its shard finds.
 
 Hashes have 64 bits; a context is compared by 64 bits among those whose anchors agree in
 another 64.
@@ -43,11 +43,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import table, with_rows_of, written
+from millrace.llm.common import give_back, table, with_rows_of, written
 from millrace.llm.suffix import common_prefixes, suffix_array
 from millrace.llm.tokens import blocks
 
-WINDOW, GRAM, SLICE, SHARD_BYTES, HOT, SAMPLE, MAX_HOT = 100, 32, 2 << 20, 4 << 20, 4096, 64, 10_000
+WINDOW, GRAM, SLICE, SHARD_BYTES, HOT, SAMPLE, MAX_HOT = 100, 32, 2 << 20, 4 << 20, 16_384, 64, 10_000
 #: Records that a task holds before it reduces and packs them.
 HELD_RECORDS = 400_000
 _NO_ID = -(1 << 42)
@@ -217,7 +217,7 @@ def _record_batches(parts: list[np.ndarray], shards: int, window: int, hot: np.n
         numbers.append(number)
         blobs.append(_pressed(part))
     yield _packed(np.array(numbers, np.int32), blobs)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def _wanted(r: np.ndarray, shard: np.ndarray, by_span: bool = False) -> pa.RecordBatch:
@@ -287,6 +287,15 @@ def _compare_rows(window: int, hot: int):
 
 
 _CONTEXT = np.dtype([("doc", "<i8"), ("lo", "<i8"), ("size", "<u4")])
+_DIGEST = np.dtype([("h0", "<u8"), ("h1", "<u8"), ("doc", "<i8"), ("lo", "<i8")])
+
+
+def _first_digests(d: np.ndarray, window: int) -> tuple[np.ndarray, pa.RecordBatch]:
+    """The earliest of windows with equal hashes, and the spans that the others remove."""
+    d = d[np.lexsort((d["lo"], d["doc"], d["h1"], d["h0"]))]
+    again = np.append(False, (d["h0"][1:] == d["h0"][:-1]) & (d["h1"][1:] == d["h1"][:-1]))[: len(d)]
+    gone = d[again]
+    return d[~again], _spans(gone["doc"].copy(), gone["lo"].copy(), gone["lo"] + window)
 
 
 def _first_bytes(doc: np.ndarray, lo: np.ndarray, strings: list[bytes], window: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -303,31 +312,43 @@ def _first_bytes(doc: np.ndarray, lo: np.ndarray, strings: list[bytes], window:
 
 
 def _bytes_rows(shards: int, window: int):
-    """Texts with their wanted contexts: these contexts' bytes, packed by shard."""
+    """Texts with their wanted contexts: these contexts' bytes, packed by shard; of hot ones the windows' hashes, by shards from `shards` on."""
+
+    def digests(doc: int, text: memoryview, lo: int, hi: int) -> bytes:
+        hashes = b"".join(hashlib.blake2b(text[i : i + window], digest_size=16).digest() for i in range(lo, hi + 1))
+        d = np.zeros(hi + 1 - lo, _DIGEST)
+        d["h0"], d["h1"] = np.frombuffer(hashes, "<u8").reshape(-1, 2).T
+        d["doc"], d["lo"] = doc, np.arange(lo, hi + 1)
+        return d.tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch):
-                docs, los, strings, by = [], [], [], []
+                docs, los, strings, anchors, hot = [], [], [], [], []
                 for doc, text, wanted in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                     text = memoryview(text.as_buffer())
                     for c in wanted:
-                        anchor = int.from_bytes(c["blob"], "little")
-                        for lo, hi in [(c["start"], c["end"])] if not c["shard"] else [(i, i) for i in range(c["start"], c["end"] + 1)]:
-                            s = bytes(text[lo : hi + window])
+                        if c["shard"]:
+                            hot.append(digests(doc, text, c["start"], c["end"]))
+                        else:
                             docs.append(doc)
-                            los.append(lo)
-                            strings.append(s)
-                            by.append(int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little") if c["shard"] else anchor)
+                            los.append(c["start"])
+                            strings.append(bytes(text[c["start"] : c["end"] + window]))
+                            anchors.append(int.from_bytes(c["blob"], "little"))
                 doc, lo = np.array(docs, np.int64), np.array(los, np.int64)
                 first, gone = _first_bytes(doc, lo, strings, window)
                 yield _spans(*gone)
+                left, spans = _first_digests(np.frombuffer(b"".join(hot), _DIGEST), window)
+                yield spans
                 numbers, blobs = [], []
-                for number, part in _shards(first, np.array(by, np.uint64)[first], shards):
+                for number, part in _shards(first, np.array(anchors, np.uint64)[first], shards):
                     c = np.zeros(len(part), _CONTEXT)
                     c["doc"], c["lo"], c["size"] = doc[part], lo[part], [len(strings[i]) for i in part.tolist()]
                     numbers.append(number)
                     blobs.append(len(c).to_bytes(8, "little") + c.tobytes() + b"".join(strings[i] for i in part.tolist()))
+                for number, part in _shards(left, left["h0"], shards):
+                    numbers.append(shards + number)
+                    blobs.append(part.tobytes())
                 yield _packed(np.array(numbers, np.int32), blobs)
 
     return run
@@ -365,9 +386,12 @@ def repeated_windows(c: np.ndarray, data: np.ndarray, window: int = WINDOW) -> t
     return doc[order][again], start[order][again]
 
 
-def _suffix_rows(window: int):
+def _suffix_rows(shards: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, blobs in _grouped(batches):
+        for number, blobs in _grouped(batches):
+            if number >= shards:
+                yield _first_digests(np.frombuffer(b"".join(blobs), _DIGEST), window)[1]
+                continue
             cs, datas = [], []
             for x in blobs:
                 n = int.from_bytes(x[:8], "little")
@@ -376,7 +400,7 @@ def _suffix_rows(window: int):
                 datas.append(np.frombuffer(x[end:], np.uint8))
             doc, start = repeated_windows(np.concatenate(cs), np.concatenate(datas), window)
             yield _spans(doc, start, start + window)
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return run
 
@@ -397,7 +421,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW, sh
     # a bitmap picks the texts that have any, so the others are not shuffled
     taken = with_rows_of(raw, "doc", to_compare.select("doc")).join(wanted, "doc").select("doc", "bytes", "wanted").mapInArrow(_bytes_rows(shards, window), _SCHEMA)
     taken = written(taken, "contexts")
-    found = sharded(taken).mapInArrow(_suffix_rows(window), _SCHEMA)
+    found = sharded(taken).mapInArrow(_suffix_rows(shards, window), _SCHEMA)
     spans = [compared.where("shard is null"), taken.where("shard is null"), found]
     return spans[0].select("doc", "start", "end").unionByName(spans[1].select("doc", "start", "end")).unionByName(spans[2].select("doc", "start", "end"))
 
