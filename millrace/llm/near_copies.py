@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import golay
-from millrace.llm.common import fresh, with_rows_of, written
+from millrace.llm.common import fresh, give_back, with_rows_of, written
 from millrace.llm.components import components
 
 SHINGLE, SIMILARITY, MAX_BITS, MAX_MEMBERS, MAX_LIST, MAX_BROADCAST = 5, 0.8, 24, 1_000, 100_000, 1_000_000
@@ -91,6 +91,7 @@ def _print_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = np.frombuffer(b"".join(same), "<i8").reshape(-1, 2)
         bits = np.array(bits, np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x[:, i].copy()) for x in (same, bits) for i in (0, 1))], names=["row", "key", "same0", "same1", "a", "b"])
+    give_back()
 
 
 def word_of(a: np.ndarray, b: np.ndarray, i: int) -> np.ndarray:
@@ -214,7 +215,7 @@ def _candidates(max_bits: int):
             e = row[candidate_forest(group, first, a, b, max_bits)] if len(group) else np.zeros((0, 2), np.int64)
             # only what hangs together matters: one edge a member, whatever number of keys it shares
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in star_edges(e[:, 0], e[:, 1])], names=["a", "b"])
-            pa.default_memory_pool().release_unused()
+        give_back()
 
     return run
 
@@ -234,7 +235,7 @@ def _shingle_rows(size: int):
         for b in batches:
             sets = [shingles(_words(t), size).tobytes() for t in b.column(1).cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["row", "shingles"])
-            pa.default_memory_pool().release_unused()
+        give_back()
 
     return run
 
@@ -291,6 +292,7 @@ def _verified(similarity: float):
                 edges += [(row[lo + x], row[lo + y]) for x, y in links(sets, similarity)]
             e = np.array(edges, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], names=["a", "b"])
+        give_back()
 
     return run
 
@@ -320,8 +322,8 @@ def groups(
     met = _dealt(filed, "key", max_list).repartition(*lists).sortWithinPartitions(*lists).mapInArrow(_candidates(max_bits), "a long, b long")
     near = written(components(met), "candidates")
     sets = with_rows_of(rows, row, near.select(F.col("node").alias("row"))).select(F.col(row), F.col(text)).mapInArrow(_shingle_rows(shingle), "row long, shingles binary")
-    dealt = _dealt(near.select("component", F.col("node").alias("row")), "component", max_members)
-    members = sets.join(F.broadcast(dealt) if near.count() <= max_broadcast else dealt, "row").select("component", "x", "y", "row", "shingles")
+    dealt = written(_dealt(near.select("component", F.col("node").alias("row")), "component", max_members), "members")
+    members = sets.join(F.broadcast(dealt) if dealt.count() <= max_broadcast else dealt, "row").select("component", "x", "y", "row", "shingles")
     keys = ["component", "x", "y"]
     found = components(members.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verified(similarity), "a long, b long"))
     return texts.join(found, F.col("first.row") == F.col("node"), "left").select(F.coalesce("component", "first.row").alias("component"), "first")
