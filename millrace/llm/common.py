@@ -75,12 +75,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def give_back() -> None:
-    """Returns freed memory to the system: Spark keeps idle Python workers, and these what they once needed."""
+def give_back(heap: bool = True) -> None:
+    """Returns freed memory to the system: Spark keeps idle Python workers, and these what they once needed.
+
+    Arrow's pool goes for next to nothing; the heap costs tenths of a second where it was large.
+    """
     import pyarrow as pa
 
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if heap else None  # glibc has it
     if trim:
         trim(0)
 

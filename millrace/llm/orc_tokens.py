@@ -39,7 +39,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str = "words"
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.arange(seq, seq + len(b))), lists], names=["doc_id", "seq", "ids"])
                 seq += len(b)
-        give_back()
+        give_back(heap=False)
 
     in_order = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     in_order.mapInArrow(run, f"doc_id {docs.schema[key].dataType.simpleString()}, seq long, ids array<int>").write.options(

@@ -59,7 +59,7 @@ def pieces(docs: DataFrame, tokenizer: str, kind: str = "bytes", end_id: int = 0
                 seen += np.bincount(length, minlength=window + 1)
                 columns = [b.column(0).take(pa.array(row)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(n[row]), pa.array(np.full(len(row), part)), pa.array(rank)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "rank"])
-        give_back()
+        give_back(heap=False)
 
     schema = f"doc_id {docs.schema[key].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, part long, rank long"
     return docs.select(key, text).mapInArrow(run, schema)
