@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontaminate, html_extract, line_dedup, orc_tokens, packing, pii, quality_model, quality_rules, simhash, substring_dedup
+from millrace.llm import decontaminate, fingerprints, hard_negatives, html_extract, line_dedup, orc_tokens, packing, pii, quality_model, quality_rules, simhash, spelling, substring_dedup
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_pack": packing.op9_pack,
     "op10_site_lines": line_dedup.op10_site_lines,
+    "op11_spelling": spelling.op11_spelling,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_fingerprints": fingerprints.op13_fingerprints,
 }
 ORACLE_SQL = {
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op5_line_rules": quality_rules.OP5_SQL,
     "op10_site_lines": line_dedup.OP10_SQL,
+    "op11_spelling": spelling.OP11_SQL,
+    "op12_hard_negatives": hard_negatives.OP12_SQL,
 }
