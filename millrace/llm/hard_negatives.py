@@ -17,8 +17,7 @@ best before anything is shuffled.
 
 Defined results: rows with a null id, label or vector, or a null or non-finite component, take no part; shorter
 vectors count as if zeros followed; of rows that share an id the least (by label, then components) takes part;
-rows of equal score go by the smaller id; scores beyond 64 bits count as they are and are returned as the
-nearest long; an anchor without positives or negatives gives no row, as does an empty table.
+rows of equal score go by the smaller id; scores beyond 64 bits count as the nearest long; an anchor without positives or negatives gives no row, as does an empty table.
 """
 
 from __future__ import annotations
@@ -56,6 +55,8 @@ def rows_of(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
 def trained(rows: DataFrame, dim: int, max_train: int = MAX_TRAIN) -> np.ndarray:
     """Centroids [subspace, centroid, SUB] by k-means on at most max_train rows."""
     sample = rows.select("v", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(max_train).toArrow()
+    if not len(sample):
+        return np.zeros((dim // SUB, 1, SUB))
     x = _matrix(sample.column("v").combine_chunks(), dim).reshape(len(sample), -1, SUB).transpose(1, 0, 2)
     rng = np.random.default_rng(1)
     cents = x[:, rng.permutation(x.shape[1])[: min(CENTROIDS, x.shape[1])], :].copy()
