@@ -13,7 +13,8 @@ lists are parted once more by the pigeonhole principle, on other blocks, before
 compared. Components come from distributed star rounds (components.py).
 
 Defined results: null and wordless texts have fingerprint zero and link like any other;
-repeated rows and ids share a fingerprint and so a component; an empty table gives an empty
+repeated rows and ids share a fingerprint and so a component; rows with a null id link like any
+other, and a component of nothing else has a null name; an empty table gives an empty
 result; other columns are left out of the result.
 """
 
@@ -174,9 +175,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     groups = written(prints.groupBy("fp").agg(F.min(key).alias("rep")), "groups")
     filed = groups.select("fp").mapInArrow(_file, "key int, fp long").repartition("key").sortWithinPartitions("key")
     links = written(filed.mapInArrow(_link(max_bits), "x long, y long").distinct(), "links")
-    names = lambda c, to: groups.select(F.col("fp").alias(c), F.col("rep").alias(to))
-    found = components(links.join(names("x", "a"), "x").join(names("y", "b"), "y").select("a", "b"))
-    by_fp = groups.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    # fingerprints name the nodes: a fingerprint links whether or not one of its rows has an id
+    found = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    named = groups.join(found, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    ids = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    by_fp = named.join(ids, "component").select("fp", "component_id")
     return prints.join(by_fp, "fp").select(key, "fp", "component_id")
 
 
