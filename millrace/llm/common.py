@@ -99,6 +99,30 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def quoted(name: str) -> Column:
+    """A column by its name, whatever the name holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def plain(docs: DataFrame, **roles: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """docs under plain names, and a function that gives a result of it docs' names back.
+
+    roles: a name for each column that is worked on, as in text="body"; all others get numbers, so no name of theirs
+    can clash with an operator's own, hold a dot or differ in case alone. The function takes a result that has
+    docs' columns, or some of them, and the names of those that were added; columns of docs with such a name (in any
+    case) give way.
+    """
+    at = {c: r for r, c in roles.items()}
+    names = [at.get(c, f"col_{i}") for i, c in enumerate(docs.columns)]
+
+    def back(df: DataFrame, *added: str) -> DataFrame:
+        gone = {a.lower() for a in added}
+        own = [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True) if n in df.columns and c.lower() not in gone]
+        return df.select(*own, *added)
+
+    return docs.toDF(*names), back
+
+
 def constant(values: list, kind: str) -> Column:
     """A constant array<kind>, folded to one literal."""
     return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import constant, fresh, let, table, with_rows_of, written
+from millrace.llm.common import constant, fresh, let, plain, table, with_rows_of, written
 
 N, MAX_TABLE_BYTES, MAX_BROADCAST, SHARE, FILTER_BITS = 13, 500_000, 100_000, 20, 1 << 24
 #: Runs of what is in no word, before and after lower-casing (words hold digits, letters, all beyond ASCII).
@@ -155,7 +155,7 @@ def _by_join(docs: DataFrame, bench: DataFrame, text: str, item: str, n: int, ma
     bits = {r["word"]: r["bits"] for r in marked.collect()}
     bitmap = constant([bits.get(i, 0) for i in range(FILTER_BITS // 64)], "bigint")
     others = [c for c in docs.columns if c != text]
-    raw = docs.select(F.struct(F.lit(0).alias("0"), *others).alias("doc"), F.monotonically_increasing_id().alias("row"), _raw_words(text).alias("raw"))
+    raw = docs.select(F.struct(F.lit(0).alias("none"), *others).alias("doc"), F.monotonically_increasing_id().alias("row"), _raw_words(text).alias("raw"))
 
     def offered(ws: Column, low: Column, filter_: Column) -> Column:
         def known(h: Column) -> Column:
@@ -189,16 +189,18 @@ def hits(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "ite
 
     Input columns of these names give way to the results. Rows keep their identity, so ids may repeat.
     """
-    others = [c for c in docs.columns if c != text and c not in RESULT]
+    docs, back = plain(docs, text=text)
+    others = [c for c in docs.columns if c != "text"]
     if _is_small(bench, "text", max_table_bytes):
-        judged, name = _in_one_pass(docs.select(*others, text), bench, text, item, n)
+        judged, name = _in_one_pass(docs, bench, "text", item, n)
         get = lambda c: F.col(name)[c]
         rows = [F.col(c) for c in others]
     else:
-        judged = _by_join(docs.select(*others, text), bench, text, item, n, max_broadcast)
+        judged = _by_join(docs, bench, "text", item, n, max_broadcast)
         get = F.col
         rows = [F.col("doc")[c].alias(c) for c in others]
-    return judged.select(*rows, get("n_words").alias("n_words"), _covered(get("spans")).alias("n_hit"), get("items").alias("items"), get("spans").alias("spans"))
+    found = judged.select(*rows, get("n_words").alias("n_words"), _covered(get("spans")).alias("n_hit"), get("items").alias("items"), get("spans").alias("spans"))
+    return back(found, *RESULT)
 
 
 def is_contaminated(share: int = SHARE, n_hit: Column | str = "n_hit", n_words: Column | str = "n_words") -> Column:
@@ -220,6 +222,11 @@ def decontaminate(
     docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", n: int = N, share: int = SHARE, max_table_bytes: int = MAX_TABLE_BYTES, max_broadcast: int = MAX_BROADCAST
 ) -> DataFrame:
     """docs without contaminated documents, and without the hit spans of the others."""
+    docs, back = plain(docs, text=text)
+    return back(_decontaminated(docs, bench, "text", item, n, share, max_table_bytes, max_broadcast))
+
+
+def _decontaminated(docs: DataFrame, bench: DataFrame, text: str, item: str, n: int, share: int, max_table_bytes: int, max_broadcast: int) -> DataFrame:
     if _is_small(bench, "text", max_table_bytes):
         judged, name = _in_one_pass(docs, bench, text, item, n)
         n_hit = _covered(F.col(name)["spans"])

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fresh, table, written
+from millrace.llm.common import fresh, plain, table, written
 
 MAX_RATIO, MIN_COUNT, MAX_BROADCAST_LINES = 0.1, 5, 50_000
 
@@ -79,19 +79,19 @@ def drop_boilerplate(
     max_broadcast_lines: int = MAX_BROADCAST_LINES,
 ) -> DataFrame:
     """docs with `text` rid of its site's boilerplate, and n_lines, n_dropped."""
-    marked, name = _marked(docs, site, text, max_ratio, min_count, max_broadcast_lines)
-    others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    (left,) = fresh(marked, "left_lines")
-    cut = marked.withColumn(left, _left(text, name))
-    n_lines = F.size(_lines(text)).cast("long")
-    kept = [F.array_join(left, "\n").alias(c) if c == text else F.col(c) for c in others]
-    return cut.select(*kept, n_lines.alias("n_lines"), (n_lines - F.size(left)).alias("n_dropped"))
+    docs, back = plain(docs, site=site, text=text)
+    marked, name = _marked(docs, "site", "text", max_ratio, min_count, max_broadcast_lines)
+    cut = marked.withColumn("left_lines", _left("text", name))
+    n_lines = F.size(_lines("text")).cast("long")
+    kept = [F.array_join("left_lines", "\n").alias(c) if c == "text" else F.col(c) for c in docs.columns]
+    return back(cut.select(*kept, n_lines.alias("n_lines"), (n_lines - F.size("left_lines")).alias("n_dropped")), "n_lines", "n_dropped")
 
 
 def without_boilerplate(docs: DataFrame, site: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_count: int = MIN_COUNT, max_broadcast_lines: int = MAX_BROADCAST_LINES) -> DataFrame:
     """docs with `text` rid of its site's boilerplate."""
-    marked, name = _marked(docs, site, text, max_ratio, min_count, max_broadcast_lines)
-    return marked.withColumn(text, F.array_join(_left(text, name), "\n")).select(docs.columns)
+    docs, back = plain(docs, site=site, text=text)
+    marked, name = _marked(docs, "site", "text", max_ratio, min_count, max_broadcast_lines)
+    return back(marked.withColumn("text", F.array_join(_left("text", name), "\n")))
 
 
 def op10_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import golay
-from millrace.llm.common import fresh, give_back, with_rows_of, written
+from millrace.llm.common import give_back, plain, with_rows_of, written
 from millrace.llm.components import components
 
 SHINGLE, SIMILARITY, MAX_BITS, MAX_MEMBERS, MAX_LIST, MAX_BROADCAST = 5, 0.8, 24, 1_000, 100_000, 1_000_000
@@ -334,7 +334,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) ->
 
     Row numbers are written down with the rows: another scan might split its input otherwise.
     """
-    (row,) = fresh(docs, "row_number")
-    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    chosen = groups(rows, row, key, text, **how).groupBy("component").agg(F.min("first").alias("first"))
-    return with_rows_of(rows, row, chosen.select(F.col("first.row").alias("row"))).select(docs.columns)
+    docs, back = plain(docs, key=key, text=text)
+    rows = written(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    chosen = groups(rows, "row", "key", "text", **how).groupBy("component").agg(F.min("first").alias("first"))
+    return back(with_rows_of(rows, "row", chosen.select(F.col("first.row").alias("row"))))

@@ -23,7 +23,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fresh, let, table, words
+from millrace.llm.common import fresh, let, plain, table, words
 
 WINDOW = 5
 SYMBOLS = "[#*$%&|<>]"
@@ -193,18 +193,20 @@ def clean(docs: DataFrame, text: str = "text", max_loss: float = 0.5) -> DataFra
 
     kept: base rules passed, and failing lines held at most max_loss of the words.
     """
-    judged, name = _judged(docs, text)
+    docs, back = plain(docs, text=text)
+    judged, name = _judged(docs, "text")
     base, kept = _verdicts(name, max_loss)
     w, lines = F.col(name)["w"], F.col(name)["l"]
     added = [lines["clean_text"], w["n_words"], w["word_chars"], F.col(name)["n_symbols"], lines["n_dup_lines"], w["n_repeat_words"], lines["lost_words"], base, kept]
-    return judged.select(*[c for c in docs.columns if c not in ADDED], *[c.alias(n) for n, c in zip(ADDED, added, strict=True)])
+    return back(judged.select(*docs.columns, *[c.alias(n) for n, c in zip(ADDED, added, strict=True)]), *ADDED)
 
 
 def passed(docs: DataFrame, text: str = "text", max_loss: float = 0.5) -> DataFrame:
     """The documents that are kept, without their failing lines."""
-    judged, name = _judged(docs, text)
+    docs, back = plain(docs, text=text)
+    judged, name = _judged(docs, "text")
     kept = judged.where(_verdicts(name, max_loss)[1])
-    return kept.withColumn(text, F.when(F.col(text).isNotNull(), F.col(name)["l"]["clean_text"])).select(docs.columns)
+    return back(kept.withColumn("text", F.when(F.col("text").isNotNull(), F.col(name)["l"]["clean_text"])))
 
 
 def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

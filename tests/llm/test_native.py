@@ -94,7 +94,7 @@ def test_columns_named_like_the_operators_own(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_agrees_with_sql(spark, small, duck, name):
     df = QUERIES[name](spark, small)
-    assert sorted(map(tuple, df.collect())) == sorted(duck.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLE_SQL[name]})").fetchall())
+    assert sorted(map(tuple, df.collect()), key=repr) == sorted(duck.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLE_SQL[name]})").fetchall(), key=repr)
 
 
 @pytest.mark.parametrize("max_broadcast_lines", [1000, 0])
