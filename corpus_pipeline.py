@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate as contamination
 from millrace.llm import line_dedup, near_copies, packing, quality_rules
-from millrace.llm.common import remove, storing, table
+from millrace.llm.common import quoted, remove, storing, table
 
 
 def _as_documents(df: DataFrame, docs: DataFrame) -> DataFrame:
     """df with the columns of docs, the text's length brought up to date."""
     if "n_chars" in docs.columns:
         df = df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return df.select(docs.columns)
+    return df.select([quoted(c) for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
