@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.operators.order import summed_before
+
 
 def confusion(df: DataFrame, flagged: Column, truth: Column, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(
@@ -33,10 +35,13 @@ def recall_at(df: DataFrame, score: str, truth: str, key: str, ks: tuple[int, ..
 
 
 def roc_auc(df: DataFrame, score: str, truth: str) -> DataFrame:
-    """By rank sum with mean ranks on ties; only counts by score are ranked."""
-    by_score = df.groupBy(score).agg(F.count("*").alias("_rows"), F.count_if(F.col(truth) == 1).alias("pos"))
-    below = F.sum("_rows").over(W.orderBy(score).rowsBetween(W.unboundedPreceding, 0)) - F.col("_rows")
-    ranked = by_score.withColumn("mean_rank", below + (F.col("_rows") + 1) / 2)
+    """By rank sum with mean ranks on ties; counts by score are ranked, over ranges of scores.
+
+    Rows with a null score rank below all others; a null truth counts as negative; without positives or
+    negatives the area is null.
+    """
+    by_score = df.groupBy(F.col(score).alias("_score")).agg(F.count("*").alias("_rows"), F.count_if(F.col(truth) == 1).alias("pos"))
+    ranked = summed_before(by_score, [F.col("_score").asc_nulls_first()], "_rows", "below").withColumn("mean_rank", F.col("below") + (F.col("_rows") + 1) / 2)
     sums = ranked.agg(F.sum(F.col("mean_rank") * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("_rows") - F.col("pos")).alias("q"))
     return sums.select(F.col("p").alias("positives"), F.col("q").alias("negatives"), F.round(F.expr("(r - p * (p + 1) / 2) / nullif(p * q, 0)"), 6).alias("auc"))
 

@@ -10,16 +10,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.operators import automaton
 from millrace.operators.graph import classes
 from millrace.sources.tables import stored
 
-#: Largest number of known texts' keys to send to every executor.
-MAX_BROADCAST = 200_000
+#: Bytes of known texts' keys that are sent to every executor at the most.
+MAX_BROADCAST = 32_000_000
+#: Queries that meet all rows at a time.
+QUERY_BLOCK = 50_000
+
+
+def bytes_of(df: DataFrame) -> int:
+    """The size of a table's values: texts by their bytes, arrays by eight bytes an item, others by eight; and 16 a row."""
+    size = F.lit(16)
+    for c in df.schema:
+        kind, col = c.dataType.typeName(), F.col(f"`{c.name}`")
+        own = F.octet_length(col) if kind in ("string", "binary") else 8 * F.size(col) if kind == "array" else F.lit(8)
+        size = size + F.coalesce(own, F.lit(0))
+    return df.agg(F.sum(size)).first()[0] or 0
 
 
 def _known(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it is small enough; else the join shuffles."""
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
+    """df with a broadcast hint if its bytes, counted before, are few enough; else the join shuffles."""
+    return F.broadcast(df) if bytes_of(df) <= MAX_BROADCAST else df
 
 
 def _let(value: Column, body) -> Column:
@@ -35,30 +48,43 @@ def _words(text: Column) -> Column:
 GRAM = 4
 
 
-def contained(docs: DataFrame, known: DataFrame) -> DataFrame:
+def contained(docs: DataFrame, known: DataFrame, max_bytes: int = automaton.MAX_BYTES) -> DataFrame:
     """(item_id, doc_id): known texts that stand in a document, letter for letter.
 
-    A known text's longest inner word is a word of every document that holds the text; its first
-    and last could be parts of longer words there. A text without an inner word goes by its first
-    characters. Documents offer the hashes of their words (and of their character grams, if need
-    be), not themselves; only those that share a key are read again and searched. Texts shorter
-    than a gram, of which there can be few, are searched for in every document.
+    Known texts of up to max_bytes bytes make one automaton, which finds all in one pass over the documents. More of
+    them are joined: a known text's longest inner word is a word of every document that holds the text (its first and
+    last could be parts of longer words there); a text without an inner word goes by its first characters. Documents offer
+    the hashes of their words (and of their character grams, if need be), not themselves; only those that share a key are
+    read again and searched. Texts shorter than a gram go through automata then, in as many passes as their size asks for.
+
+    Null and empty texts are in no pair; items of equal text are found alike; repeated rows of an id count once.
     """
-    inner = _let(_words(F.col("text")), lambda w: F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0))))
+    texts = known.where("text <> ''").groupBy(F.col("text").alias("known")).agg(F.collect_set("item_id").alias("items"))
+    keyed_texts = stored(texts.withColumn("known_key", F.monotonically_increasing_id()), "known-texts")
+    small = automaton.size_of(keyed_texts) <= max_bytes
+    by_automaton = keyed_texts if small else keyed_texts.where(F.length("known") < GRAM)
+    pairs = automaton.found(docs, by_automaton, max_bytes=max_bytes) if small or not by_automaton.isEmpty() else None
+    if not small:
+        joined = _by_keys(docs, keyed_texts.where(F.length("known") >= GRAM))
+        pairs = joined if pairs is None else pairs.unionByName(joined)
+    items = keyed_texts.select("known_key", F.explode("items").alias("item_id"))
+    return pairs.join(_known(items), "known_key").select("item_id", "doc_id").distinct()
+
+
+def _by_keys(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(known_key, doc_id) by keys that every document with the text offers, then by the texts themselves."""
+    inner = _let(_words(F.col("known")), lambda w: F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0))))
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))))["w"]
-    key = F.when(longest.isNotNull(), F.xxhash64(longest)).when(F.length("text") >= GRAM, F.xxhash64(F.lit(GRAM), F.substring("text", 1, GRAM)))
-    items = known.where("text <> ''").select("item_id", F.col("text").alias("known"), key.alias("key"), (longest.isNull() & (F.length("text") >= GRAM)).alias("by_gram"))
-    keyed, tiny = items.where("key is not null"), items.where("key is null")
+    key = F.when(longest.isNotNull(), F.xxhash64(longest)).otherwise(F.xxhash64(F.lit(GRAM), F.substring("known", 1, GRAM)))
+    keyed = texts.select("known_key", "known", key.alias("key"), longest.isNull().alias("by_gram"))
     offered = F.transform(_words(F.col("text")), lambda w: F.xxhash64(w))
     if not keyed.where("by_gram").isEmpty():
         grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - GRAM + 1, F.lit(1))), lambda i: F.xxhash64(F.lit(GRAM), F.substring(F.col("text"), i, F.lit(GRAM))))
         offered = F.concat(offered, grams)
     offers = docs.select("doc_id", F.explode(F.array_distinct(offered)).alias("key"))
-    pairs = stored(offers.join(_known(keyed.select("item_id", "key")), "key").select("doc_id", "item_id").distinct(), "pairs")
-    found = docs.select("doc_id", "text").join(_known(pairs), "doc_id").join(_known(keyed.select("item_id", "known")), "item_id").where(F.col("text").contains(F.col("known"))).select("item_id", "doc_id")
-    if not tiny.isEmpty():
-        found = found.unionByName(docs.join(_known(tiny), F.col("text").contains(F.col("known"))).select("item_id", "doc_id"))
-    return found
+    pairs = stored(offers.join(_known(keyed.select("known_key", "key")), "key").select("doc_id", "known_key").distinct(), "pairs")
+    found = docs.select("doc_id", "text").join(_known(pairs), "doc_id").join(_known(keyed.select("known_key", "known")), "known_key")
+    return found.where(F.col("text").contains(F.col("known"))).select("known_key", "doc_id")
 
 
 def _grams(df: DataFrame, key: str, n: int, gram) -> DataFrame:
@@ -131,7 +157,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> D
     return keyed.select("doc_id", "text_md5").join(by_text, "text_md5").select("doc_id", "class_id")
 
 
-def neighbours(vectors: DataFrame, k: int = 5, step: int = 100, block: int = MAX_BROADCAST) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 5, step: int = 100, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, vec_id, rank, similarity): cosine top-k of every vector whose id is divisible by step.
 
     The stated query set meets all rows, in blocks of about `block` queries that are broadcast; each

@@ -8,11 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import json_values, passages
 from millrace.functions import text as T
-from millrace.operators import evaluation, html_parts, overlay, payloads, rules, similarity, turns
+from millrace.operators import evaluation, html_parts, multisets, overlay, payloads, rules, similarity, sketches, temporal, turns, vector_index
 from millrace.sources import tables
 from millrace.sources.tables import load
-from millrace.streaming import screens
+from millrace.streaming import conversations, screens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -237,6 +238,149 @@ def embedding_neighbours(spark, d):
     return similarity.neighbours(load(spark, d, "embeddings"))
 
 
+@_query()
+def indexed_neighbours(spark, d):
+    """As `embedding_neighbours`, by an index that looks through the nearest lists only; recall is tested.
+
+    The tables' vectors point in all directions alike, which leaves an index little to go by: nine in ten of the
+    nearest take three lists in five. In vectors that gather in clusters a tenth of the lists will do.
+    """
+    index = vector_index.built(load(spark, d, "embeddings"))
+    return vector_index.searched(index, index.rows.where(F.col("vec_id") % 100 == 0), probes=max(1, -(-3 * len(index.centroids) // 5)))
+
+
+# lines as multisets: what a source's documents have beyond those of another, copies counted
+
+_LINES_SQL = "(SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE source {})"
+
+
+def _lines(spark, d):
+    docs = load(spark, d, "documents")
+    first = docs.agg(F.min("source")).first()[0]
+    return multisets.lines(docs.where(F.col("source") == first)), multisets.lines(docs.where(F.col("source") != first))
+
+
+_FIRST_SQL, _OTHER_SQL = (_LINES_SQL.format(f"{op} (SELECT min(source) FROM documents)") for op in ("=", "<>"))
+
+
+@_query(f"SELECT * FROM {_FIRST_SQL} EXCEPT ALL SELECT * FROM {_OTHER_SQL}")
+def lines_surplus(spark, d):
+    return multisets.surplus(*_lines(spark, d))
+
+
+@_query(f"SELECT * FROM {_FIRST_SQL} INTERSECT ALL SELECT * FROM {_OTHER_SQL}")
+def lines_common(spark, d):
+    return multisets.common(*_lines(spark, d))
+
+
+@_query(f"SELECT line, sum(a)::BIGINT AS n_a, sum(1 - a)::BIGINT AS n_b FROM (SELECT line, 1 AS a FROM {_FIRST_SQL} UNION ALL SELECT line, 0 FROM {_OTHER_SQL}) GROUP BY line")
+def lines_balance(spark, d):
+    return multisets.balance(*_lines(spark, d))
+
+
+# passages, by table functions
+
+
+@_query(
+    """WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r]+') AS w FROM documents),
+    p AS (SELECT doc_id, w, unnest(generate_series(0, greatest(0, ceil((len(w) - 50) / 25))::INTEGER)) AS i FROM w WHERE len(w) > 0)
+    SELECT doc_id, i::INTEGER AS passage_no, (i * 25)::INTEGER AS first_word, md5(array_to_string(w[i * 25 + 1:i * 25 + 50], ' ')) AS passage_md5 FROM p"""
+)
+def document_passages(spark, d):
+    found = passages.of_documents(load(spark, d, "documents"), 50, 25)
+    return found.select("doc_id", "passage_no", "first_word", F.md5("passage").alias("passage_md5"))
+
+
+@_query(
+    """WITH t AS (SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER w AS k, first_value(turn) OVER f AS first_turn, list(role || ': ' || text) OVER f AS said
+    FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn), f AS (PARTITION BY conv_id ORDER BY turn ROWS 2 PRECEDING))
+    SELECT conv_id, first_turn, turn AS last_turn, md5(array_to_string(said, chr(10))) AS passage_md5 FROM t WHERE k >= 3 OR (n < 3 AND k = n)"""
+)
+def turn_passages(spark, d):
+    found = passages.of_conversations(load(spark, d, "conversations"), 3)
+    return found.select("conv_id", "first_turn", "last_turn", F.md5("passage").alias("passage_md5"))
+
+
+# semi-structured values
+
+#: Beside the table's own: text that is no JSON, null, another type, another field, none.
+_PROPS = ((-1, "{broken"), (-2, None), (-3, '{"k": "7"}'), (-4, '{"other": {"k": 1}}'), (-5, "[1, 2]"), (-6, '{"k": 2.5, "x y": true}'))
+_PROPS_SQL = ", ".join(f"({i}::BIGINT, {'NULL' if x is None else repr(x)})" for i, x in _PROPS)
+
+
+@_query(
+    f"""WITH e AS (SELECT event_id, props FROM events UNION ALL SELECT * FROM (VALUES {_PROPS_SQL}) v(event_id, props)), j AS (SELECT event_id, try_cast(props AS JSON) AS j FROM e)
+    SELECT event_id, j IS NOT NULL AS is_json, try_cast(try_cast(j->>'$.k' AS DOUBLE) AS DECIMAL(18, 1))::DOUBLE AS k, try_cast(j->>'$."x y"' AS BOOLEAN) AS flag FROM j"""
+)
+def event_properties(spark, d):
+    """Events' properties as VARIANT, read by path; text that is no JSON is null."""
+    rows = load(spark, d, "events").select("event_id", "props").unionByName(spark.createDataFrame(list(_PROPS), "event_id long, props string"))
+    v = rows.select("event_id", json_values.parsed(F.col("props")).alias("v"))
+    read = lambda path, kind: json_values.value(F.col("v"), path, kind)
+    return v.select("event_id", F.col("v").isNotNull().alias("is_json"), F.round(read("$.k", "double"), 1).alias("k"), read("$['x y']", "boolean").alias("flag"))
+
+
+@_query("SELECT event_id, (props::JSON->>'$.k')::BIGINT AS k FROM events")
+def event_fields(spark, d):
+    """A column for each field that the events' properties have, by a schema inferred in one aggregate."""
+    return json_values.flattened(load(spark, d, "events").select("event_id", json_values.parsed(F.col("props")).alias("v")), "v")
+
+
+# sketches
+
+
+@_query()
+def word_sketches(spark, d):
+    """Distinct and top words by source, and of all sources from the stored sketches of each; error bounds are tested."""
+    by_source = tables.stored(sketches.sketched(sketches.words(load(spark, d, "documents"), "source"), "source"), "sketches")
+    whole = sketches.merged(by_source).select(F.lit(None).cast("string").alias("source"), "*")
+    return sketches.read(by_source.unionByName(whole))
+
+
+# joins in time
+
+
+@_query(
+    """WITH k AS (SELECT DISTINCT event_type AS kind FROM events), o AS (SELECT user_id, kind, ts, max(event_id) AS earlier_id FROM events e JOIN k ON e.event_type <> k.kind GROUP BY ALL)
+    SELECT e.event_id, o.earlier_id, epoch_us(e.ts) - epoch_us(o.ts) AS gap_us FROM events e ASOF LEFT JOIN o ON e.user_id = o.user_id AND e.event_type = o.kind AND e.ts > o.ts"""
+)
+def events_as_of(spark, d):
+    """Each event with the user's last earlier event of another type."""
+    events = load(spark, d, "events").select("event_id", "user_id", "event_type", "ts")
+    kinds = events.agg(F.collect_set("event_type")).first()[0]
+    others = F.explode(F.array_except(F.array(*map(F.lit, sorted(kinds))), F.array("event_type")))
+    right = events.select("user_id", others.alias("event_type"), "ts", F.col("event_id").alias("earlier_id"), F.col("ts").alias("earlier_ts"))
+    met = temporal.as_of(events, right, ["user_id", "event_type"], "ts", ["earlier_id", "earlier_ts"], same_time=False)
+    return met.select("event_id", "earlier_id", F.timestamp_diff("MICROSECOND", "earlier_ts", "ts").alias("gap_us"))
+
+
+#: A window that is as long as the table, beside those of minutes.
+_WINDOWS_SQL = """(SELECT event_id AS window_id, ts AS begun, ts + to_microseconds((value * 60000000)::BIGINT) AS ended FROM events WHERE event_type = 'error'
+    UNION ALL SELECT -1, min(ts), max(ts) FROM events)"""
+
+
+@_query(f"SELECT e.event_id, w.window_id FROM events e JOIN {_WINDOWS_SQL} w ON w.begun <= e.ts AND e.ts < w.ended WHERE e.event_type = 'purchase'")
+def events_in_windows(spark, d):
+    """Purchases within the windows that errors open, as many minutes long as their value says, or within the whole time."""
+    events = load(spark, d, "events")
+    ended = F.col("ts") + F.make_dt_interval(secs=F.round(F.col("value") * 60, 6).cast("decimal(18,6)"))
+    windows = events.where("event_type = 'error'").select(F.col("event_id").alias("window_id"), F.col("ts").alias("begun"), ended.alias("ended"))
+    whole = events.agg(F.lit(-1).cast("long").alias("window_id"), F.min("ts").alias("begun"), F.max("ts").alias("ended"))
+    purchases = events.where("event_type = 'purchase'").select("event_id", "ts")
+    return temporal.within(purchases, windows.unionByName(whole), "ts", "begun", "ended").select("event_id", "window_id")
+
+
+@_query(
+    """SELECT e.event_id, s.event_id AS signup_id FROM events e JOIN events s ON e.user_id = s.user_id AND s.event_type = 'signup' AND e.event_type <> 'signup' AND s.ts <= e.ts AND e.ts < s.ts + INTERVAL 1 DAY"""
+)
+def events_after_signup(spark, d):
+    """Events within a day of a signup of their user."""
+    events = load(spark, d, "events")
+    days = events.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("signup_id"), F.col("ts").alias("begun"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ended"))
+    others = events.where("event_type <> 'signup'").select("user_id", "event_id", "ts")
+    return temporal.within(others, days, "ts", "begun", "ended", ["user_id"]).select("event_id", "signup_id")
+
+
 # indirect
 
 _VISIBLE_SQL = "html"
@@ -483,3 +627,24 @@ def stream_deduplicated(spark, d):
 @_query(f"SELECT conv_id, count(*) AS n_turns, round(sum({_sql_score(_sql_hits('text'))}), 6) AS score FROM {overlay.CONVERSATIONS_SQL} GROUP BY conv_id")
 def stream_running_scores(spark, d):
     return screens.running_scores(spark, overlay.conversations(load(spark, d, "conversations")))
+
+
+_TIMED_SQL = f"(SELECT conv_id, turn, text, make_timestamp((1704067200 + (conv_id % 997) * 60 + turn * 40) * 1000000) AS ts FROM {overlay.CONVERSATIONS_SQL})"
+
+
+@_query(
+    f"""WITH x AS (SELECT conv_id, turn, ts, {_sql_score(_sql_hits('text'))} AS s FROM {_TIMED_SQL})
+    SELECT conv_id, count(*) AS n_turns, round(sum(s), 6) AS score, coalesce(array_to_string(list(turn ORDER BY turn) FILTER (WHERE s >= 0.7), ','), '') AS flagged, min(ts) AS begun, max(ts) AS ended FROM x GROUP BY conv_id"""
+)
+def stream_closed_conversations(spark, d):
+    """Conversations that a timer closes when no turn has come for ten minutes."""
+    return screens.closed_conversations(spark, overlay.conversations(load(spark, d, "conversations")))
+
+
+@_query(
+    f"""WITH x AS (SELECT conv_id, turn, ts, {_sql_score(_sql_hits('text'))} AS s FROM {_TIMED_SQL})
+    SELECT a.conv_id, a.turn, f.turn AS flag_turn FROM x a LEFT JOIN x f ON a.conv_id = f.conv_id AND f.s >= 0.7 AND f.ts > a.ts AND f.ts <= a.ts + INTERVAL 2 MINUTE"""
+)
+def stream_followed_turns(spark, d):
+    """Turns with the flags that follow within two minutes, two streams joined."""
+    return screens.followed_turns(spark, overlay.conversations(load(spark, d, "conversations")))

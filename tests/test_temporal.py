@@ -1,0 +1,237 @@
+"""Joins in time, order by ranges, multisets, the automaton and the vector index against plain versions."""
+
+import random
+from collections import Counter
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.operators import automaton, evaluation, multisets, order, similarity, temporal, vector_index
+
+DAY = datetime(2024, 1, 1)
+
+
+def at(minutes):
+    return DAY + timedelta(minutes=minutes)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def as_of_by_hand(left, right, same_time):
+    out = []
+    for key, t, name in left:
+        fits = [(u, v) for k, u, v in right if None not in (key, t, k, u) and k == key and (u < t or (same_time and u == t))]
+        out.append((key, t, name, max(fits, key=lambda x: (x[0], x[1] is not None, x[1]))[1] if fits else None))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("same_time", [True, False])
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_as_of_against_all_pairs(spark, same_time, partitions):
+    """Half of the rows under one key, ties in time, keys on one side only, nulls, repeated rows, over several ranges."""
+    rng = random.Random(1)
+    key = lambda: "hot" if rng.random() < 0.5 else rng.choice(["a", "b", "c", None])
+    left = [(key(), at(rng.randrange(60)) if rng.random() < 0.95 else None, f"l{rng.randrange(50)}") for _ in range(300)] + [("only left", at(5), "x")] * 3
+    right = [(key(), at(rng.randrange(60)) if rng.random() < 0.95 else None, rng.randrange(9)) for _ in range(60)] + [("only right", at(1), 1), ("hot", at(30), None)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        a, b = spark.createDataFrame(left, "k string, `the.time` timestamp, name string"), spark.createDataFrame(right, "k string, `the.time` timestamp, v int")
+        got = temporal.as_of(a, b, ["k"], "the.time", ["v"], same_time)
+        assert got.columns == ["k", "the.time", "name", "v"]
+        assert sorted(map(tuple, got.collect()), key=repr) == as_of_by_hand(left, right, same_time)
+        assert "NestedLoop" not in plan(got) and "Cartesian" not in plan(got)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_as_of_without_keys_and_without_rows(spark):
+    left = spark.createDataFrame([(1, 10), (2, 20), (3, None)], "i long, t long")
+    right = spark.createDataFrame([(5, "a"), (10, "b"), (10, "c")], "t long, v string")
+    assert sorted(map(tuple, temporal.as_of(left, right, [], "t", ["v"]).collect())) == [(1, 10, "c"), (2, 20, "c"), (3, None, None)]
+    assert [r.v for r in temporal.as_of(left, right.limit(0), [], "t", ["v"]).collect()] == [None] * 3
+    assert temporal.as_of(left.limit(0), right, [], "t", ["v"]).count() == 0
+
+
+def test_as_of_takes_the_last_by_order(spark):
+    left = spark.createDataFrame([(1, 10)], "i long, t long")
+    right = spark.createDataFrame([(10, 1, "late"), (10, 2, "early")], "t long, seq long, v string")
+    assert temporal.as_of(left, right, [], "t", ["v"], order=["seq"]).first().v == "early"
+
+
+def within_by_hand(points, spans):
+    return sorted((p, s) for p, k, t in points for s, j, b, e in spans if None not in (k, t, j, b, e) and k == j and b <= t < e)
+
+
+@pytest.mark.parametrize("max_points", [100_000, 5])
+def test_within_against_all_pairs(spark, max_points):
+    """Intervals from nothing to the whole time, one that is as long as ten thousand others, empty and turned ones, nulls."""
+    rng = random.Random(2)
+    points = [(i, rng.choice(["a", "a", "a", "b", None]), rng.randrange(-5000, 10**6) if rng.random() < 0.97 else None) for i in range(400)]
+    spans = []
+    for i in range(200):
+        b = rng.randrange(-5000, 10**6)
+        spans.append((i, rng.choice(["a", "b", None]), b, b + rng.choice([0, 1, 2, 7, 8, 9, 100, 5000, 70_000, -3])))
+    spans += [(900, "a", -(1 << 62), 1 << 61), (901, "a", points[0][2], points[0][2] + 1), (902, "b", 5, None)]
+    p, s = spark.createDataFrame(points, "p int, k string, t long"), spark.createDataFrame(spans, "s int, k string, b long, e long")
+    got = temporal.within(p, s, "t", "b", "e", ["k"], max_points)
+    assert got.columns == ["p", "k", "t", "s", "b", "e"]
+    assert sorted((r.p, r.s) for r in got.collect()) == within_by_hand(points, spans)
+    assert "NestedLoop" not in plan(got) and "Cartesian" not in plan(got)
+    free = temporal.within(p.drop("k"), s.drop("k"), "t", "b", "e", max_points=max_points)
+    assert sorted((r.p, r.s) for r in free.collect()) == within_by_hand([(p, 0, t) for p, _, t in points], [(s, 0, b, e) for s, _, b, e in spans])
+
+
+def test_long_intervals_have_few_bins(spark):
+    """A bin is in proportion to its interval: no interval is filed under more than nine."""
+    spans = spark.createDataFrame([(i, 3 * i, 3 * i + (1 << i)) for i in range(60)], "s int, b long, e long")
+    points = spark.createDataFrame([(1, 90)], "p int, t long")
+    got = temporal.within(points, spans, "t", "b", "e")
+    assert sorted(r.s for r in got.collect()) == [s for s, b, e in ((i, 3 * i, 3 * i + (1 << i)) for i in range(60)) if b <= 90 < e]
+    width = spans.select(F.greatest(F.lit(0), F.ceil(F.log2((F.col("e") - F.col("b")) / temporal.BINS))).alias("w"), "b", "e")
+    assert width.select(F.max(F.expr("shiftright(e - 1, cast(w AS INT)) - shiftright(b, cast(w AS INT)) + 1"))).first()[0] <= temporal.BINS + 1
+
+
+def test_within_of_timestamps_and_nothing(spark):
+    p = spark.createDataFrame([(1, at(5)), (2, at(10))], "p int, t timestamp")
+    s = spark.createDataFrame([(7, at(5), at(10))], "s int, b timestamp, e timestamp")
+    assert [(r.p, r.s) for r in temporal.within(p, s, "t", "b", "e").collect()] == [(1, 7)]
+    assert temporal.within(p, s.limit(0), "t", "b", "e").count() == 0 == temporal.within(p.limit(0), s, "t", "b", "e").count()
+
+
+# order by ranges
+
+
+def test_numbers_and_sums_in_order(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(30), i, rng.randrange(9) if rng.random() < 0.9 else None) for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, i int, v long").repartition(5)
+    want = sorted(rows, key=lambda r: (-r[0], r[1]))
+    by = [F.col("k").desc(), F.col("i")]
+    assert [(r.k, r.i, r.v) for r in sorted(order.numbered(df, by, "at").collect(), key=lambda r: r["at"])] == want
+    before, sums = 0, {}
+    for k, i, v in want:
+        sums[i] = before
+        before += v or 0
+    assert {r.i: r.before for r in order.summed_before(df, by, "v").collect()} == sums
+    assert order.numbered(df.limit(0), by).count() == 0
+
+
+def test_auc_by_ranges(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, *(x / 7 for x in range(40))]), int(rng.random() < 0.3)) for _ in range(600)]
+    r = evaluation.roc_auc(spark.createDataFrame(rows, "s double, y int"), "s", "y").first()
+    least = lambda s: -1.0 if s is None else s
+    pos, neg = [least(s) for s, y in rows if y], [least(s) for s, y in rows if not y]
+    assert (r.positives, r.negatives) == (len(pos), len(neg))
+    assert abs(r.auc - sum((a > b) + (a == b) / 2 for a in pos for b in neg) / len(pos) / len(neg)) < 1e-6
+    made = evaluation.roc_auc(spark.createDataFrame(rows, "s double, y int"), "s", "y")
+    assert "WindowExec" not in plan(made)
+
+
+# multisets
+
+
+def test_multisets(spark, monkeypatch):
+    rng = random.Random(5)
+    a, b = ([(rng.choice(["x", "y", None]), rng.choice([1, None])) for _ in range(n)] for n in (40, 25))
+    a += [("hot", 1)] * 95
+    b += [("hot", 1)] * 7
+    x, y = (spark.createDataFrame(r, "s string, `n.a` int") for r in (a, b))
+    for most in (10_000, 10):
+        monkeypatch.setattr(multisets, "MAX_COPIES", most)
+        assert Counter(map(tuple, multisets.surplus(x, y).collect())) == Counter(a) - Counter(b)
+        assert Counter(map(tuple, multisets.common(x, y).collect())) == Counter(a) & Counter(b)
+    assert {tuple(r) for r in multisets.balance(x, y).collect()} == {(*k, Counter(a)[k], Counter(b)[k]) for k in {*a, *b}}
+    assert multisets.surplus(x.limit(0), y).count() == 0 and multisets.common(x, y.limit(0)).count() == 0
+
+
+def test_lines(spark):
+    df = spark.createDataFrame([("a\n\nb",), (None,), ("",)], "text string")
+    assert Counter(r.line for r in multisets.lines(df).collect()) == Counter(["a", "", "b", None, ""])
+
+
+# many texts in one pass
+
+
+@pytest.mark.parametrize("max_bytes", [1 << 20, 500])
+def test_contained_by_automata_and_by_keys(spark, max_bytes):
+    """Texts within texts, overlapping ones, of one character, across lines, equal ones of two items; documents are whole."""
+    rng = random.Random(6)
+    docs = [(i, "".join(rng.choice("ab \n") for _ in range(rng.randint(0, 60)))) for i in range(80)] + [(90, None), (91, "é😀b " * 3000 + "needle at the end"), (92, ""), (5, "aa bb aa")]
+    known = {("".join(rng.choice("ab \n") for _ in range(rng.randint(1, 9)))) for _ in range(60)} | {"a", "😀b", "needle at", "at the", "not there at all"}
+    items = [(i, k) for i, k in enumerate(sorted(known))] + [(500, "needle at"), (501, None), (502, "")]
+    want = {(i, d) for i, k in items if k for d, t in docs if t and k in t}
+    d, k = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = similarity.contained(d, k, max_bytes)
+    rows = [tuple(r) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    assert "NestedLoop" not in plan(got)
+
+
+def test_slices_of_automata(spark):
+    docs = spark.createDataFrame([(1, "abcabc"), (2, "xyz")], "doc_id long, text string")
+    known = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "bc", "z", "q", "ca"])], "known_key long, known string")
+    want = {(0, 1), (1, 1), (2, 2), (4, 1)}
+    for most in (1 << 20, 40, 1):
+        assert {tuple(r) for r in automaton.found(docs, known, max_bytes=most).collect()} == want
+    assert automaton.found(docs, known.limit(0)).count() == 0
+
+
+def test_broadcasts_are_measured(spark, monkeypatch):
+    df = spark.createDataFrame([("é" * 10, [1, 2], 5), (None, None, None)], "s string, a array<long>, n int")
+    assert similarity.bytes_of(df) == 2 * 16 + 20 + 16 + 8 + 8
+    for most, hinted in ((similarity.bytes_of(df), True), (similarity.bytes_of(df) - 1, False)):
+        monkeypatch.setattr(similarity, "MAX_BROADCAST", most)
+        assert ("strategy=broadcast" in similarity._known(df)._jdf.queryExecution().analyzed().toString()) == hinted
+
+
+# vectors by an index
+
+
+def test_index_recall(spark):
+    """Of the five nearest by all rows the index finds nine in ten, in three fifths of its lists."""
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    exact = {(r.query_id, r.vec_id) for r in similarity.neighbours(vectors, step=5).collect()}
+    index = vector_index.built(vectors)
+    lists = len(index.centroids)
+    got = vector_index.searched(index, index.rows.where("vec_id % 5 = 0"), probes=-(-3 * lists // 5)).collect()
+    assert index.rows.count() == vectors.count() and lists == 44
+    assert len({(r.query_id, r.vec_id) for r in got} & exact) >= 0.9 * len(exact) == 450
+
+
+def test_index_of_clusters(spark):
+    """Where vectors gather, a tenth of the lists has nearly all of the nearest."""
+    rng = random.Random(8)
+    centres = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(40)]
+    df = spark.createDataFrame([(i, [c + rng.gauss(0, 0.2) for c in centres[i % 40]]) for i in range(1600)], "vec_id long, embedding array<float>")
+    exact = {(r.query_id, r.vec_id) for r in similarity.neighbours(df, step=10).collect()}
+    index = vector_index.built(df, sample=800)
+    got = vector_index.searched(index, index.rows.where("vec_id % 10 = 0"), probes=8).collect()
+    assert len(index.centroids) == 80 and len({(r.query_id, r.vec_id) for r in got} & exact) >= 0.95 * len(exact)
+
+
+def test_index_shares(spark):
+    """With every list probed the index is exact, whatever shares lists and queries are dealt in."""
+    rng = random.Random(7)
+    rows = [(i, [rng.gauss(i % 4, 1) for _ in range(6)]) for i in range(200)] + [(i, [1.0] * 6) for i in range(200, 260)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    exact = sorted(map(tuple, similarity.neighbours(df, k=4, step=10).collect()))
+    index = vector_index.built(df, lists=5)
+    for shares in ({}, {"max_share": 17, "max_queries": 3}):
+        got = vector_index.searched(index, index.rows.where("vec_id % 10 = 0"), k=4, probes=5, **shares)
+        assert [r[:3] for r in sorted(map(tuple, got.collect()))] == [r[:3] for r in exact]
+
+
+def test_index_of_odd_vectors(spark):
+    df = spark.createDataFrame([(1, None), (2, [1.0, None]), (3, [0.0, 0.0]), (4, [1.0, 0.0]), (5, [1.0, 0.1]), (None, [1.0, 1.0]), (6, [1.0])], "vec_id long, embedding array<double>")
+    index = vector_index.built(df)
+    got = vector_index.searched(index, index.rows, k=1, probes=9).collect()
+    assert {r.query_id: r.vec_id for r in got if r.query_id in (4, 5)} == {4: 5, 5: 4}
+    empty = vector_index.built(df.limit(0))
+    assert vector_index.searched(empty, empty.rows).count() == 0
