@@ -5,24 +5,25 @@ menus, forms, adverts, comments and the like there. "side": within such containe
 neither. An <article> within such a container, as teasers are, is "main" only where there is
 nothing main or open.
 
-Every page enters its host's token streams. Side and open blocks enter word by word, main blocks
-as one token each. A suffix array by induced sorting finds the token runs that repeat on distinct
-pages of the host: `min_tokens` or more, or shorter blocks as wholes. A run is boilerplate
+Every page enters its host's token streams, word by word, all blocks of it. A suffix array by induced sorting finds
+the token runs that repeat on distinct pages of the host: `min_tokens` or more, or shorter blocks as wholes. A
+run is boilerplate
 - in open blocks, on at least MIN_PAGES pages and MIN_SHARE of the host's;
-- in main blocks, where the structure speaks against it, if a whole block is on at least
-  MAIN_PAGES pages and MAIN_SHARE of the host's. Less is no evidence there: sites show the same
-  article twice, and articles share sentences.
+- in main blocks, where the structure speaks against it, on at least MAIN_PAGES pages and MAIN_SHARE of
+  the host's. Less is no evidence there: sites show the same article twice, and articles share sentences.
 The text of a page is its main blocks, or where it has none its open blocks, without boilerplate;
 unique runs stay. Side blocks never are text, and serve as evidence. Exact copies of a page count
 as one.
 
-Scale: a block that pages of a host share enters the streams once, with its number of pages. A
-window's pages are the sum over its blocks; where blocks of one page share a window, the page
-also gives the run with a negative number, so that the sum counts it once. The streams are sharded
-by the anchors of their token windows (the least-hashed token of a window), so a window meets its
-equals in one shard and a host may fill any number of them. Pages are not shuffled: marks on blocks
-that could be text are sent to all tasks, up to `max_marks`, and beyond that join the pages by
-row number.
+Scale: a window of `min_tokens` tokens has an anchor, the least-hashed of its GRAM-token grams, and a window on so many
+pages has an anchor on as many. So pages first give the hashes of their anchors, which are counted, and only windows
+with frequent anchors go on, as contexts (windows in a row that share an anchor, with their tokens). A block that
+pages share goes on once, with its number of pages. A window's pages are the sum over its blocks; where
+blocks of one page share a window, the page also gives the run with a negative number, so that the sum counts
+it once. Contexts are sharded by anchor; those of an anchor with more than HOT contexts are compared window by window,
+by the windows' hashes, so a host may fill any number of shards and so may one anchor. Pages are not shuffled:
+marks on blocks that could be text are sent to all tasks, up to `max_marks` bytes, and beyond that join the pages
+by row number.
 
 Defined results: null and empty html give empty text; a null url is a host of its own; rows
 that repeat an id are extracted one by one; unclosed tags end with their container (scripts, styles, titles,
@@ -36,7 +37,7 @@ from __future__ import annotations
 import hashlib
 import html as html_module
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,7 +48,9 @@ from pyspark.sql import functions as F
 from millrace.llm.common import table, written
 from millrace.llm.suffix import suffix_array
 
-MIN_TOKENS, SHARD_TOKENS, MAX_MARKS, QUOTE_FAILURES = 30, 2_000_000, 100_000, 20
+MIN_TOKENS, GRAM, SHARD_TOKENS, HOT, QUOTE_FAILURES = 30, 8, 2_000_000, 20_000, 20
+#: Bytes of marks that are sent to all tasks, and frequent anchors that are, at the most.
+MAX_MARKS, MAX_ANCHORS = 16_000_000, 1_000_000
 #: Host boilerplate is on so many distinct pages of its host at least, and on such a share of them.
 MIN_PAGES, MIN_SHARE = 3, 0.1
 MAIN_PAGES, MAIN_SHARE = 5, 0.5
@@ -56,7 +59,7 @@ _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9-]*)")
 _PLAIN = re.compile(r"[^>\"']*+")
 #: Elements whose content is no markup (fixed values).
 _RAW = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in ("script", "style", "textarea", "title", "iframe")}
-_SAME = {name: re.compile(rf"</?{name}\b", re.IGNORECASE) for name in "noscript template svg object select math canvas video audio".split()}
+_SAME = {name: re.compile(rf"</?{name}\b", re.IGNORECASE) for name in "noscript template svg object select canvas video audio".split()}
 _HEAD_END = re.compile(r"(</head\s*>)|<body\b", re.IGNORECASE)
 #: Fixed lists of HTML. _SKIPPED elements hold no text of the page.
 _SKIPPED = frozenset(_SAME)
@@ -251,10 +254,10 @@ def page_blocks(page: str) -> list[tuple[str, str]]:
         if side and (block or tag in _INLINE_HOLDERS):
             if not block:
                 flush()
-            push(tag, "side")
-        elif tag == "article" and zone in ("side", "inner") and not seen_main and stack and stack[-1][2]:
+            push(tag, "form" if tag == "form" and zone == "open" else "side")
+        elif tag == "article" and zone in ("side", "form", "inner") and not seen_main and stack and stack[-1][2]:
             push(tag, "inner")
-        elif is_main and (zone not in ("side", "inner") or not seen_main):
+        elif is_main and (zone not in ("side", "form", "inner") or not seen_main):
             seen_main = True
             push(tag, "main")
         elif block:
@@ -263,8 +266,10 @@ def page_blocks(page: str) -> list[tuple[str, str]]:
         parts.append(page[at:])
     flush()
     zones = {z for z, _ in out}
-    found = "main" if not zones & {"main", "open"} else "side"
-    return [(found if z == "inner" else z, t) for z, t in out]
+    found = {"inner": "side", "form": "side"}
+    if not zones & {"main", "open"}:  # an article within a side container, or else what stands in a form around the page
+        found = {"inner": "main", "form": "side" if "inner" in zones else "open"}
+    return [(found.get(z, z), t) for z, t in out]
 
 
 def main_text(page: str | None) -> str:
@@ -278,84 +283,137 @@ def _hash(*parts: str | None) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(p if p is not None else "\1" for p in parts).encode(errors="surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+_met: dict[str, int] = {}
+
+
+def _tokens(text: str) -> np.ndarray:
+    """64-bit hashes of a block's tokens; a worker keeps those of half a million."""
+    import xxhash
+
+    if len(_met) > 500_000:
+        _met.clear()
+    tokens = text.split(" ")
+    for t in set(tokens) - _met.keys():
+        _met[t] = xxhash.xxh64_intdigest(t.encode(errors="surrogatepass"))
+    return np.fromiter(map(_met.__getitem__, tokens), np.uint64, len(tokens))
+
+
+def _stir(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _grams(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of each `size` tokens in a row, by doubling; the last step overlaps."""
+    n = 1
+    while n < size and len(h):
+        step = min(n, size - n)
+        h = _stir(h[:-step] * np.uint64(0x9E3779B97F4A7C15) + h[step:]) if len(h) > step else h[:0]
+        n += step
+    return h
+
+
 def _shared_runs(blocks: set[str], width: int) -> Iterator[tuple[str, int]]:
     """(run, times too many): runs of token windows that several of a page's blocks hold, each window in one run."""
-    lists = [t for t in (b.split(" ") for b in blocks) if len(t) >= width]
+    lists = [b for b in blocks if b.count(" ") >= width - 1]
     if len(lists) < 2:
         return
-    windows = [[tuple(t[i : i + width]) for i in range(len(t) - width + 1)] for t in lists]
-    times = Counter(w for x in windows for w in set(x))
-    done = set()
-    for tokens, own in zip(lists, windows, strict=True):
-        at = 0
-        while at < len(own):
-            n, start = times[own[at]], at
-            while n > 1 and at < len(own) and times[own[at]] == n and own[at] not in done:
-                done.add(own[at])
-                at += 1
-            if at > start:
-                yield " ".join(tokens[start : at - 1 + width]), n - 1
-            else:
-                at += 1
+    windows = [_grams(_tokens(b), width) for b in lists]
+    every, times = np.unique(np.concatenate([np.unique(w) for w in windows]), return_counts=True)
+    if times.max() < 2:
+        return
+    done = np.zeros(len(every), bool)
+    for text, own in zip(lists, windows, strict=True):
+        which = np.searchsorted(every, own)
+        first = np.zeros(len(own), bool)
+        first[np.unique(which, return_index=True)[1]] = True
+        take = (times[which] > 1) & first & ~done[which]
+        done[which] = True
+        at = np.flatnonzero(take)
+        if not len(at):
+            continue
+        tokens = text.split(" ")
+        for run in np.split(at, np.flatnonzero((np.diff(at) > 1) | (np.diff(times[which[at]]) != 0)) + 1):
+            yield " ".join(tokens[run[0] : run[-1] + width]), int(times[which[run[0]]]) - 1
+
 
+#: Zones of blocks that could be a page's text, and what they weigh as evidence against a run.
+_OPEN, _MAIN = 1, 2
 
-def _token(text: str) -> str:
-    """A main block as one token, which no word is."""
-    return f"\0{_hash(text):x}"
 
+def _page_streams(page: str, width: int) -> list[tuple[str, int, int]]:
+    """(text, times, zones it could be text in) of each of the page's distinct blocks, and of runs that several share, with times below 0."""
+    blocks = page_blocks(page)
+    main = any(z == "main" for z, _ in blocks)
+    zones: dict[str, int] = {}
+    for z, t in blocks:
+        zones[t] = zones.get(t, 0) | (_MAIN if z == "main" else _OPEN if z == "open" and not main else 0)
+    times = Counter(dict.fromkeys(zones, 1))
+    for run, n in _shared_runs(set(zones), width):
+        times[run] -= n
+    return [(t, n, zones.get(t, 0)) for t, n in times.items() if n or zones.get(t)]
+
+
+def _contexts(blocks: list[str], width: int) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
+    """(block, first window, last window, anchor, tokens) of windows in a row that share their anchor, the leftmost gram of least hash."""
+    gram = min(GRAM, width)
+    for k, text in enumerate(blocks):
+        h = _tokens(text)
+        if len(h) < width:
+            continue
+        g = _grams(h, gram)
+        ranked = (g & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(g), dtype=np.uint64)
+        least = np.lib.stride_tricks.sliding_window_view(ranked, width - gram + 1).min(1)
+        starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+        anchors = g[(least[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)].view(np.int64)
+        for lo, hi, a in zip(starts.tolist(), np.append(starts[1:], len(least)).tolist(), anchors.tolist(), strict=True):
+            yield k, lo, hi - 1, a, h[lo : hi - 1 + width]
 
-def _block_rows(width: int):
+
+def _within(host: int, anchor: int) -> int:
+    """An anchor's name in its host."""
+    return (anchor * 0x2545F4914F6CDD1D + host * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 63)
+
+
+def _count_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks of pages, each once a page: host, hash with the host, block, times on the page, whether it could be text, hash of the page."""
+        """(host, key, copy, times, zones): a page's blocks by hash of host and text, and its anchors, each once."""
         for b in batches:
             rows = []
             for host, page, copy in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                blocks = page_blocks(page)
-                kept = {t for z, t in blocks if z == "open"} if all(z != "main" for z, _ in blocks) else set()
-                own = {t for z, t in blocks if z != "main"}
-                times = Counter(own)
-                for run_, n in _shared_runs(own, width):
-                    times[run_] -= n
-                rows += [(host, _hash(host, t), t, n, t in kept, copy) for t, n in times.items() if n]
-                rows += [(host, _hash(host, t), t, 1, True, copy) for t in {_token(t) for z, t in blocks if z == "main"}]
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["host", "hash", "block", "times", "kept", "copy"])
+                of = _hash(host)
+                streams = _page_streams(page, width)
+                rows += [(of, _hash(host, t), copy, n, z) for t, n, z in streams]
+                seen: dict[int, int] = defaultdict(int)
+                for k, _, _, anchor, _ in _contexts([t for t, _, _ in streams], width):
+                    seen[_within(of, anchor)] |= streams[k][2]
+                rows += [(of, a, copy, 1, z) for a, z in seen.items()]
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "key", "copy", "times", "zones"])
 
     return run
 
 
-def windows_by_anchor(tokens: list[int], width: int) -> Iterator[tuple[int, int, int]]:
-    """(anchor, first window, last window): runs of windows whose least token, leftmost, is the same one."""
-    h = np.array(tokens, np.int64)
-    if len(h) < width:
-        return
-    view = np.lib.stride_tricks.sliding_window_view(h, width)
-    place = view.argmin(1) + np.arange(len(view))
-    starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    for lo, hi in zip(starts.tolist(), np.append(starts[1:], len(place)).tolist(), strict=True):
-        yield int(h[place[lo]]), lo, hi - 1
-
-
-def _context_rows(width: int, shards: int):
+def _context_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(host, key, block, start, zones, tokens): contexts under their anchors, blocks shorter than a window under themselves."""
         for b in batches:
-            out = []
-            for host, block, pages, need in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                tokens = [_hash(t) for t in block.split(" ")]
-                of, host_ = _hash(host, block), _hash(host)
-                if len(tokens) < width:  # shorter than a window: its own window, compared as a whole
-                    out.append((_hash(host, block) % shards, host_, of, 0, pages, need, [len(tokens), *tokens]))
-                for anchor, lo, hi in windows_by_anchor(tokens, width):
-                    out.append(((anchor ^ host_) % shards, host_, of, lo, pages, need, tokens[lo : hi + width]))
-            names = ["shard", "host", "block", "start", "pages", "need", "tokens"]
-            kinds = [pa.int32(), *[pa.int64()] * 3, *[pa.float64()] * 2, pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+            rows = []
+            for host, page in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                of, streams = _hash(host), _page_streams(page, width)
+                names = [_hash(host, t) for t, _, _ in streams]
+                rows += [(of, names[k], names[k], 0, z, _tokens(t).tobytes()) for k, (t, _, z) in enumerate(streams) if t.count(" ") < width - 1]
+                rows += [(of, _within(of, a), names[k], lo, streams[k][2], h.tobytes()) for k, lo, _, a, h in _contexts([t for t, _, _ in streams], width)]
+            columns = zip(*rows, strict=True) if rows else [[]] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "key", "block", "start", "zones", "tokens"])
 
     return run
 
 
-def repeated_runs(host: np.ndarray, block: np.ndarray, start: np.ndarray, pages: np.ndarray, need_pages: np.ndarray, lists: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(block, start, end) of token windows on so many pages of a host as are needed."""
+def repeated_runs(host: np.ndarray, block: np.ndarray, start: np.ndarray, pages: np.ndarray, lists: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end, pages) of the token windows of each row, with the pages of their host that they are on."""
     sizes = np.array([len(x) for x in lists])
     string = np.zeros(int(sizes.sum()) + len(lists) + 1, np.int64)
     begin = np.cumsum(sizes + 1) - sizes - 1
@@ -375,7 +433,7 @@ def repeated_runs(host: np.ndarray, block: np.ndarray, start: np.ndarray, pages:
     valid[-1] = False
     place = sa[valid[sa]]
     if not len(place):
-        return (np.zeros(0, np.int64),) * 3
+        return (np.zeros(0, np.int64),) * 4
     # permuted common prefixes as far as a window reaches, then the same host
     same = np.ones(len(place), bool)
     same[0] = False
@@ -391,19 +449,29 @@ def repeated_runs(host: np.ndarray, block: np.ndarray, start: np.ndarray, pages:
     by_block = block[of[place]][order]
     again = np.concatenate([[False], by_block[1:] == by_block[:-1]]) & ~new  # a block counts once
     on = np.add.reduceat(np.where(again, 0.0, pages[of[place]][order]), cuts)
-    hit = np.repeat(on > need_pages[of[place]][order][cuts] - 1e-6, np.diff(np.append(cuts, len(place))))
-    c, where = of[place][order][hit], at[place][order][hit]
+    c, where = of[place][order], at[place][order]
     begin_ = start[c] + where
-    return block[c], begin_, begin_ + np.where(short[c], sizes[c], width)
+    return c, begin_, begin_ + np.where(short[c], sizes[c], width), np.repeat(on, np.diff(np.append(cuts, len(place))))
+
+
+_MARKS = "block long, start long, end long, main boolean"
+
+
+def _marked(block: np.ndarray, start: np.ndarray, end: np.ndarray, on: np.ndarray, need: np.ndarray, need_main: np.ndarray, zones: np.ndarray) -> pa.RecordBatch:
+    """The runs that are on so many pages as one of their block's zones asks for; main: whether that's enough in main blocks."""
+    main = on > need_main - 1e-6
+    hit = ((zones & _OPEN > 0) & (on > need - 1e-6)) | ((zones & _MAIN > 0) & main)
+    return pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (block, start, end, main)], names=["block", "start", "end", "main"])
 
 
 def _mark_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def marks(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(rows).combine_chunks()
-            lists = [np.asarray(x.values.to_numpy(zero_copy_only=False)) for x in t["tokens"]]
-            columns = [t[c].to_numpy() for c in ("host", "block", "start", "pages", "need")]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in repeated_runs(*columns, lists, width)], names=["block", "start", "end"])
+            lists = [np.frombuffer(x.as_buffer(), np.int64) for x in t["tokens"]]
+            host, block, start, pages, need, need_main, zones = (t[c].to_numpy() for c in ("host", "block", "start", "pages", "need", "need_main", "zones"))
+            row, begin, end, on = repeated_runs(host, block, start, pages, lists, width)
+            return _marked(block[row], begin, end, on, need[row], need_main[row], zones[row])
 
         held: list[pa.RecordBatch] = []
         for b in batches:
@@ -421,49 +489,95 @@ def _mark_rows(width: int):
     return run
 
 
-def host_boilerplate(pages: DataFrame, width: int = MIN_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """(block, runs): for blocks of (_host, _html) that could be text, by hash of host and text, the token runs their host repeats."""
+def _window_rows(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Contexts to their windows: the row, the window's place, and its 128-bit hash with the host."""
+        for b in batches:
+            rows, places, digests = [], [], []
+            for i, (host, start, tokens) in enumerate(zip(b.column("host").to_pylist(), b.column("start").to_pylist(), b.column("tokens"), strict=True)):
+                data, of = memoryview(tokens.as_buffer()), host.to_bytes(8, "little", signed=True)
+                for at in range(max(1, len(data) // 8 - width + 1)):
+                    rows.append(i)
+                    places.append(start + at)
+                    digests.append(hashlib.blake2b(data[8 * at : 8 * (at + width)], digest_size=16, key=of).digest())
+            names = ["block", "pages", "need", "need_main", "zones"]
+            kept = [b.column(c).take(pa.array(rows, pa.int64())) for c in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(places, pa.int64()), pa.array(digests, pa.binary())], names=[*names, "start", "window"])
+
+    return run
+
+
+def _by_windows(hot: DataFrame, width: int) -> DataFrame:
+    """Marks of contexts whose anchor has very many, by the sums over equal windows."""
+    each = hot.mapInArrow(_window_rows(width), "block long, pages double, need double, need_main double, zones int, start long, window binary")
+    each = written(each, "windows")
+    on = each.select("window", "block", "pages").distinct().groupBy("window").agg(F.sum("pages").alias("on"))
+    main = F.col("on") > F.col("need_main") - 1e-6
+    hit = (F.col("zones").bitwiseAND(_OPEN) > 0) & (F.col("on") > F.col("need") - 1e-6) | (F.col("zones").bitwiseAND(_MAIN) > 0) & main
+    return each.join(on, "window").where(hit).select("block", "start", (F.col("start") + width).alias("end"), main.alias("main"))
+
+
+def host_boilerplate(pages: DataFrame, width: int = MIN_TOKENS, shard_tokens: int = SHARD_TOKENS, hot: int = HOT, max_anchors: int = MAX_ANCHORS) -> DataFrame:
+    """(block, runs: array of start, end, main): for blocks of (_host, _html) that could be text, by hash of host and text, the token runs their host repeats."""
     pages = pages.select("_host", "_html", F.xxhash64("_host", "_html").alias("_copy"))
-    need = lambda n, share: F.greatest(F.lit(float(n)), share * F.count("*"))
-    hosts = written(pages.select("_host", "_copy").distinct().groupBy("_host").agg(need(MIN_PAGES, MIN_SHARE).alias("need"), need(MAIN_PAGES, MAIN_SHARE).alias("need_main")), "hosts")
-    seen = pages.mapInArrow(_block_rows(width), "host string, hash long, block string, times long, kept boolean, copy long")
+    seen = pages.mapInArrow(_count_rows(width), "host long, key long, copy long, times int, zones int")
     # copies of a page have the same blocks, and count once
-    once = seen.groupBy("host", "hash", "copy").agg(F.first("block").alias("block"), F.first("times").alias("times"), F.first("kept").alias("kept"))
-    blocks = once.groupBy("host", "hash").agg(F.first("block").alias("block"), F.sum("times").cast("double").alias("pages"), F.max("kept").alias("kept"))
-    is_main = F.col("block").startswith("\0")
-    known = blocks.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).where(~is_main | (F.col("pages") > F.col("need_main") - 1e-6))
-    distinct = written(known.select("host", "hash", "block", "pages", F.when(is_main, F.col("need_main")).otherwise(F.col("need")).alias("need"), "kept"), "blocks")
-    total = distinct.agg(F.sum(F.length("block"))).first()[0] or 0
-    shards = max(1, -(-total // (6 * shard_tokens)))
-    rows = distinct.select("host", "block", "pages", "need").mapInArrow(_context_rows(width, shards), "shard int, host long, block long, start long, pages double, need double, tokens array<long>")
-    found = rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(_mark_rows(width), "block long, start long, end long")
-    marks = found.groupBy("block").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
-    return marks.join(distinct.where("kept").select(F.col("hash").alias("block")).distinct(), "block", "left_semi")
+    once = seen.groupBy("host", "key", "copy").agg(F.first("times").alias("times"), F.first("zones").alias("zones"))
+    counted = once.groupBy("host", "key").agg(F.sum("times").cast("double").alias("pages"), F.bit_or("zones").alias("zones"))
+    need = lambda n, share: F.greatest(F.lit(float(n)), share * F.count("*"))
+    hosts = pages.select("_host", "_copy").mapInArrow(_host_rows, "host long, copy long").distinct().groupBy("host").agg(need(MIN_PAGES, MIN_SHARE).alias("need"), need(MAIN_PAGES, MAIN_SHARE).alias("need_main"))
+    hosts = written(hosts, "hosts")
+    counted = written(counted, "counts")
+    common = counted.where(F.col("pages") > min(MIN_PAGES, MAIN_PAGES) - 0.5).join(hosts, "host")
+    enough = (F.col("zones").bitwiseAND(_OPEN) > 0) & (F.col("pages") > F.col("need") - 1e-6) | (F.col("zones").bitwiseAND(_MAIN) > 0) & (F.col("pages") > F.col("need_main") - 1e-6)
+    frequent = written(common.where(enough).select("key"), "anchors")
+    n = frequent.count()
+    if not n:
+        return pages.sparkSession.createDataFrame([], "block long, runs array<struct<start:bigint,end:bigint,main:boolean>>")
+    met = pages.select("_host", "_html").mapInArrow(_context_rows(width), "host long, key long, block long, start long, zones int, tokens binary")
+    met = met.join(F.broadcast(frequent) if n <= max_anchors else frequent, "key", "left_semi")
+    alike = met.groupBy("host", "key", "block", "start").agg(F.bit_or("zones").alias("zones"), F.first("tokens").alias("tokens"))
+    numbers = counted.select(F.col("key").alias("block"), "pages")
+    distinct = written(alike.join(numbers, "block").join(hosts, "host"), "contexts")
+    crowded = written(distinct.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key"), "hot-anchors")
+    total = distinct.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
+    shards = max(1, -(-total // (8 * shard_tokens)))
+    columns = ["host", "block", "start", "pages", "need", "need_main", "zones", "tokens"]
+    rows = distinct.join(crowded, "key", "left_anti").select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), *columns)
+    found = rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(_mark_rows(width), _MARKS)
+    if not crowded.isEmpty():
+        found = found.unionByName(_by_windows(distinct.join(crowded, "key", "left_semi").select(columns), width))
+    return found.groupBy("block").agg(F.collect_set(F.struct("start", "end", "main")).alias("runs"))
+
+
+def _host_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A page's host by its hash, and the page's."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([_hash(h) for h in b.column(0).to_pylist()], pa.int64()), b.column(1)], names=["host", "copy"])
 
 
 def _text(host: str | None, page: str, runs_of: dict[int, list]) -> str:
     """The page's main blocks, or its open ones, without the marked runs."""
     blocks = page_blocks(page)
-    main = [t for z, t in blocks if z == "main"]
-    if not runs_of:
-        return "\n".join(main or [t for z, t in blocks if z == "open"])
-    if main:
-        return "\n".join(t for t in main if _hash(host, _token(t)) not in runs_of)
+    zone = "main" if any(z == "main" for z, _ in blocks) else "open"
     out = []
-    for zone, text in blocks:
-        runs = runs_of.get(_hash(host, text)) if zone == "open" else None
+    for z, text in blocks:
+        if z != zone:
+            continue
+        runs = runs_of.get(_hash(host, text)) if runs_of else None
         if runs:
             tokens = text.split(" ")
-            for start, end in runs:
-                tokens[start:end] = [""] * (end - start)
+            for start, end, main in runs:
+                if main or zone == "open":
+                    tokens[start:end] = [""] * (end - start)
             text = " ".join(t for t in tokens if t)
-        if zone == "open" and text:
+        if text:
             out.append(text)
     return "\n".join(out)
 
 
 def _runs(marks: list[dict]) -> dict[int, list]:
-    return {m["block"]: [(r["start"], r["end"]) for r in m["runs"]] for m in marks}
+    return {m["block"]: [(r["start"], r["end"], r["main"]) for r in m["runs"]] for m in marks}
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", width: int = MIN_TOKENS, max_marks: int = MAX_MARKS) -> DataFrame:
@@ -473,7 +587,8 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     whole = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), host.alias("_host"), F.coalesce(F.col(html), F.lit("")).alias("_html"))
     schema = f"{key} {kind}, {url} string, text string"
     marks = written(host_boilerplate(whole, width), "marks")
-    if marks.count() <= max_marks:
+    # a run takes 24 bytes, a block 16
+    if (marks.agg(F.sum(24 * F.size("runs") + 16)).first()[0] or 0) <= max_marks:
         runs_of = _runs([r.asDict(recursive=True) for r in marks.collect()])
 
         def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -485,7 +600,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
     def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(row, _hash(h, _token(t) if z == "main" else t)) for row, h, x in zip(*(c.to_pylist() for c in b.columns), strict=True) for z, t in page_blocks(x) if z != "side"]
+            rows = [(row, _hash(h, t)) for row, h, x in zip(*(c.to_pylist() for c in b.columns), strict=True) for z, t in page_blocks(x) if z != "side"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["_row", "block"])
 
     def marked_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import html_extract, pii, quality_model
 from millrace.llm.common import table, written
@@ -332,6 +333,107 @@ def test_host_streams_agree_with_a_plain_search(spark):
         assert got[i] == "\n".join(x for x in out if x), i
 
 
+def windows_by_hand(words, width):
+    t = words.split()
+    return {tuple(t)} if len(t) < width else {tuple(t[k : k + width]) for k in range(len(t) - width + 1)}
+
+
+def without_shared(words, others, width, need):
+    t, gone = words.split(), set()
+    for k in range(max(1, len(t) - width + 1)):
+        win = tuple(t[k : k + width]) if len(t) >= width else tuple(t)
+        if sum(win in o for o in others) >= need:
+            gone |= set(range(k, k + len(win)))
+    return " ".join(x for k, x in enumerate(t) if k not in gone)
+
+
+@pytest.mark.parametrize("hot", [20_000, 0])
+def test_templates_within_articles_go(spark, monkeypatch, hot):
+    """Runs within the paragraphs of articles on half of a host's pages go, whatever stands around them, and others stay: as a search of all
+    windows finds. With hot=0 each anchor is compared window by window."""
+    whole = html_extract.host_boilerplate
+    monkeypatch.setattr(html_extract, "host_boilerplate", lambda pages, width: whole(pages, width, hot=hot))
+    rng, width = random.Random(13), 6
+    say = lambda n: " ".join(rng.choice("uvwxyz") + str(rng.randrange(10**6)) for _ in range(n))
+    shared = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(40)) for _ in range(n)) for n in (9, 30, 4, 14)]
+    pages = []
+    for i in range(40):
+        words = [say(rng.randint(1, 15)) for _ in range(4)]
+        for x, often in zip(shared, (0.9, 0.7, 0.8, 0.3), strict=True):
+            if rng.random() < often:
+                k = rng.randrange(4)
+                words[k] = f"{words[k]} {x} {say(2)}" if len(x.split()) >= width else words[k]
+                words += [x] if len(x.split()) < width else []
+        pages.append((i % 2, words))
+    shape = "<body><nav>Home of all</nav><article>{}</article></body>"
+    df = spark.createDataFrame([(i, f"http://h{h}.com/", shape.format("".join(f"<p>{w}</p>" for w in ws))) for i, (h, ws) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(df, width=width).collect()}
+    changed = 0
+    for i, (h, ws) in enumerate(pages):
+        own = [set().union(*(windows_by_hand(w, width) for w in q)) for g, q in pages if g == h]
+        want = "\n".join(x for x in (without_shared(w, own, width, len(own) / 2) for w in ws) if x)
+        assert got[i] == want, i
+        changed += want != "\n".join(ws)
+    assert changed > 30
+
+
+def test_crowded_anchors_are_spread(spark):
+    """One passage in a different paragraph of each of 600 pages: its contexts share anchors, and no window's comparison holds more than its equals."""
+    passage = " ".join(f"p{j}" for j in range(40))
+    pages = [(i, "http://a.com/", f"<article><p>start{i} {passage} end{i}</p></article>") for i in range(600)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    marks = {}
+    for hot in (20_000, 100):
+        rows = html_extract.host_boilerplate(df.select(F.lit("a.com").alias("_host"), F.col("html").alias("_html")), 30, hot=hot).collect()
+        marks[hot] = {r.block: sorted(map(tuple, r.runs)) for r in rows}
+    assert marks[20_000] == marks[100] and len(marks[100]) == 600
+    assert all(r == [(k, k + 30, True) for k in range(1, 12)] for r in marks[100].values())
+
+
+def test_anchors_of_windows():
+    """Each window is in one context, and equal windows have equal anchors wherever they stand."""
+    rng = random.Random(14)
+    a = " ".join(str(rng.randrange(50)) for _ in range(400))
+    b = f"x y z {' '.join(a.split()[100:200])} q"
+    found = {}
+    for k, lo, hi, anchor, h in html_extract._contexts([a, b, "too short"], 30):
+        assert len(h) == hi - lo + 30
+        for w in range(lo, hi + 1):
+            assert (k, w) not in found
+            found[k, w] = anchor, h[w - lo : w - lo + 30].tobytes()
+    assert len(found) == 371 + 75
+    by_window = {}
+    for anchor, window in found.values():
+        assert by_window.setdefault(window, anchor) == anchor
+    assert all(found[1, 3 + k] == found[0, 100 + k] for k in range(71))
+
+
+def test_a_block_that_another_holds_is_marked_too(spark):
+    """A page has the run alone and within another paragraph: it counts once, and both go."""
+    run = " ".join(f"r{j}" for j in range(31))
+    page = "<body><div>{0} {1}</div><div>{1}</div><div>own {0}</div></body>"
+    df = spark.createDataFrame([(i, "http://a.com/", page.format(f"n{i}", run)) for i in range(3)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == {i: f"n{i}\nown n{i}" for i in range(3)}
+
+
+def test_formulas_and_forms():
+    assert html_extract.main_text("<article><p>energy <math><mi>E</mi><mo>=</mo><mi>m</mi></math> end</p></article>") == "energy E=m end"
+    assert html_extract.main_text("<body><form><div>all of it</div><nav>n</nav></form></body>") == "all of it"
+    assert html_extract.main_text("<body><p>text</p><form><div>field</div></form></body>") == "text"
+    assert html_extract.main_text("<body><form><div>d</div><article>x</article></form></body>") == "x"
+
+
+def test_shared_runs_of_long_pages_are_bounded():
+    import tracemalloc
+
+    text = " ".join(f"t{j}" for j in range(100_000))
+    html_extract._tokens(text)
+    tracemalloc.start()
+    assert list(html_extract._shared_runs({text, f"{text} x"}, 30)) == [(text, 1)]
+    assert tracemalloc.get_traced_memory()[1] < 40_000_000
+    tracemalloc.stop()
+
+
 def test_class_words_in_an_article():
     inner = '<p class="social">One.</p><p class="related-work">Two.</p><div class="notification-study">Three.</div><h2 class="menu">Four.</h2><section id="search-methods">Five.</section>'
     side = '<div class="ad-box">x</div><p class="ads">x</p><div class="social-share-buttons">x</div><ul class="related-links"><li>x</ul><div id="comments2">x</div><div class="newsletterSignup box">x</div><p hidden>x</p>'
