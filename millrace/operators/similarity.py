@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,22 +88,44 @@ def _by_keys(docs: DataFrame, texts: DataFrame) -> DataFrame:
     return found.where(F.col("text").contains(F.col("known"))).select("known_key", "doc_id")
 
 
-def _grams(df: DataFrame, key: str, n: int, gram) -> DataFrame:
-    """(key, gram): distinct word n-grams, lower case, each as gram makes it of its words."""
-    made = _let(_words(F.lower("text")), lambda w: F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: gram(w, i)))))
+def _grams(df: DataFrame, key: str, n: int, gram, offered=None) -> DataFrame:
+    """(key, gram): distinct word n-grams, lower case, each as gram makes it of its words; of them those that `offered` holds for."""
+    every = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: gram(w, i))
+    some = lambda w: F.filter(every(w), offered) if offered else every(w)
+    made = _let(_words(F.lower("text")), lambda w: F.when(F.size(w) >= n, F.array_distinct(some(w))))
     return df.select(key, F.explode(made).alias("gram"))
 
 
-def shared_ngrams(docs: DataFrame, known: DataFrame, n: int = 8) -> DataFrame:
+#: Bits of a bitmap that is a constant of the plan; more keys than fit at one in BITS_A_KEY are offered without one.
+MAX_BITS, BITS_A_KEY = 1 << 22, 32
+
+
+def _in_bitmap(keys: DataFrame, max_bits: int):
+    """A test of 64-bit hashes that all keys (gram) pass and few others, or None where there are too many keys."""
+    n = keys.count()
+    bits = max(64, 1 << (BITS_A_KEY * n - 1).bit_length()) if n else 64
+    if bits > max_bits:
+        return None
+    place = F.pmod(F.col("gram"), F.lit(bits))
+    rows = keys.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(gram, {bits}) & 63 AS INT)))").alias("bits")).collect()
+    of = {r["word"]: r["bits"] for r in rows}
+    bitmap = F.from_json(F.lit(json.dumps([of.get(i, 0) for i in range(bits // 64)])), "array<bigint>")
+    # pmod by a power of two is what the low bits say
+    low = lambda h: h.bitwiseAND(bits - 1)
+    return lambda h: F.getbit(bitmap[F.shiftright(low(h), 6).cast("int")], low(h).bitwiseAND(63).cast("int")) == 1
+
+
+def shared_ngrams(docs: DataFrame, known: DataFrame, n: int = 8, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, item_id, n_shared): distinct word n-grams, lower case, that both have.
 
-    64-bit hashes of the grams find the documents that share any; only these are read again, and
-    their grams compared as they are.
+    64-bit hashes of the grams find the documents that share any: a bitmap of the known ones leaves out nearly all
+    others in the scan, and what passes is joined. Only these documents are read again, and their grams compared as
+    they are. Null texts, and texts of fewer than n words, share nothing; rows that share an id count together.
     """
     hashed = lambda w, i: F.xxhash64(*(w[i + k] for k in range(n)))
     whole = lambda w, i: F.array_join(F.slice(w, i + 1, n), " ")
     keys = stored(_grams(known, "item_id", n, hashed).select("gram").distinct(), "gram-keys")
-    hit = stored(_grams(docs, "doc_id", n, hashed).join(_known(keys), "gram", "left_semi").select("doc_id").distinct(), "gram-hits")
+    hit = stored(_grams(docs, "doc_id", n, hashed, _in_bitmap(keys, max_bits)).join(_known(keys), "gram", "left_semi").select("doc_id").distinct(), "gram-hits")
     few = docs.join(_known(hit), "doc_id", "left_semi")
     texts = stored(_grams(known, "item_id", n, whole), "grams")
     return _grams(few, "doc_id", n, whole).join(_known(texts), "gram").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
@@ -115,6 +138,8 @@ def copies(docs: DataFrame) -> DataFrame:
 
 #: MinHash bands and the minima in each: of pairs alike to 0.8, 99 in 100 share a band; to 0.3, one in 100.
 BANDS, ROWS = 16, 6
+#: Shingles that are hashed at a time.
+SLICE = 8_192
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +152,10 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.empty((len(b), BANDS), np.int64)
         for i, hashes in enumerate(b.column(1)):
             h = np.asarray(hashes.values.to_numpy()).view(np.uint64)
-            least = ((h * times + plus) >> np.uint64(1)).min(1).reshape(BANDS, ROWS)
+            least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+            for at in range(0, len(h), SLICE):
+                least = np.minimum(least, ((h[at : at + SLICE] * times + plus) >> np.uint64(1)).min(1))
+            least = least.reshape(BANDS, ROWS)
             keys[i] = ((least * mix).sum(1, dtype=np.uint64) ^ (np.arange(BANDS, dtype=np.uint64) << np.uint64(59))).view(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
         yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["rep", "bands"])
@@ -139,6 +167,9 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> D
     Exact copies are one representative each. In every band a representative is compared, by its
     whole shingle sets, with the least one that shares the band, so a group of any size gives one
     candidate a member and band; a class is what links of `similarity` or more connect.
+
+    A text of fewer words than a shingle has is one shingle; null and empty texts are alike; rows with a null id are
+    left out; rows that share an id are of the class of its texts' least.
     """
     ws = _words(F.lower(F.coalesce("text", F.lit(""))))
     made = _let(ws, lambda w: F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - shingle + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, shingle), " "))))))

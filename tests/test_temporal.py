@@ -174,6 +174,39 @@ def test_contained_by_automata_and_by_keys(spark, max_bytes):
     assert "NestedLoop" not in plan(got)
 
 
+@pytest.mark.parametrize("max_bits", [1 << 22, 64, 0])
+def test_shared_grams_with_and_without_a_bitmap(spark, max_bits):
+    rng = random.Random(9)
+    docs = [(i, " ".join(rng.choice("abC") for _ in range(rng.randint(0, 30)))) for i in range(60)] + [(70, None), (71, "")]
+    items = [(i, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 12)))) for i in range(12)] + [(90, None)]
+    grams = lambda t: {tuple(w[k : k + 6]) for w in [(t or "").lower().split()] for k in range(len(w) - 5)}
+    want = {(d, i, len(grams(t) & grams(x))) for d, t in docs for i, x in items if grams(t) & grams(x)}
+    got = similarity.shared_ngrams(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), 6, max_bits)
+    assert want and {tuple(r) for r in got.collect()} == want
+
+
+def test_minima_of_a_long_text_in_slices(monkeypatch):
+    """The bands are those of one whole step, and half a million shingles take no more memory than a slice does."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    hashes = np.random.default_rng(5).integers(-(1 << 62), 1 << 62, 500_000)
+    batch = lambda h: pa.RecordBatch.from_arrays([pa.array([1]), pa.array([h], pa.list_(pa.int64()))], names=["rep", "shingles"])
+    small = [similarity._band_rows(iter([batch(hashes[:9000])])) for _ in range(2)]
+    monkeypatch.setattr(similarity, "SLICE", 100_000)
+    whole = next(small[0]).column(1).to_pylist()
+    monkeypatch.setattr(similarity, "SLICE", 1_000)
+    assert next(small[1]).column(1).to_pylist() == whole
+    monkeypatch.setattr(similarity, "SLICE", 8_192)
+    long_ = batch(hashes)
+    tracemalloc.start()
+    next(similarity._band_rows(iter([long_])))
+    assert tracemalloc.get_traced_memory()[1] < 60_000_000
+    tracemalloc.stop()
+
+
 def test_slices_of_automata(spark):
     docs = spark.createDataFrame([(1, "abcabc"), (2, "xyz")], "doc_id long, text string")
     known = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "bc", "z", "q", "ca"])], "known_key long, known string")
