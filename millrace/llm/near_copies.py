@@ -6,7 +6,8 @@ fingerprints of the texts' distinct words: a changed word breaks five shingles b
 so linked texts differ in few bits (at most 11 of 128 on the test tables, where texts without
 relation differ in 52 or more). The fingerprint holds five 23-bit words. Texts within 11 bits of
 the first 115 agree on the Golay keys of two of them at least (pigeonhole: of five words at most
-three can hold three errors); beyond that most still do, up to `max_bits`, where candidates end.
+three can hold three errors); beyond that most still do, up to `max_bits`, where candidates end
+(texts of 10 to 25 words can differ in more and still be alike to 0.8; recall of their pairs was 0.98).
 
 1. Texts of the same words are one; the others are filed under the Golay keys of four of the
    five words, some 21 rows of 28 bytes. A task files a key's members again under the words that
@@ -220,11 +221,11 @@ def _candidates(max_bits: int):
     return run
 
 
-def _dealt(df: DataFrame, group: str, most: int) -> DataFrame:
+def _dealt(df: DataFrame, group: str, most: int, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """df, which has a `row`, with x and y: groups of over `most` rows are parted into blocks by row, and each two blocks are x, y once."""
-    # at most one in `most` of the rows is in this list
-    large = df.groupBy(group).agg(F.ceil(F.count("*") / most).cast("int").alias("blocks")).where("blocks > 1")
-    counted = df.join(F.broadcast(written(large, "large-groups")), group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    # at most one in `most` of the rows is in this list, and no more than max_broadcast of it are sent to all tasks
+    large = written(df.groupBy(group).agg(F.ceil(F.count("*") / most).cast("int").alias("blocks")).where("blocks > 1"), "large-groups")
+    counted = df.join(F.broadcast(large) if large.count() <= max_broadcast else large, group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     block = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(block, j).alias("x"), F.greatest(block, j).alias("y")))
     return counted.select(group, F.inline(pairs), *[c for c in df.columns if c != group])
@@ -319,10 +320,10 @@ def groups(
     texts = written(prints.groupBy("same0", "same1").agg(first, F.first("a").alias("a"), F.first("b").alias("b")).select("first", "a", "b"), "texts")
     filed = texts.select(F.col("first.row").alias("row"), "a", "b").mapInArrow(_file, "key int, row long, a long, b long")
     lists = ["key", "x", "y"]
-    met = _dealt(filed, "key", max_list).repartition(*lists).sortWithinPartitions(*lists).mapInArrow(_candidates(max_bits), "a long, b long")
+    met = _dealt(filed, "key", max_list, max_broadcast).repartition(*lists).sortWithinPartitions(*lists).mapInArrow(_candidates(max_bits), "a long, b long")
     near = written(components(met), "candidates")
     sets = with_rows_of(rows, row, near.select(F.col("node").alias("row"))).select(F.col(row), F.col(text)).mapInArrow(_shingle_rows(shingle), "row long, shingles binary")
-    dealt = written(_dealt(near.select("component", F.col("node").alias("row")), "component", max_members), "members")
+    dealt = written(_dealt(near.select("component", F.col("node").alias("row")), "component", max_members, max_broadcast), "members")
     members = sets.join(F.broadcast(dealt) if dealt.count() <= max_broadcast else dealt, "row").select("component", "x", "y", "row", "shingles")
     keys = ["component", "x", "y"]
     found = components(members.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verified(similarity), "a long, b long"))

@@ -3,7 +3,7 @@
 Base spans (e-mail, IP, card, phone) follow fixed patterns and always stand. Further candidates
 come from wide patterns. Three families of labelers vote on each candidate, for, against or not
 at all: format patterns, gazetteers, and the words around it. Every kind has its own: key names
-and prefixes for secrets, area codes for phones, top-level domains for addresses, numbers never
+and prefixes for secrets, first digits of area codes (neither 0 nor 1) for phones, top-level domains for addresses, numbers never
 issued for national ids, country lengths for IBANs. Expectation-maximisation over the
 corpus-wide counts of vote patterns, kind by kind, estimates each labeler's rates of votes in
 both classes, and so each pattern's posterior; a logistic span classifier on kind, votes and

@@ -40,6 +40,7 @@ _KNOWN = 500_000
 
 
 def shape(word: str) -> str:
+    """Its runs of letters and digits by kind, as far as twelve signs: longer shapes would be indicators of single texts."""
     def run(m: re.Match) -> str:
         s = m[0]
         return "0" if s[0].isdigit() else "A" if s.isupper() and len(s) > 1 else "Aa" if s[0].isupper() else "a"

@@ -88,6 +88,18 @@ def test_near_duplicates_of_odd_rows(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("max_broadcast", [1_000_000, 0])
+def test_groups_are_dealt_with_and_without_a_broadcast(spark, max_broadcast):
+    """Each two rows of a group meet, once or more, under one (x, y), and no (x, y) holds more than two blocks."""
+    df = spark.createDataFrame([(k, i) for k, n in ((1, 1), (2, 12), (3, 30)) for i in range(n)], "g int, row long")
+    dealt = {}
+    for r in near_copies._dealt(df, "g", 8, max_broadcast).collect():
+        dealt.setdefault((r.g, r.x, r.y), set()).add(r.row)
+    for g, n in ((1, 1), (2, 12), (3, 30)):
+        met = {(a, b) for (k, _, _), rows in dealt.items() if k == g for a in rows for b in rows}
+        assert met == {(a, b) for a in range(n) for b in range(n)}
+
+
 def shingles_by_hand(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
