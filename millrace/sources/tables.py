@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +26,46 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
+    for made in _open:
+        made.append(path)
+    return path
+
+
+#: Lists of the paths made within each open `storing`.
+_open: list[list[str]] = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system, whatever it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def storing(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Gives a function that stores a result. On leaving, all other tables made within go, which results are read from.
+
+    with storing(spark) as store:
+        result = store(similarity.near_copies(docs), "classes")
+    """
+    made: list[str] = []
+    kept: set[str] = set()
+
+    def store(df: DataFrame, name: str) -> DataFrame:
+        path = shared_folder(spark, name)
+        df.write.parquet(path)
+        kept.add(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    _open.append(made)
+    try:
+        yield store
+    finally:
+        _open.remove(made)
+        for path in made:
+            if path not in kept:
+                remove(spark, path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -69,6 +69,17 @@ def test_followed_turns_are_those_of_a_batch(spark):
     assert key(rows) == batch
 
 
+def test_streams_of_many_files(spark, small, monkeypatch):
+    """Steps of more files than usual come one by one all the same."""
+    usual = screens.tumbling_counts(spark, small).collect()
+    monkeypatch.setattr(screens, "files_of", lambda rows: 13)
+    assert sorted(screens.tumbling_counts(spark, small).collect()) == sorted(usual) and usual
+
+
+def test_files_follow_the_rows(spark):
+    assert screens.files_of(spark.range(10)) == screens.FILES and screens.files_of(spark.range(100), 10) == 10
+
+
 # passages
 
 

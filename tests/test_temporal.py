@@ -268,3 +268,24 @@ def test_index_of_odd_vectors(spark):
     assert {r.query_id: r.vec_id for r in got if r.query_id in (4, 5)} == {4: 5, 5: 4}
     empty = vector_index.built(df.limit(0))
     assert vector_index.searched(empty, empty.rows).count() == 0
+
+
+# scratch tables
+
+
+def test_scratch_tables_go_and_results_stay(spark):
+    from pathlib import Path
+
+    from millrace.sources import tables
+
+    root = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "millrace"
+    docs = spark.createDataFrame([(i, f"one two three four five six seven {i // 2}") for i in range(8)], "doc_id long, text string")
+    before = set(root.iterdir()) if root.exists() else set()
+    with tables.storing(spark) as store:
+        out = store(similarity.near_copies(docs), "classes")
+        assert len(set(root.iterdir()) - before) > 2
+    assert len(set(root.iterdir()) - before) == 1 and out.count() == 8
+    with pytest.raises(ValueError), tables.storing(spark):
+        tables.stored(docs, "left")
+        raise ValueError
+    assert len(set(root.iterdir()) - before) == 1
