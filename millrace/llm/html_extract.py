@@ -293,8 +293,9 @@ def _tokens(text: str) -> np.ndarray:
     if len(_met) > 500_000:
         _met.clear()
     tokens = text.split(" ")
-    for t in set(tokens) - _met.keys():
-        _met[t] = xxhash.xxh64_intdigest(t.encode(errors="surrogatepass"))
+    for t in tokens:
+        if t not in _met:
+            _met[t] = xxhash.xxh64_intdigest(t.encode(errors="surrogatepass"))
     return np.fromiter(map(_met.__getitem__, tokens), np.uint64, len(tokens))
 
 
