@@ -1,12 +1,12 @@
 """Token ids in ORC: integer run-length encoding, row indexes, Bloom filters on document ids.
 
-The table is range-partitioned and sorted by document id, so each file holds an id range, each
-stripe a smaller one. ids is an array<int> column, which ORC stores by its integer run-length
+The table is range-partitioned and sorted by document id (rows of one id by their texts' hashes, so that they may
+fill several files), so each file holds an id range, each stripe a smaller one. ids is an array<int> column, which ORC stores by its integer run-length
 encoding (RLE v2); stripes are read in parallel; a look-up by id skips files, stripes and
 row groups by their minima and maxima, then by the Bloom filter.
 
 Defined results: a null text has just the end id; rows that repeat an id follow each other in
-the order of their texts; an empty table gives an empty ORC table and result; other columns
+the order of their texts' hashes; an empty table gives an empty ORC table and result; other columns
 are left out.
 """
 
@@ -41,8 +41,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str = "words"
                 seq += len(b)
         give_back(heap=False)
 
-    in_order = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    in_order.mapInArrow(run, f"doc_id {docs.schema[key].dataType.simpleString()}, seq long, ids array<int>").write.options(
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).withColumn("h", F.xxhash64("text"))
+    in_order = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
+    in_order.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema[key].dataType.simpleString()}, seq long, ids array<int>").write.options(
         **{"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": STRIPE_BYTES, "orc.row.index.stride": ROW_STRIDE, "orc.create.index": "true"}
     ).orc(path)
 
@@ -65,14 +66,15 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def summary(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32), all from the files.
 
-    Files hold ascending id ranges, so a document starts at its file's start plus the sum of
-    what precedes it in the file: one running sum over files, one within each.
+    Files hold ascending id ranges in the order of their numbers, so a document starts at its file's start plus the
+    sum of what precedes it in the file: one running sum over files, one within each.
     """
     read = read_tokens(spark, path).select(F.col("_metadata.file_path").alias("file"), "doc_id", "seq", "ids")
     kind = dict(read.dtypes)["doc_id"]
     rows = written(read.mapInArrow(_sums, f"file string, doc_id {kind}, seq long, n_tokens long, ids_crc32 long"), "token-sums")
-    totals = rows.groupBy("file").agg(F.min("doc_id").alias("lo"), F.sum("n_tokens").alias("n"))
-    bases = totals.select("file", (F.sum("n").over(W.orderBy("lo").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("base"))
+    number = F.regexp_extract("file", "part-([0-9]+)", 1).cast("int").alias("number")
+    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", "n", number)
+    bases = totals.select("file", (F.sum("n").over(W.orderBy("number", "file").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("base"))
     within = F.sum("n_tokens").over(W.partitionBy("file").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)) - F.col("n_tokens")
     return rows.withColumn("start", within).join(bases, "file").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from millrace.llm import orc_tokens, packing
@@ -105,6 +106,23 @@ def test_orc_odd_rows_and_look_up(spark):
     assert spark.read.schema("doc_id long, seq long, ids array<int>").orc(empty).count() == 0
 
 
+def test_rows_of_one_id_fill_several_files(spark):
+    """4,000 rows of one id among others, and null ids: no file has them all, and every start is the sum of what comes before."""
+    rows = [(7, f"text number {i}") for i in range(4000)] + [(i, f"other {i}") for i in (3, 5, 9)] + [(None, "nobody's")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    path = scratch(spark, "orc-one-id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        orc_tokens.write_tokens(df, path, WORDS)
+        got = sorted(map(tuple, orc_tokens.summary(spark, path).select("start", "n_tokens", "doc_id").collect()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    own = spark.read.orc(path).where("doc_id = 7").groupBy(F.col("_metadata.file_path").alias("f")).count().collect()
+    assert len(own) > 2 and max(r["count"] for r in own) < 3000
+    assert [s for s, *_ in got] == list(np.cumsum([0, *(n for _, n, _ in got)])[:-1])
+    assert [i for *_, i in got] == [None] * 2 + [3, 5] + [7] * 4000 + [9]
+
+
 def check_packing(got, docs):
     """Every document whole, every sequence gapless and at most a window."""
     by_doc = {}
