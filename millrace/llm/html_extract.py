@@ -39,6 +39,7 @@ import html as html_module
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -286,17 +287,19 @@ def _hash(*parts: str | None) -> int:
 _met: dict[str, int] = {}
 
 
-def _tokens(text: str) -> np.ndarray:
-    """64-bit hashes of a block's tokens; a worker keeps those of half a million."""
+def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the tokens of all texts in a row, each one's text, where each text begins); a worker keeps the hashes of half a million."""
     import xxhash
 
     if len(_met) > 500_000:
         _met.clear()
-    tokens = text.split(" ")
-    for t in tokens:
+    lists = [t.split(" ") for t in texts]
+    for t in set().union(*lists):
         if t not in _met:
             _met[t] = xxhash.xxh64_intdigest(t.encode(errors="surrogatepass"))
-    return np.fromiter(map(_met.__getitem__, tokens), np.uint64, len(tokens))
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    hashes = np.fromiter(map(_met.__getitem__, chain.from_iterable(lists)), np.uint64, int(sizes.sum()))
+    return hashes, np.repeat(np.arange(len(lists)), sizes), np.cumsum(sizes) - sizes
 
 
 def _stir(x: np.ndarray) -> np.ndarray:
@@ -319,7 +322,10 @@ def _shared_runs(blocks: set[str], width: int) -> Iterator[tuple[str, int]]:
     lists = [b for b in blocks if b.count(" ") >= width - 1]
     if len(lists) < 2:
         return
-    windows = [_grams(_tokens(b), width) for b in lists]
+    h, of, begin = _tokens(lists)
+    grams = _grams(h, width)
+    inside = of[: len(grams)] == of[width - 1 :]
+    windows = [grams[b : b + n] for b, n in zip(begin.tolist(), np.bincount(of[: len(grams)][inside], minlength=len(lists)).tolist(), strict=True)]
     every, times = np.unique(np.concatenate([np.unique(w) for w in windows]), return_counts=True)
     if times.max() < 2:
         return
@@ -342,33 +348,44 @@ def _shared_runs(blocks: set[str], width: int) -> Iterator[tuple[str, int]]:
 _OPEN, _MAIN = 1, 2
 
 
-def _page_streams(page: str, width: int) -> list[tuple[str, int, int]]:
-    """(text, times, zones it could be text in) of each of the page's distinct blocks, and of runs that several share, with times below 0."""
+def _page_streams(page: str, width: int) -> tuple[list[tuple[str, int, int]], tuple]:
+    """(text, times, zones it could be text in) of each of the page's distinct blocks, and of runs that several share, with times below 0; and their tokens."""
     blocks = page_blocks(page)
     main = any(z == "main" for z, _ in blocks)
     zones: dict[str, int] = {}
     for z, t in blocks:
         zones[t] = zones.get(t, 0) | (_MAIN if z == "main" else _OPEN if z == "open" and not main else 0)
+    tokens = _tokens(list(zones))
+    h, of, _ = tokens
+    windows = np.sort(_grams(h, width)[of[: max(0, len(h) - width + 1)] == of[width - 1 :]])
+    if (windows[1:] != windows[:-1]).all():  # no window twice, so no run in several blocks
+        return [(t, 1, z) for t, z in zones.items()], tokens
     times = Counter(dict.fromkeys(zones, 1))
     for run, n in _shared_runs(set(zones), width):
         times[run] -= n
-    return [(t, n, zones.get(t, 0)) for t, n in times.items() if n or zones.get(t)]
+    streams = [(t, n, zones.get(t, 0)) for t, n in times.items() if n or zones.get(t)]
+    return streams, _tokens([t for t, *_ in streams])
 
 
-def _contexts(blocks: list[str], width: int) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
+def _contexts(tokens: tuple, width: int) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
     """(block, first window, last window, anchor, tokens) of windows in a row that share their anchor, the leftmost gram of least hash."""
     gram = min(GRAM, width)
-    for k, text in enumerate(blocks):
-        h = _tokens(text)
-        if len(h) < width:
-            continue
-        g = _grams(h, gram)
-        ranked = (g & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(g), dtype=np.uint64)
-        least = np.lib.stride_tricks.sliding_window_view(ranked, width - gram + 1).min(1)
-        starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-        anchors = g[(least[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)].view(np.int64)
-        for lo, hi, a in zip(starts.tolist(), np.append(starts[1:], len(least)).tolist(), anchors.tolist(), strict=True):
-            yield k, lo, hi - 1, a, h[lo : hi - 1 + width]
+    h, of, begin = tokens
+    n = len(h) - width + 1
+    if n < 1:
+        return
+    g = _grams(h, gram)
+    ranked = (g & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(g), dtype=np.uint64)
+    least = np.lib.stride_tricks.sliding_window_view(ranked, width - gram + 1).min(1)
+    at = np.flatnonzero(of[:n] == of[width - 1 :])  # windows within one block
+    if not len(at):
+        return
+    new = np.flatnonzero(np.concatenate([[True], (least[at[1:]] != least[at[:-1]]) | (at[1:] != at[:-1] + 1)]))
+    first, last = at[new], at[np.append(new[1:], len(at)) - 1]
+    anchors = g[(least[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)].view(np.int64)
+    low = begin[of[first]]
+    for k, lo, hi, a, x in zip(of[first].tolist(), (first - low).tolist(), (last - low).tolist(), anchors.tolist(), first.tolist(), strict=True):
+        yield k, lo, hi, a, h[x : x + hi - lo + width]
 
 
 def _within(host: int, anchor: int) -> int:
@@ -383,10 +400,10 @@ def _count_rows(width: int):
             rows = []
             for host, page, copy in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 of = _hash(host)
-                streams = _page_streams(page, width)
+                streams, tokens = _page_streams(page, width)
                 rows += [(of, _hash(host, t), copy, n, z) for t, n, z in streams]
                 seen: dict[int, int] = defaultdict(int)
-                for k, _, _, anchor, _ in _contexts([t for t, _, _ in streams], width):
+                for k, _, _, anchor, _ in _contexts(tokens, width):
                     seen[_within(of, anchor)] |= streams[k][2]
                 rows += [(of, a, copy, 1, z) for a, z in seen.items()]
             columns = zip(*rows, strict=True) if rows else [[]] * 5
@@ -402,10 +419,10 @@ def _context_rows(width: int):
         for b in batches:
             rows = []
             for host, page in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                of, streams = _hash(host), _page_streams(page, width)
+                of, (streams, tokens) = _hash(host), _page_streams(page, width)
                 names = [_hash(host, t) for t, _, _ in streams]
-                rows += [(of, names[k], names[k], 0, z, _tokens(t).tobytes()) for k, (t, _, z) in enumerate(streams) if t.count(" ") < width - 1]
-                rows += [(of, _within(of, a), names[k], lo, streams[k][2], h.tobytes()) for k, lo, _, a, h in _contexts([t for t, _, _ in streams], width)]
+                rows += [(of, names[k], names[k], 0, z, _tokens([t])[0].tobytes()) for k, (t, _, z) in enumerate(streams) if t.count(" ") < width - 1]
+                rows += [(of, _within(of, a), names[k], lo, streams[k][2], h.tobytes()) for k, lo, _, a, h in _contexts(tokens, width)]
             columns = zip(*rows, strict=True) if rows else [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "key", "block", "start", "zones", "tokens"])

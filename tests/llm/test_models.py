@@ -396,7 +396,7 @@ def test_anchors_of_windows():
     a = " ".join(str(rng.randrange(50)) for _ in range(400))
     b = f"x y z {' '.join(a.split()[100:200])} q"
     found = {}
-    for k, lo, hi, anchor, h in html_extract._contexts([a, b, "too short"], 30):
+    for k, lo, hi, anchor, h in html_extract._contexts(html_extract._tokens([a, b, "too short"]), 30):
         assert len(h) == hi - lo + 30
         for w in range(lo, hi + 1):
             assert (k, w) not in found
@@ -427,7 +427,7 @@ def test_shared_runs_of_long_pages_are_bounded():
     import tracemalloc
 
     text = " ".join(f"t{j}" for j in range(100_000))
-    html_extract._tokens(text)
+    html_extract._tokens([text])
     tracemalloc.start()
     assert list(html_extract._shared_runs({text, f"{text} x"}, 30)) == [(text, 1)]
     assert tracemalloc.get_traced_memory()[1] < 40_000_000
