@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -188,24 +189,162 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> D
     return keyed.select("doc_id", "text_md5").join(by_text, "text_md5").select("doc_id", "class_id")
 
 
+#: Bytes of vectors in a packed chunk of rows or block of queries at the most, and rows in either.
+CHUNK_BYTES, CHUNK = 2_000_000, 2_048
+#: Places of a similarity that rank it; SQL rounds so before it orders.
+PLACES = 4
+#: Pairs whose exact products are taken at a time.
+EXACT_SLICE = 65_536
+
+
+def _in_order(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of paired rows, added from the first component to the last as SQL does, so to the same last bit."""
+    out = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        out += x[:, j] * y[:, j]
+    return out
+
+
+def _rounded(values: np.ndarray) -> np.ndarray:
+    """values in units of the last place, half up on the decimal digits as Spark's round; NaN is above all numbers."""
+    scaled = np.abs(values) * 10.0**PLACES
+    out = np.copysign(np.floor(scaled + 0.5), values)
+    near = np.flatnonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-6)
+    if len(near):
+        each, back = np.unique(values[near], return_inverse=True)
+        out[near] = np.array([float(Decimal(repr(float(v))).quantize(Decimal(1).scaleb(-PLACES), ROUND_HALF_UP).scaleb(PLACES)) for v in each])[back]
+    return np.where(np.isnan(values), np.inf, out)
+
+
+def _packed(dim: int):
+    """Batches of (vec_id, embedding) to packed rows of ids, lengths (-1: a component is null) and unit vectors, zeros beyond their length."""
+    step = max(1, min(CHUNK, CHUNK_BYTES // (8 * max(1, dim))))
+
+    def pack(ids: pa.Array, lists: pa.Array) -> pa.RecordBatch:
+        x, sizes = np.zeros((len(ids), dim)), np.diff(np.asarray(lists.offsets)).astype(np.int64)
+        flat = lists.flatten()
+        inside = np.arange(dim) < sizes[:, None]
+        x[inside] = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+        if flat.null_count:
+            row = np.repeat(np.arange(len(ids)), sizes)
+            sizes[row[np.asarray(flat.is_null())]] = -1
+        with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+            # components beyond a vector's length stay zero, whatever its norm
+            x = np.where(inside, x / np.sqrt(_in_order(x, x))[:, None], 0.0)
+        x[sizes < 0] = 0.0
+        return pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in (np.asarray(ids), sizes, x)], names=["ids", "sizes", "x"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for b in batches:
+            for i in range(0, len(b), step):
+                held.append(b.slice(i, step))
+                n += len(held[-1])
+                if n >= step:
+                    t = pa.Table.from_batches(held).combine_chunks()
+                    yield pack(t.column(0).chunk(0)[:step], t.column(1).chunk(0)[:step])
+                    held = t.slice(step).to_batches()
+                    n -= step
+        if n:
+            t = pa.Table.from_batches(held).combine_chunks()
+            yield pack(t.column(0).chunk(0), t.column(1).chunk(0))
+
+    return run
+
+
+class _Best:
+    """The k best rows so far of each query of a block, by rounded similarity and the smaller id."""
+
+    def __init__(self, row: dict, dim: int, k: int):
+        self.ids, self.sizes = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_sizes"], np.int64)
+        self.q, self.k = np.frombuffer(row["q_x"]).reshape(len(self.ids), dim), k
+        #: query's place, rounded similarity, id, similarity
+        self.found = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0)]
+        self.least = np.full(len(self.ids), -np.inf)
+
+    def meet(self, ids: np.ndarray, sizes: np.ndarray, x: np.ndarray) -> None:
+        """A matrix product picks the rows that may be among the best; of these the products are taken in order."""
+        with np.errstate(invalid="ignore"):
+            near = self.q @ x.T
+        near[np.isnan(near)] = np.inf
+        near[self.ids[:, None] == ids] = -np.inf
+        if (self.sizes != self.q.shape[1]).any() or (sizes != self.q.shape[1]).any():
+            near[(self.sizes[:, None] != sizes) | (sizes < 0)] = -np.inf
+        half = 0.5 / 10.0**PLACES + 1e-9
+        at = np.flatnonzero(near >= (self.least - half)[:, None])
+        if len(at) > 4 * self.k * len(self.ids) and len(ids) > self.k:
+            kth = np.partition(near, -self.k, axis=1)[:, -self.k]
+            at = np.flatnonzero(near >= np.maximum(self.least - half, kth - 2 * half)[:, None])
+        for low in range(0, len(at), EXACT_SLICE):
+            self._take(at[low : low + EXACT_SLICE], near.ravel(), ids, x)
+
+    def _take(self, at: np.ndarray, near: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        own, row = np.divmod(at, len(ids))
+        other = self.ids[own] != ids[row]
+        at, own, row = at[other], own[other], row[other]
+        null = np.isneginf(near[at])
+        with np.errstate(invalid="ignore"):
+            similarity = _in_order(x[row], self.q[own])
+        rounded = np.where(null, -np.inf, _rounded(similarity))
+        place, rounded, vec, similarity = (np.concatenate(c) for c in zip(self.found, [own, rounded, ids[row], similarity], strict=True))
+        order = np.lexsort((vec, -rounded, place))
+        place = place[order]
+        rank = np.arange(len(place)) - np.searchsorted(place, place)
+        order = order[rank < self.k]
+        self.least[place[rank == self.k - 1]] = rounded[order][(rank[rank < self.k]) == self.k - 1] / 10.0**PLACES
+        self.found = [place[rank < self.k], rounded[order], vec[order], similarity[order]]
+
+    def rows(self) -> pa.RecordBatch:
+        place, rounded, vec, similarity = self.found
+        columns = [pa.array(self.ids[place]), pa.array(vec), pa.array(similarity, mask=np.isneginf(rounded))]
+        return pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "similarity"])
+
+
+def _searched(dim: int, k: int):
+    """Chunks of rows, each with every block of queries, to the k best rows of the task for each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, _Best] = {}
+        for b in batches:
+            for i in range(len(b)):
+                get = lambda name: b.column(name)[i].as_py()  # noqa: B023, E731
+                if get("q_block") not in best:
+                    best[get("q_block")] = _Best({name: get(name) for name in ("q_ids", "q_sizes", "q_x")}, dim, k)
+                ids = np.frombuffer(get("ids"), np.int64)
+                best[get("q_block")].meet(ids, np.frombuffer(get("sizes"), np.int64), np.frombuffer(get("x")).reshape(len(ids), dim))
+        for of_block in best.values():
+            yield of_block.rows()
+
+    return run
+
+
 def neighbours(vectors: DataFrame, k: int = 5, step: int = 100, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, vec_id, rank, similarity): cosine top-k of every vector whose id is divisible by step.
 
     The stated query set meets all rows, in blocks of about `block` queries that are broadcast; each
     task keeps its own k best per query before they are brought together, so what is shuffled is k
-    rows a query and task.
+    rows a query and task. Chunks of rows meet queries by matrix products; products that may matter are
+    taken again in SQL's order of adding, so ties of the rounded similarity are SQL's too.
+
+    A pair of vectors of different lengths, or with a null component, has a null similarity and comes last; one with a
+    vector of length zero, or a component that isn't finite, has NaN and comes first, as in SQL.
     """
-    norm = lambda e: _let(F.transform(e, lambda x: x.cast("double")), lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y))))
-    unit = vectors.where("embedding is not null").select("vec_id", norm(F.col("embedding")).alias("v"))
-    queries = unit.where(F.col("vec_id") % step == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    blocks = max(1, -(-queries.count() // block))
-    dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    part = W.partitionBy("query_id", "_part").orderBy(F.desc("similarity"), "vec_id")
+    rows = vectors.where("embedding is not null and vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    dim = max(1, rows.agg(F.max(F.size("embedding"))).first()[0] or 1)
+    kind = "ids binary, sizes binary, x binary"
+    # a scan has few tasks for tables of this kind: chunks are dealt to all before they meet queries
+    chunks = stored(rows.mapInArrow(_packed(dim), kind).repartition(4 * rows.sparkSession.sparkContext.defaultParallelism), "vector-chunks")
+    queries = rows.where(F.col("vec_id") % step == 0)
+    n = queries.count()
+    blocks = max(1, -(-n // block))
+    share = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
     local = None
     for i in range(blocks):
-        own = F.broadcast(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i))
-        pairs = unit.join(own, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot, 4).alias("similarity"))
-        best = pairs.withColumn("_part", F.pmod(F.col("vec_id"), F.lit(64))).withColumn("_n", F.row_number().over(part)).where(F.col("_n") <= k)
+        few = queries.where(share == i).repartition(-(-n // blocks // CHUNK) or 1)
+        own = stored(few.mapInArrow(_packed(dim), kind).toDF("q_ids", "q_sizes", "q_x").withColumn("q_block", F.monotonically_increasing_id()), "query-blocks")
+        best = chunks.join(F.broadcast(own)).mapInArrow(_searched(dim, k), "query_id long, vec_id long, similarity double")
         local = best if local is None else local.unionByName(best)
+    local = local.withColumn("similarity", F.round("similarity", PLACES))
     best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
     return local.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "vec_id", "rank", "similarity")

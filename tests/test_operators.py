@@ -88,6 +88,64 @@ def test_neighbours_in_blocks(spark):
     assert whole == parts and len(whole) == 3 * 6
 
 
+def neighbours_by_hand(rows, k, step):
+    """By all pairs, added in order, rounded half up on the decimals; null last, NaN first."""
+    import math
+    from decimal import ROUND_HALF_UP, Decimal
+
+    def unit(e):
+        if None in e:
+            return None
+        norm = 0.0
+        for x in e:
+            norm += x * x
+        return [x / math.sqrt(norm) if norm else math.nan for x in e]
+
+    def likeness(a, b):
+        if a is None or b is None or len(a) != len(b):
+            return None
+        s = 0.0
+        for x, y in zip(a, b, strict=True):
+            s += x * y
+        return s if math.isnan(s) else float(Decimal(repr(s)).quantize(Decimal("0.0001"), ROUND_HALF_UP))
+
+    units, out = [(i, unit(e)) for i, e in rows if e is not None and i is not None], []
+    for q, v in units:
+        if q % step == 0:
+            found = [(i, likeness(u, v)) for i, u in units if i != q]
+            found.sort(key=lambda f: (f[1] is None, 0 if f[1] is None else -math.inf if math.isnan(f[1]) else -f[1], f[0]))
+            out += [(q, i, r + 1, s) for r, (i, s) in enumerate(found[:k])]
+    return sorted(map(repr, out))
+
+
+@pytest.mark.parametrize("chunk", [2048, 16])
+def test_neighbours_against_all_pairs(spark, monkeypatch, chunk):
+    """Ties by copies and by rounding, lengths that differ, null components, vectors of length zero."""
+    rng = random.Random(3)
+    monkeypatch.setattr(similarity, "CHUNK", chunk)
+    rows = [(i, [rng.choice([-1.0, 0.5, 1.0, 2.0]) for _ in range(rng.choice([3, 3, 3, 4]))]) for i in range(150)]
+    rows += [(i, [1.0, 0.25, 0.5]) for i in range(150, 260)] + [(i, [3.0, None]) for i in (270, 271)] + [(280, None), (None, [1.0, 1.0, 1.0]), (290, []), (300, [])]
+    for given, k in ((rows, 4), (rows[::29] + rows[-6:], 9), ([*rows, (310, [0.0, 0.0, 0.0])], 4), ([(i, [2.0**-i, 1.0]) for i in range(60)], 5)):
+        got = similarity.neighbours(spark.createDataFrame(given, "vec_id long, embedding array<double>"), k=k, step=10)
+        assert sorted(repr(tuple(r)) for r in got.collect()) == neighbours_by_hand(given, k, 10)
+    assert similarity.neighbours(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def test_neighbours_meet_by_matrix_products(spark):
+    """Rows meet queries by chunks and blocks, not pair by pair: a pair of rows costs no row of the plan."""
+    plan = similarity.neighbours(spark.range(3000).selectExpr("id AS vec_id", "array(cos(id), sin(id)) AS embedding"))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "zip_with" not in plan
+
+
+def test_rounding_is_spark_s(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    values = [0.12345, -0.12345, 0.00005, 0.99995, 0.123449999999, 0.5, -0.0, 1.0, 0.00015, 0.00025, -0.99985]
+    want = [r.r for r in spark.createDataFrame([(v,) for v in values], "v double").select(F.round("v", 4).alias("r")).collect()]
+    assert (similarity._rounded(np.array(values)) / 10**4).tolist() == want
+
+
 def test_payloads_of_odd_texts(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "ab" * 8 + " zz " + "ff" * 9)], "doc_id long, text string")
     assert sorted((r.run, r.text) for r in payloads.decoded(payloads.runs(df)).collect()) == [("ab" * 8, None), ("ff" * 9, None)]
