@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,9 +16,26 @@ ZERO_WIDTH = "​‌‍⁠﻿"
 HOMOGLYPHS = ("аеорсухіјѕԁһαονιρ", "aeopcyxijsdhaovip")
 
 
+def contains_any(text: Column, parts: Sequence[str]) -> Column:
+    """Whether text has one of the parts, by byte search: a few times faster than a pattern."""
+    found = text.contains(parts[0])
+    for p in parts[1:]:
+        found = found | text.contains(p)
+    return found
+
+
 def canonical(text: Column) -> Column:
-    """Lower case, no zero-width characters, white space closed up."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), f"[{ZERO_WIDTH}]", ""), "[ \\t\\n\\r]+", " "))
+    """Lower case, no zero-width characters, white space closed up.
+
+    Patterns run only on texts that have something for them to replace, as byte searches tell.
+    """
+    odd = lambda t: (F.octet_length(t) > F.length(t)) & contains_any(t, ZERO_WIDTH)
+    bare = lambda t: F.when(odd(t), F.regexp_replace(t, f"[{ZERO_WIDTH}]", "")).otherwise(t)
+    closed = lambda t: F.when(t.contains("  "), F.regexp_replace(t, "  +", " ")).otherwise(t)
+    spaced = F.transform(F.array(F.lower(text)), bare)[0]
+    for c in "\t\n\r":
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    return F.trim(F.transform(F.array(spaced), closed)[0])
 
 
 def unmasked(text: Column) -> Column:

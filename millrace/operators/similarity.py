@@ -37,6 +37,12 @@ def _known(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if bytes_of(df) <= MAX_BROADCAST else df
 
 
+def having(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of df whose key is in keys if these can be broadcast, else all: for use before a join, so that texts aren't shuffled."""
+    own = keys.select(key)
+    return df.join(F.broadcast(own), key, "left_semi") if bytes_of(own) <= MAX_BROADCAST else df
+
+
 def _let(value: Column, body) -> Column:
     """body(value), with value computed once."""
     return F.transform(F.array(value), body)[0]

@@ -428,8 +428,8 @@ def overlay_page_scan(spark, d):
     return parts.groupBy("page_id").agg(F.round(F.sum(weight * rules.score()), 6).alias("score"), F.sum(F.size("hits")).alias("n_rules"))
 
 
-def _abuse(spark, d):
-    return rules.with_hits(load(spark, d, "documents"), "text", rules.ABUSE)
+def _abuse(spark, d, docs=None):
+    return rules.with_hits(load(spark, d, "documents") if docs is None else docs, "text", rules.ABUSE)
 
 
 _ABUSE_SQL = f"(SELECT doc_id, source, lang, len({_sql_hits('text', rules.ABUSE)}) > 0 AS hit, {_sql_score(_sql_hits('text', rules.ABUSE))} AS score, coalesce(list_sum(list_transform({_sql_hits('text', rules.ABUSE)}, lambda hit_: hit_.n)), 0) AS n FROM documents)"
@@ -510,7 +510,9 @@ def overlay_conversation_verdict(spark, d):
 def _judged(spark, d):
     labels = load(spark, d, "labels").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     n = F.aggregate("hits", F.lit(0), lambda a, h: a + h["n"])
-    return _abuse(spark, d).select("doc_id", (F.size("hits") > 0).alias("hit"), n.alias("n"), F.length("text").cast("long").alias("n_chars")).join(labels, "doc_id")
+    # texts without a label aren't screened, as long as the labels' ids can be sent to all tasks
+    docs = similarity.having(load(spark, d, "documents"), labels, "doc_id")
+    return _abuse(spark, d, docs).select("doc_id", (F.size("hits") > 0).alias("hit"), n.alias("n"), F.length("text").cast("long").alias("n_chars")).join(labels, "doc_id")
 
 
 _JUDGED_SQL = f"(SELECT a.doc_id, a.hit, a.n, toxic FROM {_ABUSE_SQL} a JOIN labels USING (doc_id))"

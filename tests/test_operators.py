@@ -190,6 +190,72 @@ def test_screen_latency(spark, small):
     assert 0 < r.p50 <= r.p95 <= r.p99 < 60
 
 
+def matching(pattern, rng):
+    """A random text that the pattern matches, alternatives and repeats drawn at random."""
+    from re import _parser as parser
+
+    def made(items):
+        out = ""
+        for op, arg in items:
+            op = str(op)
+            if op == "LITERAL":
+                out += chr(arg)
+            elif op == "BRANCH":
+                out += made(rng.choice(arg[1]))
+            elif op == "SUBPATTERN":
+                out += made(arg[3])
+            elif op == "MAX_REPEAT":
+                out += "".join(made(arg[2]) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 2))))
+            elif op == "IN":
+                out += chr(arg[0][1]) if str(arg[0][0]) == "LITERAL" else "."
+            else:
+                assert op == "AT"
+        return out
+
+    return made(parser.parse(pattern))
+
+
+@pytest.mark.parametrize("rule", [*rules.INJECTION, *rules.ABUSE], ids=lambda r: r.rule_id)
+def test_what_a_rule_needs_is_in_all_that_it_matches(rule):
+    """So no text that the pattern would hit is passed over."""
+    rng = random.Random(4)
+    assert rule.needs
+    for _ in range(2000):
+        text = matching(rule.pattern, rng)
+        assert any(n in text for n in rule.needs), text
+
+
+def test_hits_are_those_of_the_patterns_alone(spark):
+    """Odd texts: look-alike cases, zero-width characters within words, all white space, nulls."""
+    rng = random.Random(5)
+    both = [*rules.INJECTION, *rules.ABUSE]
+    bits = ["", " ", "\t", "\n\r", "  ", "\u200b", "\ufeff", "\u2060", "\u00a0", "\u0130", "\u212a", "x", "\u00e9"]
+    texts = [None, "", " \u200b ", "ID\u200bIOT\n\nmoron  clowns", "\u0130diot id\u0131ot"]
+    for r in both * 6:
+        hit = matching(r.pattern, rng)
+        texts.append(rng.choice(bits) + "".join(c + (rng.choice(bits) if rng.random() < 0.02 else "") for c in rng.choice([hit, hit.upper(), hit.replace(" ", "\n")])) + rng.choice(bits))
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").cache()
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), f"[{T.ZERO_WIDTH}]", ""), "[ \\t\\n\\r]+", " "))
+    assert df.where(T.canonical(F.coalesce("text", F.lit(""))) != plain).count() == 0 and df.where(T.canonical(F.col("text")).isNull()).count() == 1
+    want = {r.id: [n for n in r.n] for r in df.select("id", F.array(*[F.regexp_count(plain, F.lit(r.pattern)) for r in both]).alias("n")).collect()}
+    got = {r.id: {h.rule_id: h.n for h in r.hits} for r in rules.with_hits(df, "text", both).collect()}
+    assert got == {i: {r.rule_id: n for r, n in zip(both, ns, strict=True) if n} for i, ns in want.items()}
+    assert sum(map(len, got.values())) > 20
+
+
+def test_only_labelled_texts_are_screened(spark, small, monkeypatch):
+    """The labels' ids go to the scan of the texts where they can be broadcast; the counts are the same without."""
+    from millrace.plans import catalog
+
+    counts = []
+    for most, screened in ((similarity.MAX_BROADCAST, True), (0, False)):
+        monkeypatch.setattr(similarity, "MAX_BROADCAST", most)
+        df = catalog.QUERIES["confusion_matrix"](spark, small)
+        assert ("LeftSemi" in df._jdf.queryExecution().optimizedPlan().toString()) == screened
+        counts.append(df.first())
+    assert counts[0] == counts[1]
+
+
 def test_toxic_classifier(spark):
     """On the next larger tables, judged on rows that it has not seen, the classifier finds what the label marks."""
     from millrace.plans import catalog
