@@ -66,7 +66,9 @@ def within(points: DataFrame, intervals: DataFrame, time: str, begin: str, end:
     Bins are as wide as the intervals need: an interval is filed under the bins of the least width (a power of two) of
     which BINS reach from its begin to its end, so a long one has no more bins than a short one. A point looks
     in its bin of every width in use (at most 64). So each pair meets in one bin, by equality. Bins with more than
-    max_points points are split: their points are dealt by hash, their intervals are there for each share.
+    max_points points are split: their points are dealt by hash, their intervals are there for each share. What a task
+    makes is pairs, which may be a hundred times the rows that it reads: tasks are as many as shuffles have
+    partitions, not fewer for the few bytes that they read.
     """
     keys = keys or []
     ticks = lambda df, c: F.unix_micros(F.col(f"`{c}`").cast("timestamp")) if df.schema[c].dataType.typeName().startswith("timestamp") else F.col(f"`{c}`").cast("long")
@@ -89,5 +91,7 @@ def within(points: DataFrame, intervals: DataFrame, time: str, begin: str, end:
     shares = F.coalesce("_shares", F.lit(1))
     left = looked.join(crowded, where, "left").withColumn("_share", F.when(shares > 1, F.pmod(F.xxhash64("_t", F.to_json("_p")), shares).cast("int")).otherwise(F.lit(0)))
     right = filed.join(crowded, where, "left").withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1)))
-    met = left.select(*where, "_share", "_p", "_t").join(right.select(*where, "_share", "_i", "_b", "_e"), [*where, "_share"]).where("_b <= _t and _t < _e")
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda df, *own: df.select(*where, "_share", *own).repartition(tasks, *where, "_share")
+    met = dealt(left, "_p", "_t").join(dealt(right, "_i", "_b", "_e"), [*where, "_share"]).where("_b <= _t and _t < _e")
     return met.select("_p.*", *[F.col(f"_i.`{c}`").alias(c) for c in intervals.columns if c not in keys])

@@ -97,6 +97,15 @@ def test_long_intervals_have_few_bins(spark):
     assert width.select(F.max(F.expr("shiftright(e - 1, cast(w AS INT)) - shiftright(b, cast(w AS INT)) + 1"))).first()[0] <= temporal.BINS + 1
 
 
+def test_pairs_are_made_in_many_tasks(spark):
+    """Few bytes may make many pairs: tasks are not put together for the little that they read."""
+    p = spark.range(400).select(F.col("id").alias("p"), (F.col("id") * 1000).alias("t"))
+    s = spark.range(400).select(F.col("id").alias("s"), (F.col("id") * 1000).alias("b"), (F.col("id") * 1000 + 50_000).alias("e"))
+    got = temporal.within(p, s, "t", "b", "e").select("p", "s", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.p, r.s) for r in got) == sorted((p, s) for s in range(400) for p in range(s, min(400, s + 50)))
+    assert len({r.task for r in got}) == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
 def test_within_of_timestamps_and_nothing(spark):
     p = spark.createDataFrame([(1, at(5)), (2, at(10))], "p int, t timestamp")
     s = spark.createDataFrame([(7, at(5), at(10))], "s int, b timestamp, e timestamp")
